@@ -1,0 +1,72 @@
+"""Many-to-one joins that stay balanced when few keys hold most rows."""
+
+import sys
+
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Session settings and their defaults.
+SPLIT_OVER_BYTES = ("jobtide.skew.splitOverBytes", 64 * 1024 * 1024)
+ROWS_PER_SPLIT = ("jobtide.skew.rowsPerSplit", 1_000_000)
+# Most keys that are ever split. A key outside this many largest ones holds less than
+# one part in 50,000 of the rows, and the ordinary join takes it.
+MAX_HOT_KEYS = 50_000
+
+
+def _setting(df: DataFrame, setting: tuple[str, int]) -> int:
+    name, default = setting
+    return int(df.sparkSession.conf.get(name, str(default)))
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size of ``df``, or a huge one where it cannot be had."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(stats.sizeInBytes().toString())
+    except (AttributeError, Py4JError):
+        return sys.maxsize
+
+
+def hot_keys(many: DataFrame, on: list[str], rows_per_split: int) -> DataFrame:
+    """Keys with more rows than one task should take, and the tasks they get.
+
+    At most ``MAX_HOT_KEYS`` rows; the counts are combined before they are shuffled.
+    """
+    counted = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = (
+        counted.where(F.col("_rows") > rows_per_split)
+        .orderBy(F.desc("_rows"), *on)
+        .limit(MAX_HOT_KEYS)
+    )
+    return largest.select(
+        *[F.col(c).alias(f"_hot_{c}") for c in on],
+        F.ceil(F.col("_rows") / rows_per_split).alias("_splits"),
+    )
+
+
+def join_one(many: DataFrame, one: DataFrame, on: list[str], spread: list[str],
+             how: str = "left") -> DataFrame:
+    """Join ``many`` to ``one``, which holds at most one row per key.
+
+    Small input is joined plainly. Otherwise rows of a hot key are dealt over several
+    tasks by a hash of ``spread`` and the key's single partner is copied to each of
+    them. Copies are proportional to the rows, and no row is dropped. The hash is of
+    stored values, so a recomputed task deals its rows the same way.
+    """
+    if _estimated_bytes(many) <= _setting(many, SPLIT_OVER_BYTES):
+        return many.join(one, on, how)
+    hot = F.broadcast(hot_keys(many, on, _setting(many, ROWS_PER_SPLIT)))
+    splits = F.coalesce(F.col("_splits"), F.lit(1).cast("long"))
+    dropped = ["_splits", *[f"_hot_{c}" for c in on]]
+
+    def mark(df: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+        return df.join(hot, same, "left")
+
+    dealt = mark(many).withColumn("_deal", F.pmod(F.xxhash64(*spread), splits)).drop(*dropped)
+    copies = mark(one).withColumn(
+        "_deal", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1))).drop(*dropped)
+    return dealt.join(copies, [*on, "_deal"], how).drop("_deal")
