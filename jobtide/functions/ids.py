@@ -8,11 +8,14 @@ _HYPHENATED = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 UUID_TEXT = (
     rf"\A(?:[0-9a-fA-F]{{32}}|{_HYPHENATED}|\{{{_HYPHENATED}\}}|urn:uuid:{_HYPHENATED})\z"
 )
+_CANONICAL = r"\A[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
+_PARTS = r"\A(?:urn:uuid:)?\{?(.{8})-?(.{4})-?(.{4})-?(.{4})-?(.{12})\}?\z"
 
 
 def canonical_uuid(text: Column) -> Column:
-    """Lower-case hyphenated form of any accepted spelling, null for anything else."""
-    digits = F.lower(F.regexp_replace(text, r"\Aurn:uuid:|[{}-]", ""))
-    spelled = F.regexp_replace(
-        digits, r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
-    return F.when(text.rlike(UUID_TEXT), spelled)
+    """Lower-case hyphenated form of any accepted spelling, null for anything else.
+
+    Most ids are canonical as they are written; those are only tested.
+    """
+    spelled = F.lower(F.regexp_replace(text, _PARTS, "$1-$2-$3-$4-$5"))
+    return F.when(text.rlike(_CANONICAL), text).when(text.rlike(UUID_TEXT), spelled)

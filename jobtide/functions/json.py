@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def whole_document(text: Column) -> Column:
-    """The text as a one-element variant array; null if it is not exactly one document.
+def parse_document(text: Column) -> Column:
+    """The text as a variant array of one element, null if malformed.
 
-    The brackets make anything after the document a syntax error.
+    The brackets make anything after the document a syntax error or a second element.
     """
-    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    second = F.try_variant_get(parsed, "$[1]", "variant")
-    return F.when(second.isNull(), parsed)
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def is_whole(document: Column) -> Column:
+    """True if the parsed text was exactly one document."""
+    first = F.try_variant_get(document, "$[0]", "variant")
+    second = F.try_variant_get(document, "$[1]", "variant")
+    return first.isNotNull() & second.isNull()
 
 
 def field(document: Column, path: str) -> Column:

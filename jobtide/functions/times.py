@@ -13,8 +13,7 @@ RFC3339_TEXT = (
 
 def parse_rfc3339(text: Column) -> Column:
     """UTC instant, cut to microseconds; null if the text is malformed."""
-    upper = F.upper(F.regexp_replace(text, r"([+-]\d{2})(\d{2})\z", "$1:$2"))
-    return F.when(text.rlike(RFC3339_TEXT), upper.try_cast("timestamp"))
+    return F.when(text.rlike(RFC3339_TEXT), F.upper(text).try_cast("timestamp"))
 
 
 def moment(as_of: Column | datetime) -> Column:

@@ -8,7 +8,8 @@ whole log. Text is given once per job and not once per request.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.functions.json import field, text_of, whole_document
+from jobtide.functions.json import field, is_whole, parse_document, text_of
+from jobtide.functions.once import compute_once
 from jobtide.functions.text import drop_cr, has_text, is_runner_line
 from jobtide.operators.lookup import match_state
 from jobtide.operators.skew import join_one
@@ -52,12 +53,12 @@ def wanted_logs(requests: DataFrame, state: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Non-blank enveloped lines with their ``content``, null if a line is malformed."""
-    content = text_of(field(whole_document(F.col("line")), ".result.content"))
-    return (
-        lines.withColumn("line", drop_cr(F.col("line")))
-        .where(has_text(F.col("line")))
-        .select("job_id", "part", "line_no", content.alias("content"))
-    )
+    kept = ["job_id", "part", "line_no"]
+    enveloped = lines.withColumn("line", drop_cr(F.col("line"))).where(has_text(F.col("line")))
+    parsed = enveloped.select(*kept, parse_document(F.col("line")).alias("document"))
+    document = F.col("document")
+    content = F.when(is_whole(document), text_of(field(document, ".result.content")))
+    return compute_once(parsed, kept, content.alias("content"))
 
 
 def clean_lines(parsed: DataFrame) -> DataFrame:

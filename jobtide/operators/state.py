@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.ids import canonical_uuid
+from jobtide.functions.once import compute_once
 from jobtide.functions.status import known_phase
 from jobtide.functions.text import clean_name
 from jobtide.functions.times import moment, parse_rfc3339
@@ -26,41 +27,51 @@ def _check_items(items: DataFrame, as_of: Column) -> DataFrame:
     """
     meta, status = F.col("metadata"), F.col("status")
     labels = meta["labels"]
-    label = lambda key: F.try_element_at(labels, F.lit(key))
-    remote_uid = canonical_uuid(meta["uid"])
-    job_id = canonical_uuid(label(LABEL_JOB_ID))
-    started = parse_rfc3339(status["startedAt"])
-    finished = parse_rfc3339(status["finishedAt"])
+
+    def label(key: str) -> Column:
+        return F.try_element_at(labels, F.lit(key))
+
+    typed = items.select(
+        "*",
+        label(LABEL_JOB_ID).alias("raw_job_id"),
+        canonical_uuid(label(LABEL_JOB_ID)).alias("job_id"),
+        canonical_uuid(meta["uid"]).alias("remote_uid"),
+        known_phase(status["phase"]).alias("phase"),
+        parse_rfc3339(status["startedAt"]).alias("started"),
+        parse_rfc3339(status["finishedAt"]).alias("finished"),
+        label(LABEL_NAME).alias("raw_name"),
+        label(LABEL_SECRET).alias("raw_secret"),
+    )
+    # Looking for a value that is not there gives null if the array holds a null.
+    null_label = F.array_contains(F.map_values(labels), "\0").isNull()
     unreadable = (
         F.when(meta.isNull() | status.isNull(), "bad_document")
         .when(meta["name"].isNull(), "missing_name")
         .when(meta["uid"].isNull(), "missing_uid")
-        .when(remote_uid.isNull(), "bad_uid")
+        .when(F.col("remote_uid").isNull(), "bad_uid")
         .when(labels.isNull(), "missing_labels")
-        .when(F.exists(F.map_values(labels), lambda v: v.isNull()), "bad_label")
+        .when(null_label, "bad_label")
         .when(status["phase"].isNull(), "missing_phase")
         .when(status["startedAt"].isNull(), "missing_started_at")
-        .when(started.isNull(), "bad_started_at")
-        .when(status["finishedAt"].isNotNull() & finished.isNull(), "bad_finished_at")
+        .when(F.col("started").isNull(), "bad_started_at")
+        .when(status["finishedAt"].isNotNull() & F.col("finished").isNull(), "bad_finished_at")
     )
     unusable = (
-        F.when(label(LABEL_JOB_ID).isNull(), "missing_jobid")
-        .when(job_id.isNull(), "bad_jobid")
-        .when(known_phase(status["phase"]).isNull(), "unknown_phase")
+        F.when(F.col("raw_job_id").isNull(), "missing_jobid")
+        .when(F.col("job_id").isNull(), "bad_jobid")
+        .when(F.col("phase").isNull(), "unknown_phase")
     )
-    return items.select(
-        "*",
-        job_id.alias("job_id"),
-        remote_uid.alias("remote_uid"),
+    return compute_once(
+        typed, items.columns,
+        F.col("job_id"), F.col("remote_uid"),
         meta["resourceVersion"].alias("resource_version"),
-        F.coalesce(label(LABEL_NAME), F.lit(DEFAULT_NAME)).alias("name"),
-        known_phase(status["phase"]).alias("phase"),
-        started.alias("started"),
-        F.coalesce(finished, as_of).alias("updated"),
+        F.coalesce("raw_name", F.lit(DEFAULT_NAME)).alias("name"),
+        F.col("phase"), F.col("started"),
+        F.coalesce("finished", as_of).alias("updated"),
         meta["name"].alias("workflow_name"),
-        F.coalesce(label(LABEL_SECRET), F.lit(DEFAULT_SECRET)).alias("secret"),
+        F.coalesce("raw_secret", F.lit(DEFAULT_SECRET)).alias("secret"),
         F.coalesce(F.map_contains_key(labels, LABEL_ARCHIVED), F.lit(False)).alias("archived"),
-        label(LABEL_SECRET).isNull().alias("secret_missing"),
+        F.col("raw_secret").isNull().alias("secret_missing"),
         unreadable.isNotNull().alias("unreadable"),
         F.coalesce(unreadable, unusable).alias("reason"),
     )

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions.ids import canonical_uuid
-from jobtide.functions.json import field, kind, text_of, whole_document
+from jobtide.functions.json import field, is_whole, kind, parse_document, text_of
+from jobtide.functions.once import compute_once
 from jobtide.sources.text_lines import read_bodies
 
 # JSON field, column name and rule, in the order they are checked.
@@ -61,12 +62,13 @@ def parse_starts(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     (``origin``) pass through.
     """
     carried = [c for c in bodies.columns if c != "body"]
-    document = bodies.withColumn("document", whole_document(F.col("body")))
+    kept = [*carried, "body"]
+    document = compute_once(bodies, kept, parse_document(F.col("body")).alias("document"))
     raw = document.select(
-        *carried, "body",
+        *kept,
         field(F.col("document"), ".job.jobID").alias("raw_job_id"),
         field(F.col("document"), ".job.secret").alias("raw_secret"),
-        F.col("document").isNull().alias("undecoded"),
+        (~is_whole(F.col("document"))).alias("undecoded"),
         *[field(F.col("document"), f".config.{name}").alias(f"raw_{column}")
           for name, column, _ in CONFIG_FIELDS],
     )
@@ -77,17 +79,16 @@ def parse_starts(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
         values.append(typed.alias(column))
         problems.append(F.when(broken, F.when(value.isNull(), f"missing {name}")
                                .otherwise(f"bad {name}")))
-    checked = raw.select(
-        *carried, "body",
-        canonical_uuid(text_of(F.col("raw_job_id"))).alias("job_id"),
-        text_of(F.col("raw_secret")).alias("secret"),
-        F.struct(*values).alias("config"),
-        F.coalesce(F.when(F.col("undecoded"), F.lit("bad document")), *problems).alias("problem"),
-    ).withColumn("reason", F.when(F.col("problem") == "bad document", F.col("problem")).otherwise(
-        F.coalesce(
-            F.when(F.col("job_id").isNull(), F.lit("bad jobID")),
-            F.when(F.col("secret").isNull(), F.lit("bad secret")),
-            F.col("problem"))))
+    job_id = canonical_uuid(text_of(F.col("raw_job_id")))
+    secret = text_of(F.col("raw_secret"))
+    reason = F.coalesce(
+        F.when(F.col("undecoded"), F.lit("bad document")),
+        F.when(job_id.isNull(), F.lit("bad jobID")),
+        F.when(secret.isNull(), F.lit("bad secret")),
+        *problems)
+    checked = compute_once(
+        raw, kept, job_id.alias("job_id"), secret.alias("secret"),
+        F.struct(*values).alias("config"), reason.alias("reason"))
     good = checked.where("reason is null").select(*carried, "job_id", "secret", "config")
     rejected = checked.where("reason is not null").select(*carried, "body", "reason")
     return good, rejected

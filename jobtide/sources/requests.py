@@ -1,10 +1,11 @@
 """Status requests: a JSON list of (secret, job id) pairs per body."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.functions.ids import canonical_uuid
-from jobtide.functions.json import text_of, whole_document
+from jobtide.functions.ids import UUID_TEXT, canonical_uuid
+from jobtide.functions.json import is_whole, kind, parse_document
+from jobtide.functions.once import compute_once
 from jobtide.sources.text_lines import read_bodies
 
 
@@ -14,27 +15,31 @@ def parse_requests(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     One bad pair rejects its whole body. Accepted rows are
     ``(request_id, pos, job_id, secret)``, ``pos`` being the place in the list.
     """
-    pairs = F.try_variant_get(
-        whole_document(F.col("body")), "$[0].jobs",
-        "array<struct<secret variant, jobID variant>>")
-    typed = F.transform("pairs", lambda p: F.struct(
-        canonical_uuid(text_of(p["jobID"])).alias("job_id"),
-        text_of(p["secret"]).alias("secret")))
-    checked = (
-        bodies.withColumn("pairs", pairs)
-        .withColumn("jobs", typed)
-        .withColumn("reason", F.when(F.col("pairs").isNull(), "bad_list").when(
-            F.exists("jobs", lambda j: j["job_id"].isNull() | j["secret"].isNull()), "bad_job"))
-        .drop("pairs")
-    )
+    kept = ["request_id", "body"]
+    parsed = compute_once(bodies, kept, parse_document(F.col("body")).alias("document"))
+    pairs = F.try_variant_get("document", "$[0].jobs", "array<struct<secret variant, jobID variant>>")
+    listed = parsed.select(*kept, is_whole(F.col("document")).alias("whole"), pairs.alias("pairs"))
+    sound = F.forall("pairs", lambda p: (
+        (kind(p["secret"]) == "STRING") & (kind(p["jobID"]) == "STRING")
+        & _text(p["jobID"]).rlike(UUID_TEXT)))
+    reason = (
+        F.when(~F.col("whole") | F.col("pairs").isNull(), "bad_list")
+        .when(~F.coalesce(sound, F.lit(False)), "bad_job"))
+    checked = compute_once(listed, kept, F.col("pairs"), reason.alias("reason"))
     accepted = (
         checked.where("reason is null")
-        .select("request_id", F.posexplode("jobs").alias("pos", "job"))
-        .select("request_id", "pos", "job.*")
+        .select("request_id", F.posexplode("pairs").alias("pos", "pair"))
+        .select("request_id", "pos",
+                canonical_uuid(_text(F.col("pair.jobID"))).alias("job_id"),
+                _text(F.col("pair.secret")).alias("secret"))
     )
     rejected = checked.where("reason is not null").select("request_id", "body", "reason")
     return accepted, rejected
 
 
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
 def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_requests(read_bodies(spark, path))
