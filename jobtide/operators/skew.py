@@ -22,8 +22,7 @@ def _setting(df: DataFrame, setting: tuple[str, int]) -> int:
 def _estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size of ``df``, or a huge one where it cannot be had."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except (AttributeError, Py4JError):
         return sys.maxsize
 

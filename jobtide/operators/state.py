@@ -110,15 +110,18 @@ def flatten_snapshots(items: DataFrame, as_of: Column | datetime,
     return good, rejects
 
 
-def latest_state(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+def latest_state(rows: DataFrame, order: list[str] | None = None,
+                 columns: list[str] | None = None) -> DataFrame:
     """Last row per job in arrival order, the whole row replacing earlier ones.
 
     An aggregate rather than a ranked window: each task first reduces its own rows to
-    one per job, so a job with very many rows is never gathered.
+    one per job, so a job with very many rows is never gathered. The row travels as one
+    value, so name the state ``columns`` to keep if not all are needed.
     """
+    values = [c for c in columns or STATE_VALUES if c != "job_id"]
     arrival = F.struct(*(order or SNAPSHOT_ORDER))
-    newest = F.max_by(F.struct(*STATE_VALUES), arrival).alias("newest")
-    return rows.groupBy("job_id").agg(newest).select("job_id", "newest.*").select(*STATE_COLUMNS)
+    newest = F.max_by(F.struct(*values), arrival).alias("newest")
+    return rows.groupBy("job_id").agg(newest).select("job_id", "newest.*")
 
 
 def fold_changes(feed: DataFrame) -> DataFrame:

@@ -49,8 +49,13 @@ def _as_of():
     return F.expr(tables.AS_OF)
 
 
-def _state(spark, sf_dir):
-    return state.latest_state(tables.view(spark, sf_dir, tables.FEED), order=["seq"])
+def _state(spark, sf_dir, *columns):
+    feed = tables.view(spark, sf_dir, tables.FEED)
+    return state.latest_state(feed, order=["seq"], columns=list(columns))
+
+
+ANSWERED = ["secret", "status", "started", "updated", "name"]
+LOGGED = ["secret", "status", "archived", "remote_uid", "workflow_name"]
 
 
 def _requests(spark, sf_dir):
@@ -155,7 +160,8 @@ def request_rejects(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    return lookup.lookup_jobs(_requests(spark, sf_dir), _state(spark, sf_dir), _as_of())
+    return lookup.lookup_jobs(
+        _requests(spark, sf_dir), _state(spark, sf_dir, *ANSWERED), _as_of())
 
 
 @_query
@@ -175,7 +181,7 @@ def lookup_failed(spark, sf_dir):
 
 @_query
 def public_state(spark, sf_dir):
-    return lookup.public_rows(_state(spark, sf_dir))
+    return lookup.public_rows(_state(spark, sf_dir, *ANSWERED))
 
 
 @_query
@@ -183,7 +189,7 @@ def request_lookup(spark, sf_dir):
     """Lookups straight from request bodies, told apart by body and place."""
     accepted, _ = parse_requests(tables.view(spark, sf_dir, tables.REQUEST_BODIES))
     return lookup.lookup_jobs(
-        accepted, _state(spark, sf_dir), _as_of(), spread=["request_id", "pos"])
+        accepted, _state(spark, sf_dir, *ANSWERED), _as_of(), spread=["request_id", "pos"])
 
 
 # Deletes
@@ -235,7 +241,7 @@ def job_parameters(spark, sf_dir):
 
 def _plans(spark, sf_dir):
     return submissions.plan_submissions(
-        _starts(spark, sf_dir)[0], _state(spark, sf_dir), PREFIX, TOOL_VERSION, NAMESPACE)
+        _starts(spark, sf_dir)[0], _state(spark, sf_dir, "secret", "name"), PREFIX, TOOL_VERSION, NAMESPACE)
 
 
 @_query
@@ -286,7 +292,7 @@ def log_chunks(spark, sf_dir):
 
 def _logs(spark, sf_dir):
     return logs.assemble_logs(
-        _requests(spark, sf_dir), _state(spark, sf_dir),
+        _requests(spark, sf_dir), _state(spark, sf_dir, *LOGGED),
         tables.log_lines(spark, sf_dir), tables.archived_lines(spark, sf_dir))
 
 
@@ -303,7 +309,8 @@ def job_logs(spark, sf_dir):
 # File lists
 
 def _result_answers(spark, sf_dir, strict=False):
-    return manifests.result_answers(_requests(spark, sf_dir), _state(spark, sf_dir), strict)
+    return manifests.result_answers(
+        _requests(spark, sf_dir), _state(spark, sf_dir, *ANSWERED), strict)
 
 
 @_query
@@ -323,7 +330,7 @@ def result_manifest(spark, sf_dir):
 
 @_query
 def result_urls(spark, sf_dir):
-    jobs = lookup.public_rows(_state(spark, sf_dir)).where("status = 'SUCCESSFUL'")
+    jobs = lookup.public_rows(_state(spark, sf_dir, *ANSWERED)).where("status = 'SUCCESSFUL'")
     ready = jobs.select("job_id", "name", F.lit("OK").alias("outcome"))
     return manifests.with_urls(manifests.result_manifest(ready), ENDPOINT, BUCKET)
 
