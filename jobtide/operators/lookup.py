@@ -29,7 +29,8 @@ def match_state(requests: DataFrame, state: DataFrame, columns: list[str],
 
 def public_rows(state: DataFrame) -> DataFrame:
     """State as callers see it; jobs that were never started are left out."""
-    return state.dropna(subset=["status", "started", "updated"]).select(
+    started = state.where("status is not null and started is not null and updated is not null")
+    return started.select(
         "job_id", public_status(F.col("status")).alias("status"), "started", "updated", "name")
 
 

@@ -36,6 +36,6 @@ def hot_keys_split(spark):
 
 @pytest.fixture
 def hot_keys_plain(spark):
-    spark.conf.set("jobtide.skew.splitOverBytes", str(2**62))
+    spark.conf.set("jobtide.skew.splitOverBytes", str(2**100))
     yield
     spark.conf.unset("jobtide.skew.splitOverBytes")

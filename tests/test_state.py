@@ -1,0 +1,238 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import AS_OF, END, START, job, rows_of, state_of, state_row
+from jobtide.operators.state import (
+    apply_tombstones, flatten_snapshots, fold_changes, latest_state, register_jobs, upsert_state,
+)
+from jobtide.schemas import LABEL_ARCHIVED, SNAPSHOT_SCHEMA, STATE_COLUMNS, STATE_SCHEMA
+
+ITEM = SNAPSHOT_SCHEMA["items"].dataType.elementType
+DDL = f"snapshot string, snapshot_ts timestamp, pos int, item {ITEM.simpleString()}"
+GOOD = {"name": "wf", "uid": job(7).upper(), "resourceVersion": "5",
+        "labels": {"jobid": job(1), "name": "n", "secret": "s"}}
+RUNNING = {"phase": "Running", "startedAt": "2024-04-01T08:00:00Z", "finishedAt": None}
+
+
+def items_of(spark, *rows):
+    """Rows of (snapshot, pos, metadata, status)."""
+    packed = [(s, START, p, None if m is None else (m, st)) for s, p, m, st in rows]
+    return spark.createDataFrame(packed, DDL).select(
+        "snapshot", "snapshot_ts", "pos", "item.metadata", "item.status")
+
+
+def meta(**changed):
+    return GOOD | changed
+
+
+def labels(**changed):
+    return GOOD | {"labels": {k: v for k, v in (GOOD["labels"] | changed).items() if v != ""}}
+
+
+def status(**changed):
+    return RUNNING | changed
+
+
+def test_flatten_good_row(spark):
+    archived = meta(labels=GOOD["labels"] | {LABEL_ARCHIVED: "x"})
+    good, rejects = flatten_snapshots(
+        items_of(spark, ("a", 0, GOOD, RUNNING),
+                 ("a", 1, archived, status(phase="Failed", finishedAt="2024-04-01T11:00:00+02:00"))),
+        AS_OF)
+    assert rejects.count() == 0
+    first, second = good.orderBy("pos").collect()
+    assert first.asDict() == dict(
+        snapshot="a", snapshot_ts=START, pos=0, job_id=job(1), remote_uid=job(7),
+        resource_version="5", name="n", status="Running", started=START, updated=AS_OF,
+        workflow_name="wf", secret="s", archived=False, secret_missing=False)
+    assert (second.status, second.updated, second.archived) == ("Failed", END, True)
+
+
+def test_flatten_defaults(spark):
+    bare = meta(resourceVersion=None, labels={"jobid": job(1)})
+    good, _ = flatten_snapshots(items_of(spark, ("a", 0, bare, RUNNING)), AS_OF)
+    row = good.first()
+    assert (row.secret, row.name, row.secret_missing, row.resource_version) == (
+        "Unknown", "Unknown name", True, None)
+
+
+BAD = [
+    (None, None, "bad_document", True),
+    (meta(name=None), RUNNING, "missing_name", True),
+    (meta(uid=None), RUNNING, "missing_uid", True),
+    (meta(uid="x"), RUNNING, "bad_uid", True),
+    (meta(labels=None), RUNNING, "missing_labels", True),
+    (labels(extra=None), RUNNING, "bad_label", True),
+    (GOOD, status(phase=None), "missing_phase", True),
+    (GOOD, status(startedAt=None), "missing_started_at", True),
+    (GOOD, status(startedAt="today"), "bad_started_at", True),
+    (GOOD, status(finishedAt="later"), "bad_finished_at", True),
+    (labels(jobid=""), RUNNING, "missing_jobid", False),
+    (labels(jobid="nope"), RUNNING, "bad_jobid", False),
+    (GOOD, status(phase="Omitted"), "unknown_phase", False),
+]
+
+
+def test_flatten_reasons(spark):
+    items = items_of(spark, *[("a", i, m, s) for i, (m, s, _, _) in enumerate(BAD)], ("a", 99, GOOD, RUNNING))
+    good, rejects = flatten_snapshots(items, AS_OF)
+    assert rows_of(good, "pos") == [(99,)]
+    seen = [(r.reason, r.unreadable) for r in rejects.orderBy("pos").collect()]
+    assert seen == [(reason, unreadable) for _, _, reason, unreadable in BAD]
+
+
+def prefix_case(spark):
+    return items_of(
+        spark,
+        ("clean", 0, GOOD, RUNNING), ("clean", 1, GOOD, RUNNING),
+        ("cut", 0, GOOD, RUNNING), ("cut", 1, labels(jobid="x"), RUNNING),
+        ("cut", 2, GOOD, RUNNING), ("cut", 3, GOOD, status(phase="?")), ("cut", 4, GOOD, RUNNING),
+        ("lost", 0, GOOD, RUNNING), ("lost", 1, GOOD, status(startedAt=None)),
+        ("cut first", 0, labels(jobid=""), RUNNING), ("cut first", 1, GOOD, RUNNING),
+    )
+
+
+@pytest.mark.parametrize("mode", ["hot_keys_split", "hot_keys_plain"])
+def test_prefix_policy(spark, mode, request):
+    request.getfixturevalue(mode)
+    good, rejects = flatten_snapshots(prefix_case(spark), AS_OF, on_error="prefix")
+    assert rows_of(good, "snapshot", "pos") == [("clean", 0), ("clean", 1), ("cut", 0)]
+    assert rows_of(rejects, "snapshot", "pos", "reason") == [
+        ("cut", 1, "bad_jobid"), ("cut", 2, "after_bad_item"), ("cut", 3, "unknown_phase"),
+        ("cut", 4, "after_bad_item"), ("cut first", 0, "missing_jobid"),
+        ("cut first", 1, "after_bad_item"),
+        ("lost", 0, "snapshot_unreadable"), ("lost", 1, "missing_started_at")]
+
+
+def test_unknown_policy(spark):
+    with pytest.raises(ValueError):
+        flatten_snapshots(prefix_case(spark), AS_OF, on_error="ignore")
+
+
+def snapshot_rows(spark, count=400, jobs=15, seed=3):
+    """Random snapshot rows; job 0 holds about a third of them."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        number = 0 if rng.random() < 0.33 else rng.randrange(jobs)
+        when = START + timedelta(minutes=rng.randrange(60))
+        rows.append(state_row(number, workflow_name=f"wf-{i}") + (when, f"f{rng.randrange(3)}", i))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STATE_SCHEMA)
+    return rows, schema + ", snapshot_ts timestamp, snapshot string, pos int"
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_latest_state_ignores_row_order(spark, partitions):
+    rows, schema = snapshot_rows(spark)
+    expected = {}
+    for row in sorted(rows, key=lambda r: r[-3:]):
+        expected[row[0]] = row[:len(STATE_COLUMNS)]
+    random.Random(partitions).shuffle(rows)
+    df = spark.createDataFrame(rows, schema).repartition(partitions)
+    assert rows_of(latest_state(df), *STATE_COLUMNS) == sorted(expected.values(), key=str)
+
+
+def test_latest_state_reduces_before_its_only_shuffle(spark):
+    rows, schema = snapshot_rows(spark)
+    plan = latest_state(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert plan.index("max_by") < plan.index("Exchange") < plan.index("partial_max_by")
+
+
+FEED = ("seq long, kind string, "
+        + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STATE_SCHEMA))
+
+
+def change(seq, kind, number, secret):
+    full = kind in ("INIT", "SNAPSHOT")
+    moment = START + timedelta(minutes=seq)
+    return (seq, kind) + state_row(
+        number, secret=secret,
+        status="Running" if kind == "SNAPSHOT" else None,
+        started=moment if kind in ("SNAPSHOT", "START") else None,
+        updated=moment if kind in ("SNAPSHOT", "START") else None,
+        workflow_name=f"wf-{seq}" if kind in ("SNAPSHOT", "START") else None,
+        name=f"n{seq}" if full else None, remote_uid=job(seq) if full else None,
+        resource_version=None, archived=full and seq % 2 == 0)
+
+
+def fold_one_by_one(feed):
+    """The same changes applied in turn to a keyed table."""
+    table = {}
+    at = {name: i for i, name in enumerate(STATE_COLUMNS)}
+    for seq, kind, *row in sorted(feed):
+        known = table.get(row[at["job_id"]])
+        if kind in ("INIT", "SNAPSHOT"):
+            table[row[at["job_id"]]] = list(row)
+        elif known is not None and known[at["secret"]] == row[at["secret"]]:
+            if kind == "DELETE":
+                del table[row[at["job_id"]]]
+            else:
+                known[at["status"]] = "Pending"
+                for name in ("workflow_name", "started", "updated"):
+                    known[at[name]] = row[at[name]]
+    return sorted(map(tuple, table.values()), key=lambda r: [(v is None, str(v)) for v in r])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fold_equals_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    feed = [
+        change(seq, rng.choice(["INIT", "SNAPSHOT", "START", "START", "DELETE"]),
+               0 if rng.random() < 0.33 else rng.randrange(1, 60), rng.choice(["a", "a", "b"]))
+        for seq in range(500)]
+    shuffled = feed[:]
+    rng.shuffle(shuffled)
+    df = spark.createDataFrame(shuffled, FEED).repartition(rng.randrange(1, 9))
+    assert rows_of(fold_changes(df), *STATE_COLUMNS) == fold_one_by_one(feed)
+
+
+@pytest.mark.parametrize("kinds, alive, phase", [
+    ([("INIT", "a")], True, None),
+    ([("INIT", "a"), ("START", "a")], True, "Pending"),
+    ([("INIT", "a"), ("START", "b")], True, None),
+    ([("INIT", "a"), ("DELETE", "b")], True, None),
+    ([("INIT", "a"), ("DELETE", "a"), ("START", "a")], False, None),
+    ([("INIT", "a"), ("START", "a"), ("DELETE", "a")], False, None),
+    ([("SNAPSHOT", "a"), ("DELETE", "a"), ("SNAPSHOT", "a")], True, "Running"),
+    ([("SNAPSHOT", "a"), ("SNAPSHOT", "b"), ("DELETE", "a")], True, "Running"),
+    ([("SNAPSHOT", "a"), ("SNAPSHOT", "b"), ("DELETE", "b")], False, None),
+    ([("START", "a"), ("DELETE", "a")], False, None),
+])
+def test_fold_cases(spark, kinds, alive, phase):
+    feed = [change(i, kind, 1, secret) for i, (kind, secret) in enumerate(kinds)]
+    rows = fold_changes(spark.createDataFrame(feed, FEED)).collect()
+    assert [r.status for r in rows] == ([phase] if alive else [])
+
+
+def test_fold_never_orders_whole_histories(spark):
+    df = spark.createDataFrame([change(0, "INIT", 1, "a")], FEED)
+    plan = fold_changes(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange") == 2
+
+
+def test_register_jobs(spark):
+    inits = spark.createDataFrame([(job(1), "k", "My genome #1")], "job_id string, secret string, name string")
+    registered = register_jobs(inits)
+    assert registered.schema.simpleString() == STATE_SCHEMA.simpleString()
+    assert rows_of(registered) == [
+        (job(1), None, None, "My_genome_1", None, None, None, None, "k", False)]
+
+
+def test_upsert_replaces_whole_rows(spark):
+    old = state_of(spark, state_row(1), state_row(2, remote_uid=job(5)))
+    new = state_of(spark, state_row(2, status="Failed", remote_uid=None), state_row(3))
+    assert rows_of(upsert_state(old, new)) == [
+        state_row(1), state_row(2, status="Failed", remote_uid=None), state_row(3)]
+
+
+def test_tombstones(spark):
+    seen = state_of(spark, *[state_row(n) for n in range(1, 5)]).withColumn("snapshot_ts", F.lit(END))
+    late, early = END + timedelta(hours=1), END - timedelta(hours=1)
+    stones = spark.createDataFrame([
+        (job(1), "s1", late), (job(1), "s1", early), (job(2), "s2", early), (job(3), "wrong", late),
+    ], "job_id string, secret string, deleted_at timestamp")
+    assert rows_of(apply_tombstones(seen, stones), "job_id") == [(job(2),), (job(3),), (job(4),)]
