@@ -77,9 +77,14 @@ def _archived_pieces(archived: DataFrame, jobs: DataFrame) -> DataFrame:
     A file that ends in a newline has as many bytes as its lines plus one each. A byte
     order mark, three bytes long, is not part of the first line.
     """
+    sizes = archived.select(
+        "job_id", "part", "line_no", "file_size", (F.octet_length("line") + 1).alias("bytes"))
+    parts = sizes.groupBy("job_id", "part").agg(
+        F.max("line_no").alias("line_no"), F.sum("bytes").alias("bytes"),
+        F.max("file_size").alias("file_size"))
     place = F.struct("part", "line_no")
-    extra = F.sum(F.octet_length("line") + 1) - F.max("file_size")
-    ends = archived.groupBy("job_id").agg(
+    extra = F.sum("bytes") - F.max("file_size")
+    ends = parts.groupBy("job_id").agg(
         F.max(place).alias("last"), extra.isin(1, -2).alias("open_ended"))
     jobs = jobs.join(ends, "job_id", "left")
     rows = join_one(archived, jobs, ["job_id"], ["part", "line_no"], "inner")

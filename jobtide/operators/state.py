@@ -77,9 +77,9 @@ def _check_items(items: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def flatten_snapshots(items: DataFrame, as_of: Column | datetime,
-                      on_error: str = "quarantine") -> tuple[DataFrame, DataFrame]:
-    """Split snapshot items into state rows and reject rows.
+def classify_items(items: DataFrame, as_of: Column | datetime,
+                   on_error: str = "quarantine") -> DataFrame:
+    """Snapshot items as state rows, each with the ``reason`` it is rejected for or null.
 
     ``on_error="quarantine"`` rejects bad items only. ``on_error="prefix"`` also drops
     every item from the first bad one on, and the whole snapshot if any of its items is
@@ -101,6 +101,11 @@ def flatten_snapshots(items: DataFrame, as_of: Column | datetime,
             F.when(F.col("pos") > F.col("first_bad"), "after_bad_item")))
     elif on_error != "quarantine":
         raise ValueError(f"on_error is 'quarantine' or 'prefix', not {on_error!r}")
+    return checked
+
+
+def split_items(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State rows and reject rows of classified items."""
     good = checked.where("reason is null").select(
         "snapshot", "snapshot_ts", "pos",
         *[F.col("phase").alias("status") if c == "status" else F.col(c) for c in STATE_COLUMNS],
@@ -110,6 +115,15 @@ def flatten_snapshots(items: DataFrame, as_of: Column | datetime,
     return good, rejects
 
 
+def flatten_snapshots(items: DataFrame, as_of: Column | datetime,
+                      on_error: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """State rows and reject rows of snapshot items, see :func:`classify_items`.
+
+    To parse the documents only once for both, land the classified items first.
+    """
+    return split_items(classify_items(items, as_of, on_error))
+
+
 def latest_state(rows: DataFrame, order: list[str] | None = None,
                  columns: list[str] | None = None) -> DataFrame:
     """Last row per job in arrival order, the whole row replacing earlier ones.

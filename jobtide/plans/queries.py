@@ -14,7 +14,7 @@ from jobtide.functions.times import parse_rfc3339
 from jobtide.functions.urls import encoded_disposition
 from jobtide.operators import deletes, logs, lookup, manifests, state, submissions
 from jobtide.plans import tables
-from jobtide.session import configure, fresh_path
+from jobtide.session import configure, configure_streaming, fresh_path
 from jobtide.sources.configs import parse_starts
 from jobtide.sources.requests import parse_requests
 from jobtide.sources.snapshots import parse_snapshots
@@ -134,6 +134,7 @@ def snapshot_state(spark, sf_dir):
 
 @_query
 def stream_state(spark, sf_dir):
+    configure_streaming(spark)
     source = tables.read(spark, sf_dir, "events")
     # As a pattern the path may be one file or a folder of files.
     events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/event[s].parquet")

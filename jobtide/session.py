@@ -12,6 +12,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configure_streaming(spark: SparkSession) -> SparkSession:
+    """Keep streaming state on disk: it has a row for every job there ever was."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

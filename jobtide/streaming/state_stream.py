@@ -45,10 +45,20 @@ def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
 
 
 def read_stream_state(spark: SparkSession, path: str, schema: T.StructType,
-                      order: list[str] | None = None) -> DataFrame:
-    """Current state from the stored changes, with the order columns of each row."""
+                      order: list[str] | None = None, base: str | None = None,
+                      after_batch: int | None = None) -> DataFrame:
+    """Current state from the stored changes, with the order columns of each row.
+
+    Once such a state has been written as a ``base``, name it and the last batch in it,
+    and only later batches are read. Reading a batch twice does no harm.
+    """
     order = order or SNAPSHOT_ORDER
     stored = spark.read.schema(schema).parquet(path)
+    if after_batch is not None:
+        stored = stored.where(F.col("batch") > after_batch)
+    stored = stored.select(*schema.fieldNames())
+    if base is not None:
+        stored = stored.unionByName(spark.read.schema(schema).parquet(base))
     newest = F.max_by(F.struct(*STATE_VALUES, *order), F.struct(*order)).alias("newest")
     return stored.groupBy("job_id").agg(newest).select("job_id", "newest.*")
 

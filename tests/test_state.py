@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import AS_OF, END, START, job, rows_of, state_of, state_row
+from jobtide.operators.sinks import land_items
 from jobtide.operators.state import (
-    apply_tombstones, flatten_snapshots, fold_changes, latest_state, register_jobs, upsert_state,
+    apply_tombstones, classify_items, flatten_snapshots, fold_changes, latest_state, register_jobs, split_items,
+    upsert_state,
 )
 from jobtide.schemas import LABEL_ARCHIVED, SNAPSHOT_SCHEMA, STATE_COLUMNS, STATE_SCHEMA
 
@@ -107,6 +109,19 @@ def test_prefix_policy(spark, mode, request):
         ("lost", 0, "snapshot_unreadable"), ("lost", 1, "missing_started_at")]
 
 
+def test_landed_items_are_read_by_verdict(spark, tmp_path):
+    path = str(tmp_path / "items")
+    land_items(classify_items(prefix_case(spark), AS_OF), path)
+    good, rejects = split_items(spark.read.parquet(path))
+    assert rows_of(good, "snapshot", "pos") == rows_of(
+        flatten_snapshots(prefix_case(spark), AS_OF)[0], "snapshot", "pos")
+    assert rejects.count() == 4
+    kept = spark.read.parquet(path).where("verdict = 'accepted'")
+    plan = split_items(kept)[0].select("job_id")._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.index("PartitionFilters"):]
+    assert "accepted" in read and "metadata" not in read
+
+
 def test_unknown_policy(spark):
     with pytest.raises(ValueError):
         flatten_snapshots(prefix_case(spark), AS_OF, on_error="ignore")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import job, rows_of
 from jobtide.operators.state import flatten_snapshots, latest_state
 from jobtide.schemas import STATE_COLUMNS
+from jobtide.session import configure_streaming
 from jobtide.sources.snapshots import read_snapshots, stream_snapshots
 from jobtide.streaming.state_stream import read_stream_state, start_state_stream, stored_schema
 
@@ -29,6 +30,7 @@ def flat_stream(spark, folder):
 
 
 def drain(spark, folder, out):
+    configure_streaming(spark)
     rows = flat_stream(spark, folder)
     query = start_state_stream(rows, f"{out}/changes", f"{out}/checkpoint", drain=True)
     query.awaitTermination()
@@ -68,6 +70,19 @@ def test_batches_store_only_changed_jobs(spark, tmp_path):
     assert sorted(r["count"] for r in sizes) == [1, 20]
 
 
+def test_stored_base_replaces_early_batches(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    write_snapshot(folder, "a.json", 1_000, item(1, "Pending", 1), item(2, "Pending", 1))
+    drain(spark, folder, out).write.parquet(f"{out}/base")
+    write_snapshot(folder, "b.json", 2_000, item(1, "Running", 2), item(3, "Pending", 1))
+    whole = drain(spark, folder, out)
+    schema = stored_schema(flat_stream(spark, folder))
+    later = read_stream_state(spark, f"{out}/changes", schema, base=f"{out}/base", after_batch=0)
+    assert rows_of(later) == rows_of(whole)
+    assert "PartitionFilters: [isnotnull(batch" in later._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rewritten_batch_leaves_no_duplicates(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
