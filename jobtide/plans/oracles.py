@@ -370,10 +370,10 @@ ORACLES = {
     "result_manifest": f"""with {STATE}, {REQUESTS} select pos, job_id, started, updated, name, kind,
     'jobs/' || job_id || '/results/result.' || ext as key, name || '.' || ext filename
   from ({_result_answers(LOOSE)}), {_values(RESULT_FILES)} f(kind, ext) where outcome = 'OK'""",
-    "result_urls": f"""with {STATE}, files as (select job_id, name, kind,
+    "result_urls": f"""with {STATE}, {REQUESTS}, files as (select pos, kind,
     'jobs/' || job_id || '/results/result.' || ext as key, name || '.' || ext filename
-  from state, {_values(RESULT_FILES)} f(kind, ext) where status = 'Succeeded')
-  select *, 'https://{BUCKET}.s3.example.org/' || key || '?response-content-disposition='
+  from ({_result_answers(LOOSE)}), {_values(RESULT_FILES)} f(kind, ext) where outcome = 'OK')
+  select pos, kind, filename, 'https://{BUCKET}.s3.example.org/' || key || '?response-content-disposition='
     || {_encoded('filename')} url from files""",
     "upload_manifest": f"""with files as (select job_id, link, 'jobs/' || job_id || '/inputs/' || file
     as key from ({tables.sql(tables.INITS)}), {_values(INPUT_FILES)} f(link, file))

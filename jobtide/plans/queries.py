@@ -331,9 +331,8 @@ def result_manifest(spark, sf_dir):
 
 @_query
 def result_urls(spark, sf_dir):
-    jobs = lookup.public_rows(_state(spark, sf_dir, *ANSWERED)).where("status = 'SUCCESSFUL'")
-    ready = jobs.select("job_id", "name", F.lit("OK").alias("outcome"))
-    return manifests.with_urls(manifests.result_manifest(ready), ENDPOINT, BUCKET)
+    files = manifests.result_manifest(_result_answers(spark, sf_dir))
+    return manifests.with_urls(files, ENDPOINT, BUCKET).select("pos", "kind", "filename", "url")
 
 
 @_query
