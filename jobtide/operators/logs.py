@@ -71,8 +71,8 @@ def broken_logs(parsed: DataFrame) -> DataFrame:
     return parsed.where("content is null").select("job_id").distinct()
 
 
-def _archived_pieces(archived: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Raw lines with their line ends; the last one has none if the file had none.
+def log_ends(archived: DataFrame) -> DataFrame:
+    """Per archived log its ``last`` line, and whether that line is ``open_ended``.
 
     A file that ends in a newline has as many bytes as its lines plus one each. A byte
     order mark, three bytes long, is not part of the first line.
@@ -82,14 +82,9 @@ def _archived_pieces(archived: DataFrame, jobs: DataFrame) -> DataFrame:
     parts = sizes.groupBy("job_id", "part").agg(
         F.max("line_no").alias("line_no"), F.sum("bytes").alias("bytes"),
         F.max("file_size").alias("file_size"))
-    place = F.struct("part", "line_no")
     extra = F.sum("bytes") - F.max("file_size")
-    ends = parts.groupBy("job_id").agg(
-        F.max(place).alias("last"), extra.isin(1, -2).alias("open_ended"))
-    jobs = jobs.join(ends, "job_id", "left")
-    rows = join_one(archived, jobs, ["job_id"], ["part", "line_no"], "inner")
-    line_end = F.when(F.col("open_ended") & (place == F.col("last")), "").otherwise("\n")
-    return rows.select("job_id", "part", "line_no", F.concat("line", line_end).alias("piece"))
+    return parts.groupBy("job_id").agg(
+        F.max(F.struct("part", "line_no")).alias("last"), extra.isin(1, -2).alias("open_ended"))
 
 
 def log_chunks(pieces: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -113,21 +108,27 @@ def assemble_logs(requests: DataFrame, state: DataFrame, lines: DataFrame, archi
     Every wanted job with a log table has at least one chunk, so an empty log is ``""``;
     a malformed line leaves its job with one chunk of null text and ``log_error`` set.
     """
-    wanted = wanted_logs(requests, state)
     parsed = parse_lines(lines)
-    broken = broken_logs(parsed).withColumn("log_error", F.lit(True))
-    running = (
-        wanted.where("source = 'LINES'").join(broken, "job_id", "left")
-        .select("job_id", F.coalesce("log_error", F.lit(False)).alias("log_error"))
+    broken = broken_logs(parsed).select(
+        "job_id", F.lit("LINES").alias("source"), F.lit(True).alias("broken"))
+    ends = log_ends(archived).withColumn("source", F.lit("ARCHIVED"))
+    jobs = (
+        wanted_logs(requests, state).where("source in ('LINES', 'ARCHIVED')")
+        .join(broken, ["job_id", "source"], "left")
+        .join(ends, ["job_id", "source"], "left")
+        .withColumn("log_error", F.coalesce("broken", F.lit(False)))
     )
-    stored = wanted.where("source = 'ARCHIVED'").select("job_id")
-    kept = join_one(clean_lines(parsed), running.where("not log_error"), ["job_id"],
+    place = ["job_id", "part", "line_no"]
+    stored = clean_lines(parsed).select(
+        *place, F.lit("LINES").alias("source"), F.col("content").alias("line"),
+    ).unionByName(archived.select(*place, F.lit("ARCHIVED").alias("source"), "line"))
+    told = join_one(stored, jobs.where("not log_error"), ["job_id", "source"],
                     ["part", "line_no"], "inner")
-    from_lines = kept.select(
-        "job_id", "part", "line_no", F.concat("content", F.lit("\n")).alias("piece"), "log_error")
-    from_archive = _archived_pieces(archived, stored).withColumn("log_error", F.lit(False))
-    seeds = running.unionByName(stored.withColumn("log_error", F.lit(False))).select(
+    at_end = F.col("open_ended") & (F.struct("part", "line_no") == F.col("last"))
+    pieces = told.select(
+        *place, F.concat("line", F.when(at_end, "").otherwise("\n")).alias("piece"), "log_error")
+    seeds = jobs.select(
         "job_id", F.lit(0).cast("long").alias("part"), F.lit(-1).cast("long").alias("line_no"),
         F.lit("").alias("piece"), "log_error")
-    pieces = from_lines.unionByName(from_archive).unionByName(seeds)
+    pieces = pieces.unionByName(seeds)
     return route_logs(requests, state), log_chunks(pieces, chunk_lines)
