@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.status import is_terminal, public_status
 from jobtide.functions.times import moment
-from jobtide.operators.skew import join_one
+from jobtide.operators.skew import join_one, only_asked
 
 
 def match_state(requests: DataFrame, state: DataFrame, columns: list[str],
@@ -18,7 +18,8 @@ def match_state(requests: DataFrame, state: DataFrame, columns: list[str],
     because a wrong secret and an unknown job are different answers.
     """
     known = state.select("job_id", *[F.col(c).alias(f"state_{c}") for c in ["secret", *columns]])
-    joined = join_one(requests, known, ["job_id"], spread)
+    asked = only_asked(known, requests, ["job_id"])
+    joined = join_one(requests, asked, ["job_id"], spread)
     access = (
         F.when(F.col("state_secret").isNull(), "NOT_FOUND")
         .when(F.col("secret").eqNullSafe(F.col("state_secret")), "OK")

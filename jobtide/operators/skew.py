@@ -1,4 +1,4 @@
-"""Many-to-one joins that stay balanced when few keys hold most rows."""
+"""Many-to-one joins that stay balanced when few keys hold most rows, and move little."""
 
 import sys
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # Session settings and their defaults.
 SPLIT_OVER_BYTES = ("jobtide.skew.splitOverBytes", 64 * 1024 * 1024)
 ROWS_PER_SPLIT = ("jobtide.skew.rowsPerSplit", 1_000_000)
+FEW_BYTES = ("jobtide.skew.fewBytes", 10 * 1024 * 1024)
 # Most keys that are ever split. A key outside this many largest ones holds less than
 # one part in 50,000 of the rows, and the ordinary join takes it.
 MAX_HOT_KEYS = 50_000
@@ -27,6 +28,19 @@ def _estimated_bytes(df: DataFrame) -> int:
         return sys.maxsize
 
 
+def only_asked(one: DataFrame, many: DataFrame, on: list[str]) -> DataFrame:
+    """``one`` without the rows no row of ``many`` asks for, if it is large and ``many`` small.
+
+    A left join cannot broadcast its left side, so a handful of requests would have the
+    whole of a large table shuffled. A semi-join can. Whether to broadcast stays with
+    the optimizer, which goes by the same estimates.
+    """
+    few = _setting(many, FEW_BYTES)
+    if _estimated_bytes(many) > few or _estimated_bytes(one) <= few:
+        return one
+    return one.join(many.select(*on).distinct(), on, "left_semi")
+
+
 def hot_keys(many: DataFrame, on: list[str], rows_per_split: int) -> DataFrame:
     """Keys with more rows than one task should take, and the tasks they get.
 

@@ -262,6 +262,24 @@ def test_bucketed_state_is_not_shuffled(spark, hot_keys_plain):
     assert plan.count("Exchange") == 1
 
 
+def test_few_requests_do_not_move_the_state(spark, tmp_path):
+    state_path, request_path = str(tmp_path / "state"), str(tmp_path / "requests")
+    # Enough rows that the state is the larger one, with the limit between the two sizes.
+    write_state(state_of(spark, *[state_row(n, secret=f"s{n}") for n in range(3000)]), state_path)
+    requests_of(spark, *LOOKUPS).coalesce(1).write.parquet(request_path)
+    stored, asked = spark.read.parquet(state_path), spark.read.parquet(request_path)
+    plain = lookup_jobs(asked, stored, AS_OF)
+    assert "LeftSemi" not in plain._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("jobtide.skew.fewBytes", "8000")
+    try:
+        thinned = lookup_jobs(asked, stored, AS_OF)
+        plan = thinned._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert rows_of(thinned) == rows_of(plain)
+    finally:
+        spark.conf.unset("jobtide.skew.fewBytes")
+
+
 def test_state_scan_is_pruned_and_filtered(spark, tmp_path):
     path = str(tmp_path / "state")
     write_state(jobs(spark), path)
