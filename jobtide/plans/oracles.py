@@ -227,6 +227,17 @@ PLANS = f"""{STARTS}, {STATE}, plans as (select p.pos, p.job_id,
       || ',secret=' || s.secret labels, 'jobid=' || p.job_id a, 'parameter=' || {PARAMETERS} b
     from starts p left join state s on s.job_id = p.job_id)"""
 
+# Registrations
+
+INITS = f"""bodies as ({tables.sql(tables.INIT_BODIES)}),
+  docs as (select *, case when json_valid(body) then cast(body as json) end doc from bodies),
+  checked as (select *, json_extract_string(doc, '$.name') as name, case
+    when doc is null then 'bad document' when json_type(doc, '$.name') is null then 'missing name'
+    when json_type(doc, '$.name') <> 'VARCHAR' then 'bad name'
+    when json_type(doc, '$.repliconTableType') is null then 'missing repliconTableType'
+    when json_extract_string(doc, '$.repliconTableType') not in ('CSV', 'TSV')
+    then 'bad repliconTableType' end reason from docs)"""
+
 # Deletes
 
 DELETES = f"""{STATE}, asked as ({tables.sql(tables.DELETES)}),
@@ -274,6 +285,10 @@ ORACLES = {
     "stream_state": _LATEST,
     "fold_changes": FOLD,
     "register_jobs": _registered(tables.INITS),
+    "init_scan": f"with {INITS} " + REGISTERED.format(
+        name=CLEAN_NAME.format("name"), none=tables.NO_TIME,
+        source="select * from checked where reason is null"),
+    "init_rejects": f"with {INITS} select job_id, body, reason from checked where reason is not null",
     "upsert_state": f"""with {STATE}, new as ({_registered(tables.NEW_JOBS)})
   select {STATE_LIST} from new union all
   select {STATE_LIST} from state where job_id not in (select job_id from new)""",

@@ -16,6 +16,7 @@ from jobtide.operators import deletes, logs, lookup, manifests, state, submissio
 from jobtide.plans import tables
 from jobtide.session import configure, configure_streaming, fresh_path
 from jobtide.sources.configs import parse_starts
+from jobtide.sources.inits import parse_inits
 from jobtide.sources.requests import parse_requests
 from jobtide.sources.snapshots import parse_snapshots
 from jobtide.sources.submit_results import parse_submit_results
@@ -79,6 +80,17 @@ def register_jobs(spark, sf_dir):
     return state.register_jobs(tables.view(spark, sf_dir, tables.INITS))
 
 
+@_query
+def init_scan(spark, sf_dir):
+    accepted, _ = parse_inits(tables.view(spark, sf_dir, tables.INIT_BODIES))
+    return state.register_jobs(accepted)
+
+
+@_query
+def init_rejects(spark, sf_dir):
+    return parse_inits(tables.view(spark, sf_dir, tables.INIT_BODIES))[1]
+
+
 @_query
 def upsert_state(spark, sf_dir):
     new = state.register_jobs(tables.view(spark, sf_dir, tables.NEW_JOBS))

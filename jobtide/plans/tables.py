@@ -94,6 +94,17 @@ INITS = ("customer", [
     "concat(c_name, ' / ', c_mktsegment, ' (', cast(c_nationkey as string), ')..') as name",
 ])
 
+INIT_BODIES = ("customer", [
+    f"{job_sql('c_custkey')} as job_id",
+    "concat('k', cast(c_custkey as string)) as secret",
+    """concat('{"name":', case when c_nationkey = 1 then 'null' else
+        concat('"', c_name, ' / ', c_mktsegment, '"') end,
+        case when c_nationkey = 2 then '' when c_nationkey = 3 then ',"repliconTableType":"csv"'
+          when c_acctbal < 0 then ',"repliconTableType":"TSV"'
+          else ',"repliconTableType":"CSV"' end,
+        case when c_nationkey = 4 then '' else '}' end) as body""",
+])
+
 NEW_JOBS = ("supplier", [
     f"{job_sql('s_suppkey * 2')} as job_id",
     "concat('k', cast(s_suppkey as string)) as secret",

@@ -46,8 +46,8 @@ def test_quote(spark):
 
 
 @pytest.mark.parametrize("line, seen", [
-    ("", False), ("  \t", False), (" ", False), (" 　", False),
-    ("x", True), ("  .", True),
+    ("", False), ("  \t", False), ("\u00a0", False), ("\u2003\u3000", False),
+    ("x", True), ("  .", True),
 ])
 def test_has_text(spark, line, seen):
     assert value(spark, line, text.has_text) is seen

@@ -23,7 +23,7 @@ def lines_of(spark, *rows):
 
 
 def test_clean_lines(spark):
-    raw = ["", "  ", " ", envelope("a"), envelope("b") + "\r", envelope(""), envelope("x argo=true y"),
+    raw = ["", "  ", "\u00a0", envelope("a"), envelope("b") + "\r", envelope(""), envelope("x argo=true y"),
            envelope("ARGO=true"), "  " + envelope("c")]
     parsed = parse_lines(lines_of(spark, *[(1, i, line) for i, line in enumerate(raw)]))
     assert rows_of(clean_lines(parsed), "line_no", "content") == [
@@ -57,7 +57,7 @@ def test_assemble_logs(spark, mode, request):
         (2, 0, envelope("hidden")), (3, 0, envelope("hidden")),
         (6, 0, envelope("fine")), (6, 1, "broken"), (99, 0, envelope("nobody asks")))
     archived = spark.createDataFrame([
-        (job(3), 12, 0, 0, "raw argo=true"[:4]), (job(3), 12, 0, 1, ""), (job(3), 12, 0, 2, "last \r"),
+        (job(3), 21, 0, 0, "raw argo=true"), (job(3), 21, 0, 1, ""), (job(3), 21, 0, 2, "last \r"),
         (job(1), 3, 0, 0, "no"),
     ], ARCHIVED)
     asked = [(n, n, f"s{n}") for n in range(1, 11)] + [(11, 1, "s1"), (12, 1, "x"), (13, 3, "x")]
@@ -81,7 +81,7 @@ def test_assemble_logs(spark, mode, request):
         (job(1), 0, 0, "l0\nl1\nl2\nl3\n", False),
         (job(1), 0, 1, "l4\nl5\nl6\nl7\n", False),
         (job(1), 0, 2, "l8\n", False),
-        (job(3), 0, 0, "raw \n\nlast \r", False),
+        (job(3), 0, 0, "raw argo=true\n\nlast \r", False),
         (job(6), 0, 0, None, True),
         (job(7), 0, 0, "", False),
         (job(9), 0, 0, "", False)]
@@ -98,7 +98,7 @@ def whole_logs(chunks):
 def test_logs_from_files_keep_every_byte(spark, tmp_path, hot_keys_split):
     running = [f"step {i} " + "y" * (i % 29) for i in range(3000)]
     archived = "".join(f"raw {i}\r\n" for i in range(3000))
-    texts = {3: archived + "open end", 9: archived, 10: "\n", 11: "", 12: "﻿marked"}
+    texts = {3: archived + "open end", 9: archived, 10: "\n", 11: "", 12: "\ufeffmarked"}
     (tmp_path / "live").mkdir()
     (tmp_path / "kept").mkdir()
     (tmp_path / "live" / f"{job(1)}.log").write_text(
@@ -118,7 +118,7 @@ def test_logs_from_files_keep_every_byte(spark, tmp_path, hot_keys_split):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[job(1)] == "".join(line + "\n" for line in running)
-    assert {n: seen[job(n)] for n in texts} == {n: t.lstrip("﻿") for n, t in texts.items()}
+    assert {n: seen[job(n)] for n in texts} == {n: t.lstrip("\ufeff") for n, t in texts.items()}
     assert longest < 100 * 45
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import job, rows_of
 from jobtide.sources.configs import parse_starts, read_starts
+from jobtide.sources.inits import parse_inits
 from jobtide.sources.logs import read_archived_logs, read_log_lines
 from jobtide.sources.requests import parse_requests, read_requests
 from jobtide.sources.snapshots import read_snapshots
@@ -191,3 +192,25 @@ def test_submit_results(spark):
         (4, job(4), "nope"),
     ], "pos long, job_id string, body string")
     assert rows_of(parse_submit_results(rows)) == [(1, job(1), "w", datetime(2024, 4, 1, 8))]
+
+
+@pytest.mark.parametrize("body, reason", [
+    ('{"name":"My genome","repliconTableType":"CSV"}', None),
+    ('{"name":"","repliconTableType":"TSV","more":1}', None),
+    ('{"repliconTableType":"CSV"}', "missing name"),
+    ('{"name":7,"repliconTableType":"CSV"}', "bad name"),
+    ('{"name":null,"repliconTableType":"CSV"}', "bad name"),
+    ('{"name":"n"}', "missing repliconTableType"),
+    ('{"name":"n","repliconTableType":"csv"}', "bad repliconTableType"),
+    ('{"name":"n","repliconTableType":null}', "bad repliconTableType"),
+    ('nope', "bad document"),
+])
+def test_inits(spark, body, reason):
+    bodies = spark.createDataFrame([(job(1), "k", body)], "job_id string, secret string, body string")
+    good, rejected = parse_inits(bodies)
+    if reason is None:
+        assert rows_of(good, "job_id", "secret", "name") == [(job(1), "k", json.loads(body)["name"])]
+        assert rejected.count() == 0
+    else:
+        assert good.count() == 0
+        assert rows_of(rejected, "reason") == [(reason,)]
