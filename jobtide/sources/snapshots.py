@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.functions.once import compute_once
 from jobtide.schemas import SNAPSHOT_SCHEMA
+from jobtide.sources.text_lines import read_lines
 
 _ITEM = SNAPSHOT_SCHEMA["items"].dataType.elementType
 
@@ -34,6 +36,20 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return explode_items(_documents(raw))
 
 
+def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Items of snapshots stored with one item per line, one file per poll.
+
+    A document is read by one task, a file of lines in splits: use this for snapshots too
+    large for a task. ``pos`` is the (split, line) place, which orders like a position.
+    """
+    lines = read_lines(spark, path).where(F.trim("line") != "").select(
+        F.col("file").alias("snapshot"), F.col("file_time").alias("snapshot_ts"),
+        F.struct("part", "line_no").alias("pos"), "line")
+    place = ["snapshot", "snapshot_ts", "pos"]
+    decoded = compute_once(lines, place, F.from_json("line", _ITEM).alias("item"))
+    return decoded.select(*place, "item.metadata", "item.status")
+
+
 def stream_snapshots(spark: SparkSession, path: str,
                      files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA).option("multiLine", True)

@@ -12,7 +12,7 @@ def file_stem(path: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, file_size, part, line_no, line)`` for every ``\\n``-ended line.
+    """``(file, file_time, file_size, part, line_no, line)`` for every ``\\n``-ended line.
 
     Large files stay splittable. ``part`` is the byte where the split begins and
     ``line_no`` rises inside it, so ``(part, line_no)`` is the order within a file.
@@ -20,6 +20,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n").text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("line_no"),

@@ -6,12 +6,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import job, rows_of
+from helpers import END, job, rows_of
+from jobtide.operators.state import flatten_snapshots, latest_state
 from jobtide.sources.configs import parse_starts, read_starts
 from jobtide.sources.inits import parse_inits
 from jobtide.sources.logs import read_archived_logs, read_log_lines
 from jobtide.sources.requests import parse_requests, read_requests
-from jobtide.sources.snapshots import read_snapshots
+from jobtide.sources.snapshots import read_snapshot_lines, read_snapshots
 from jobtide.sources.submit_results import parse_submit_results
 from jobtide.sources.text_lines import read_lines
 
@@ -41,6 +42,34 @@ def test_snapshots_explode_in_order(spark, tmp_path):
     assert items.where("snapshot_ts is null").count() == 0
 
 
+def test_snapshot_lines_equal_documents(spark, tmp_path):
+    items = [
+        {"metadata": {"name": f"w{i}", "uid": job(i), "labels": {"jobid": job(i % 50)}},
+         "status": {"phase": "Omitted" if i == 700 else "Running", "startedAt": "2024-04-01T08:00:00Z"}}
+        for i in range(1000)]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "whole" / "a.json").write_text(json.dumps({"items": items}))
+    (tmp_path / "lines" / "a.json").write_text("\n".join(map(json.dumps, items)) + "\n\n")
+    documents = read_snapshots(spark, str(tmp_path / "whole"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = read_snapshot_lines(spark, str(tmp_path / "lines"))
+        assert lines.select("pos.part").distinct().count() > 1
+        for on_error in ["quarantine", "prefix"]:
+            good, rejects = flatten_snapshots(lines, END, on_error)
+            wanted, refused = flatten_snapshots(documents, END, on_error)
+            names = ["job_id", "workflow_name"]
+            assert rows_of(good, *names) == rows_of(wanted, *names)
+            assert rows_of(latest_state(good), *names) == rows_of(latest_state(wanted), *names)
+            assert rejects.groupBy("reason").count().collect() == refused.groupBy("reason").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "lines" / "a.json").write_text("{broken\n" + json.dumps(items[0]) + "\n")
+    _, rejects = flatten_snapshots(read_snapshot_lines(spark, str(tmp_path / "lines")), END)
+    assert [r.reason for r in rejects.collect()] == ["bad_document"]
+
+
 def test_snapshot_reads_only_named_fields(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"items": []}')
     plan = read_snapshots(spark, str(tmp_path)).select("metadata.name")
