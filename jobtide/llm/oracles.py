@@ -1,0 +1,89 @@
+"""DuckDB SQL for the queries here that SQL can express."""
+
+_URL = r"""select page_id, coalesce(url, '') as u, instr(coalesce(url, ''), '://') as cut_at from pages"""
+
+OP3 = rf"""
+with raw as ({_URL}),
+cut as (select page_id, u, case when cut_at = 0 then '' else substr(u, cut_at + 3) end as rest from raw),
+parts as (
+  select page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+    regexp_extract(rest, '^[^/?#]*((?s).*)$', 1) as tail
+  from cut),
+listed as (select * from (values ('net/', 'net', '/', 'block'),
+  ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'),
+  ('org/fr/', 'org', '/fr/', 'allow')) as r(rule, site, prefix, verdict)),
+fits as (
+  select p.page_id, arg_max(l.rule, length(l.rule)) as rule,
+    arg_max(l.verdict, length(l.rule)) as verdict
+  from parts p join listed l on (p.host = l.site or ends_with(p.host, '.' || l.site))
+    and starts_with(p.path, l.prefix)
+  group by p.page_id)
+select p.page_id, p.host, p.path, f.rule,
+  case when f.verdict is not null then f.verdict
+    when regexp_matches(p.host || p.tail, '^([^/?#]*\.)?adserver\.')
+      or regexp_matches(p.host || p.tail, '^([^/?#]*\.)?doubleclick\.[a-z]+(/|$)')
+      or regexp_matches(p.host || p.tail, '^[^/?#]*/([^?#]*/)?ads/')
+      or regexp_matches(p.host || p.tail, '/banner/[^?#]*\.(gif|png|jpg)')
+      or regexp_matches(p.host || p.tail, '/(pixel|beacon)\.gif')
+      or regexp_matches(p.host || p.tail, '^[^/?#]*/cgi-bin/')
+      or regexp_matches(p.host || p.tail, '^[^/?#]*/([^?#]*/)?login(\.[a-z]+)?([?]|$)')
+      or regexp_matches(p.host || p.tail, '[?&]date=[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+    then 'block' else 'allow' end as verdict
+from parts p left join fits f on p.page_id = f.page_id
+"""
+
+_PHRASES = ["all rights reserved", "cookie policy", "enable javascript", "lorem ipsum",
+            "privacy policy", "subscribe to our newsletter", "terms of service", "terms of use"]
+_BOILERPLATE = " or ".join(f"contains(lower(line), '{p}')" for p in _PHRASES)
+_SPACE = r"[ \t\n\x0b\f\r]"
+
+OP10 = rf"""
+with texts as (select row_number() over () as row_id, doc_id, coalesce(text, '') as t
+  from documents),
+words as (select row_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), x -> x <> '') as w
+  from texts),
+placed as (select row_id, w[i] as word, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram
+  from (select row_id, w, unnest(range(1, len(w) + 1)) as i from words)),
+twice as (select row_id, i from (
+  select row_id, i, count(*) over (partition by row_id, gram) as n from placed
+  where gram is not null) where n > 1),
+covered as (select row_id, count(distinct i + d) as n_repeat_words
+  from twice cross join (values (0), (1), (2)) as s(d) group by row_id),
+lines as (select row_id, k, l[k] as line from (
+  select row_id, l, unnest(range(1, len(l) + 1)) as k
+  from (select row_id, string_split(t, chr(10)) as l from texts))
+  where regexp_matches(l[k], '[^ \t\n\x0b\f\r]')),
+judged as (select *,
+    regexp_matches(line, '[|][^|]*[|][^|]*[|]')
+    or length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 0.1 * length(line)
+    or not regexp_matches(line, '[.!?…]["''»”)\]]*({_SPACE}|$)')
+    or (regexp_matches(line, '!!{_SPACE}*$') and line = upper(line))
+    or {_BOILERPLATE} as fails
+  from lines),
+by_line as (select row_id, count(*) - count(distinct line) as n_dup_lines,
+    sum(length(line) + 1) - 1 as chars,
+    greatest(coalesce(sum(length(line) + 1) filter (where not fails), 0) - 1, 0) as good_chars
+  from judged group by row_id),
+counted as (
+  select x.doc_id, len(w.w) as n_words, length(array_to_string(w.w, '')) as word_chars,
+    length(x.t) - length(regexp_replace(x.t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(b.n_dup_lines, 0) as n_dup_lines, coalesce(c.n_repeat_words, 0) as n_repeat_words,
+    coalesce(b.chars, 0) as chars, coalesce(b.good_chars, 0) as good_chars
+  from texts x join words w on x.row_id = w.row_id left join by_line b on x.row_id = b.row_id
+  left join covered c on x.row_id = c.row_id)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+  cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars - good_chars <= 0.5 * chars
+    as kept
+from counted
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op3_url_filter": OP3, "op10_quality_rules": OP10}
