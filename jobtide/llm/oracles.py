@@ -44,7 +44,7 @@ _SPACE = r"[ \t\n\x0b\f\r]"
 OP10 = rf"""
 with texts as (select row_number() over () as row_id, doc_id, coalesce(text, '') as t
   from documents),
-words as (select row_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), x -> x <> '') as w
+words as (select row_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') as w
   from texts),
 placed as (select row_id, w[i] as word, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram
   from (select row_id, w, unnest(range(1, len(w) + 1)) as i from words)),

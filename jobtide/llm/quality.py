@@ -5,13 +5,15 @@ much of its text with them is rejected. Repetition inside a document is judged b
 the hashes of its three-word windows, so no row leaves its task: there is no shuffle.
 
 Defined results: a null text has no words and is rejected; so is an empty one. Equal rows
-get equal verdicts. An empty table gives an empty table. Columns of other names are left
-alone; working columns carry a prefix and may not clash.
+get equal verdicts. An empty table gives an empty table. Result
+columns replace columns of the same names; working columns carry a prefix.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.llm.columns import only_kept
+
 NOT_SPACE = "[^ \\t-\\r]"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -22,6 +24,10 @@ BOILERPLATE = [
 ]
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+           "cleaned_text", "base_failed", "kept"]
+
+
 def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with ``columns``, each computed once however often it is used above.
 
@@ -93,7 +99,7 @@ def judge_quality(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     split = _barrier(
-        docs,
+        docs.drop(*RESULTS),
         _q_words=F.filter(F.split(body, "[ \\t-\\r]+"), lambda x: x != ""),
         _q_lines=F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACE))),
         _q_furniture=_has_furniture(body),
@@ -119,5 +125,4 @@ def judge_quality(
 
 def drop_low_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only."""
-    judged = judge_quality(docs, text)
-    return judged.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return only_kept(docs, text, lambda d: judge_quality(d, text), "kept")
