@@ -1,11 +1,12 @@
 """Texts of Arrow batches as byte arrays, in pieces of bounded size."""
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,11 +52,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v
 
 
-def powers(count: int) -> np.ndarray:
+def powers(count: int, base: int = int(_MULTIPLIER)) -> np.ndarray:
     """1, m, m * m, ... as 64-bit values that wrap around."""
     out = np.ones(count, np.uint64)
     done = 1
-    step = np.array([_MULTIPLIER])  # an array, as scalars warn when they wrap around
+    step = np.array([base], np.uint64)  # an array, as scalars warn when they wrap around
     while done < count:
         take = min(done, count - done)
         out[done:done + take] = out[:take] * step
@@ -64,15 +65,32 @@ def powers(count: int) -> np.ndarray:
     return out
 
 
+@cache
+def _ladders() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, for pieces of the usual size."""
+    inverse = pow(int(_MULTIPLIER), -1, 1 << 64)
+    return powers(PIECE_BYTES), powers(PIECE_BYTES, inverse)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans are in order, not empty and do not overlap."""
+    """A 64-bit hash of each span; spans are in order, not empty and do not overlap.
+
+    The sum of (value + 1) times a power by the place in the span, scrambled.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    firsts = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=firsts[1:])
-    place = np.arange(total, dtype=np.int64) - np.repeat(firsts, lengths)
-    values = data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-    values *= powers(int(lengths.max()))[place]
-    return mixed(np.add.reduceat(values, firsts) + lengths.astype(np.uint64) * _MULTIPLIER)
+    if len(data) <= PIECE_BYTES:
+        up, down = _ladders()
+        values = data.astype(np.uint64)
+        values += np.uint64(1)
+        values *= up[:len(data)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        totals = (sums[ends] - sums[starts]) * down[starts]
+    else:  # one very long text: powers only up to the longest span
+        total = int(lengths.sum())
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(total, dtype=np.int64) - np.repeat(firsts, lengths)
+        values = data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+        totals = np.add.reduceat(values * powers(int(lengths.max()))[place], firsts)
+    return mixed(totals + lengths.astype(np.uint64) * _MULTIPLIER)

@@ -1,0 +1,87 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from jobtide.llm import splitter, texts, token_counts
+from jobtide.llm.token_counts import Merges, Transducer, count_tokens, count_tokens_of
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+PARTS = ["'s", "'re", "'r", "'", " ", "  ", "\n", "\t", "a", "S", "the", "é", "漢", "字", "😀", "1", "23",
+         "!", "...", "\x85", "'ll", "'l", "l", "<|endoftext|>", "<|", "ß", "́", "x" * 50, "٣",
+         "Ⅷ", "_", "-", " ", "\x1c", " the", "ing"]
+ENDS = ["'r", "'v", "'l", "a 'r", "", " ", "   ", "a  ", "aaaa" * 300, "<|endoftext|><|endoftext|>",
+        " <|endoftext|> ", None, "é" * 4000]
+
+
+@pytest.fixture(scope="module")
+def merges():
+    return Merges(PATH)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def random_texts(seed, count):
+    draw = random.Random(seed)
+    return ["".join(draw.choice(PARTS) for _ in range(draw.randrange(30))) for _ in range(count)] + ENDS
+
+
+@pytest.mark.parametrize("max_states", [300_000, 50])
+def test_against_the_library(merges, library, max_states):
+    made = Transducer(merges, max_states)
+    for seed in range(4):
+        some = random_texts(seed, 300)
+        wanted = [len(library.encode(t or "", add_special_tokens=False).ids) for t in some]
+        assert count_tokens_of(pa.array(some), made).tolist() == wanted
+
+
+def test_merging_of_words_against_the_library(merges, library):
+    for word in ["hello", " world", "internationalization", "zzzzzzzz", "'ll"]:
+        assert len(merges.tokenize(word.encode())) == len(library.encode(word).ids)
+
+
+def test_splits_do_not_depend_on_chunks(monkeypatch):
+    some = [t for t in random_texts(9, 200) if t]
+    data, starts, ends = texts.text_bytes(pa.array(some))
+    points, lead = splitter.code_points(data)
+    firsts = splitter.first_characters(lead, starts, ends)
+    classes = splitter.class_table()[points]
+    for joined in (True, False):
+        seen = []
+        for chunk in (1, 2, 7, 128, 10**6):
+            monkeypatch.setattr(splitter, "CHUNK", chunk)
+            seen.append(splitter.word_starts(classes, firsts, joined).tolist())
+        assert all(s == seen[0] for s in seen)
+
+
+def test_code_points():
+    text = "aé漢😀\x00ÿ߿ࠀ"
+    points, lead = splitter.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert points.tolist() == [ord(c) for c in text]
+
+
+def test_table(spark, library):
+    rows = [(i, t, i % 3) for i, t in enumerate(random_texts(5, 50))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    counted = count_tokens(table, PATH)
+    assert counted.columns == ["doc_id", "n_bytes", "n_tokens"]
+    wanted = {i: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids))
+              for i, t, _ in rows}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in counted.collect()} == wanted
+    assert count_tokens(table.filter("false"), PATH).count() == 0
+
+
+def test_sample_documents(spark, library):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    wanted = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in table.collect()}
+    assert {r.doc_id: r.n_tokens for r in count_tokens(table, PATH).collect()} == wanted
+
+
+def test_cache_of_the_worker():
+    assert token_counts.transducer_for(PATH) is token_counts.transducer_for(PATH)
