@@ -9,7 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import decontamination, packing, quality, secret_scan, token_counts, url_filter
+from jobtide.llm import (
+    decontamination,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    token_counts,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +73,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -74,5 +86,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
         op1_best_fit_packing, op3_url_filter, op4_secret_scan, op6_benchmark_decontamination,
-        op7_token_counts, op10_quality_rules,
+        op7_token_counts, op8_near_dedup, op10_quality_rules,
     ]}
