@@ -84,6 +84,46 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from counted
 """
 
+OP5 = """
+with records as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+    sha1(encode(coalesce(html, ''))) as payload_digest from pages),
+heads as (select payload_digest, max(page_id) as head from records where payload_bytes >= 1000
+  group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+  case when h.head is not null and (page_id is null or page_id < h.head) then 'revisit'
+    else 'response' end as record_type,
+  case when h.head is not null and (page_id is null or page_id < h.head) then h.head end
+    as refers_to
+from records left join heads h using (payload_digest)
+"""
+
+# Character ranges of the words: after lower-casing, all but the ASCII that is no letter or digit.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+with texts as (select row_number() over () as row_id, doc_id, {_WORDS} as w from documents),
+items as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+windows as (select distinct item, least(13, len(w)) as n,
+    array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as gram
+  from (select item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items
+    where len(w) > 0)),
+sizes as (select distinct n from windows),
+grams as (select row_id, i, n, array_to_string(w[i:i + n - 1], ' ') as gram
+  from (select row_id, w, n, unnest(range(1, len(w) - n + 2)) as i from texts cross join sizes
+    where len(w) >= n)),
+found as (select g.row_id, g.i, g.n, x.item from grams g join windows x on g.gram = x.gram and g.n = x.n),
+hit as (select row_id, count(distinct place) as n_hit
+  from (select row_id, unnest(range(i, i + n)) as place from found) group by row_id),
+named as (select row_id, list_sort(list(distinct item)) as items from found group by row_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+  cast(coalesce(len(items), 0) as bigint) as n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from texts left join hit using (row_id) left join named using (row_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3, "op10_quality_rules": OP10}
+    return {"op3_url_filter": OP3, "op5_warc": OP5, "op6_benchmark_decontamination": OP6,
+            "op10_quality_rules": OP10}

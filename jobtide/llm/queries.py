@@ -14,9 +14,11 @@ from jobtide.llm import (
     near_dedup,
     packing,
     quality,
+    scratch,
     secret_scan,
     token_counts,
     url_filter,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +61,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.span_list(spans).alias("spans"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.fresh_path(spark, "archives")
+    warc.write_archives(warc.plan_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
+    entries = warc.read_archives(spark, path, keep_payload=False)
+    return entries.filter("problem = ''").select(
+        F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").try_cast("long").alias("refers_to"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontamination.mark_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -85,6 +96,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
-        op1_best_fit_packing, op3_url_filter, op4_secret_scan, op6_benchmark_decontamination,
-        op7_token_counts, op8_near_dedup, op10_quality_rules,
+        op1_best_fit_packing, op3_url_filter, op4_secret_scan, op5_warc,
+        op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op10_quality_rules,
     ]}

@@ -1,0 +1,142 @@
+import gzip
+import hashlib
+import random
+import zlib
+
+from jobtide.llm import warc
+from jobtide.llm.warc import format_record, plan_records, read_archives, read_entries, write_archives
+
+DATE = "2024-01-01T00:00:00Z"
+
+
+def made(number, payload, kind="response"):
+    return format_record({
+        "record_id": number, "uri": f"http://a/{number}", "payload": payload, "record_type": kind,
+        "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(),
+        "refers_to": None}, DATE)
+
+
+def member(data):
+    return gzip.compress(data)
+
+
+def ids(data):
+    """Numbers of the records read; -1 where damage has hit the number's line."""
+    names = [r["record_id"] or "" for _, _, problem, r in read_entries(data) if not problem]
+    return [int(n) if n.isdigit() else -1 for n in names]
+
+
+def gaps(data):
+    return [(a, b, problem) for a, b, problem, _ in read_entries(data) if problem]
+
+
+def covered(data):
+    """Records and gaps cover every byte once."""
+    at = 0
+    for start, end, _, _ in read_entries(data):
+        assert start in (at,)
+        at = end
+    return at == len(data)
+
+
+PAYLOADS = [b"", b"x" * 50, b"WARC/1.1\r\nnot a record\r\n\r\n", bytes(range(256)) * 20,
+            b"\x1f\x8b\x08 not a member", "é漢".encode() * 400]
+
+
+def test_whole_archives():
+    plain = b"".join(made(i, p) for i, p in enumerate(PAYLOADS))
+    packed = b"".join(member(made(i, p)) + warc.EMPTY_MEMBER for i, p in enumerate(PAYLOADS))
+    for data in (plain, packed, plain + packed):
+        assert ids(data)[:6] == list(range(6))
+        assert gaps(data) == []
+        assert [r["payload"] for _, _, _, r in read_entries(data)][:6] == PAYLOADS
+    assert zlib.decompress(warc.EMPTY_MEMBER, 31) == b""
+    assert ids(b"") == [] and ids(b"garbage") == [] and gaps(b"garbage") == [(0, 7, "no version line")]
+
+
+def test_salvage_after_damage():
+    records = [made(i, p) for i, p in enumerate(PAYLOADS)]
+    starts = [sum(map(len, records[:i])) for i in range(7)]
+    whole = b"".join(records)
+    # a byte of a payload
+    hurt = bytearray(whole)
+    hurt[starts[1] + len(records[1]) - 10] ^= 1
+    assert ids(bytes(hurt)) == [0, 2, 3, 4, 5]
+    assert gaps(bytes(hurt)) == [(starts[1], starts[2], "wrong digest")]
+    # bytes lost from a payload: the length no longer holds
+    hurt = whole[:starts[3] + 500] + whole[starts[3] + 600:]
+    assert ids(hurt) == [0, 1, 2, 4, 5]
+    assert gaps(hurt) == [(starts[3], starts[4] - 100, "wrong length")]
+    # noise between records, and a cut end
+    hurt = whole[:starts[2]] + b"noise" * 9 + whole[starts[2]:-30]
+    assert ids(hurt) == [0, 1, 2, 3, 4]
+    assert gaps(hurt)[0] == (starts[2], starts[2] + 45, "no version line")
+    assert covered(hurt)
+
+
+def test_salvage_of_members():
+    members = [member(made(i, p)) for i, p in enumerate(PAYLOADS)]
+    starts = [sum(map(len, members[:i])) for i in range(7)]
+    whole = b"".join(members)
+    hurt = bytearray(whole)
+    hurt[starts[3] + 60] ^= 0xFF
+    assert ids(bytes(hurt)) == [0, 1, 2, 4, 5]
+    assert [(a, b) for a, b, _ in gaps(bytes(hurt))] == [(starts[3], starts[4])]
+    assert ids(whole[10:]) == [1, 2, 3, 4, 5]
+
+
+def test_random_damage_loses_only_what_is_hurt():
+    draw = random.Random(8)
+    for _ in range(60):
+        parts = [draw.choice([member, bytes])(made(i, bytes(draw.randrange(256) for _ in range(draw.randrange(300)))))
+                 for i in range(8)]
+        struck = draw.randrange(8)
+        starts = [sum(map(len, parts[:i])) for i in range(9)]
+        hurt = bytearray(b"".join(parts))
+        for _ in range(3):
+            hurt[draw.randrange(starts[struck], starts[struck + 1])] ^= draw.randrange(1, 256)
+        seen = ids(bytes(hurt))
+        assert set(range(8)) - {struck} <= set(seen)
+        assert covered(bytes(hurt))
+
+
+def expected(rows):
+    out = []
+    for page, _, html in rows:
+        data = (html or "").encode()
+        peers = [p for p, _, h in rows if (h or "").encode() == data and p is not None]
+        revisit = len(data) >= 1000 and peers and (page is None or page < max(peers))
+        out.append((None if page is None else str(page), len(data), hashlib.sha1(data).hexdigest(),
+                    "revisit" if revisit else "response", str(max(peers)) if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_round_trip(spark, tmp_path):
+    rows = [(1, "http://a/\r\nb", "é" * 600), (2, None, "é" * 600), (3, "u", "é" * 600), (4, "u", "short"),
+            (5, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", "\x1f\x8b\x08 WARC/1.1\r\n\r\n" * 90),
+            (3, "u", "é" * 600), (None, "u", "é" * 600), (9, "u", "z" * 999), (10, "u", "z" * 999)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "archives")
+    write_archives(plan_records(pages, "page_id", "url", "html").repartition(3), path)
+    back = read_archives(spark, path).collect()
+    assert not [r for r in back if r.problem]
+    seen = [(r.record_id or None, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back]
+    assert sorted(seen, key=str) == expected(rows)
+    for r in back:
+        assert r.record_type == "revisit" or hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest
+
+
+def test_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    path = str(tmp_path / "none")
+    write_archives(plan_records(pages, "page_id", "url", "html"), path)
+    assert read_archives(spark, path).count() == 0
+
+
+def test_sample_pages(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    path = str(tmp_path / "pages")
+    write_archives(plan_records(pages, "page_id", "url", "html"), path)
+    seen = [(r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+            for r in read_archives(spark, path).collect()]
+    assert sorted(seen, key=str) == expected([(r.page_id, r.url, r.html) for r in pages.collect()])
