@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobtide.llm import (
     decontamination,
+    html_extract,
     near_dedup,
     packing,
     quality,
@@ -88,6 +89,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -97,5 +103,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
         op1_best_fit_packing, op3_url_filter, op4_secret_scan, op5_warc,
-        op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op10_quality_rules,
+        op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op9_html_extraction,
+        op10_quality_rules,
     ]}
