@@ -15,6 +15,7 @@ from jobtide.llm import (
     near_dedup,
     packing,
     quality,
+    repeats,
     scratch,
     secret_scan,
     token_counts,
@@ -42,6 +43,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, [*SITE_RULES, *url_filter.PATTERN_RULES])
@@ -102,7 +107,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
-        op1_best_fit_packing, op3_url_filter, op4_secret_scan, op5_warc,
+        op1_best_fit_packing, op2_suffix_array_dedup, op3_url_filter, op4_secret_scan, op5_warc,
         op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op9_html_extraction,
         op10_quality_rules,
     ]}
