@@ -3,16 +3,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.operators.skew import join_one
+from jobtide.operators.lookup import match_state
 from jobtide.schemas import STATE_COLUMNS
 
 
+def _first_requests(requests: DataFrame) -> DataFrame:
+    """One row per (job, secret), with its first place."""
+    return requests.groupBy("job_id", "secret").agg(F.min("pos").alias("deleted_by"))
+
+
 def mark_deleted(requests: DataFrame, state: DataFrame) -> DataFrame:
     """State with ``deleted_by``: the first request that removes the job, null if none.
 
     Requests are reduced to one row per (job, secret) before they meet the state.
     """
-    first = requests.groupBy("job_id", "secret").agg(F.min("pos").alias("deleted_by"))
+    first = _first_requests(requests)
     return state.join(first, ["job_id", "secret"], "left").select(*state.columns, "deleted_by")
 
 
@@ -32,16 +37,17 @@ def delete_targets(marked: DataFrame, namespace: str) -> DataFrame:
         "job_id", "deleted_by", F.when(F.col("archived"), archived).otherwise(live).alias("delete_path"))
 
 
-def delete_outcomes(requests: DataFrame, marked: DataFrame) -> DataFrame:
+def delete_outcomes(requests: DataFrame, state: DataFrame, few: bool = False) -> DataFrame:
     """Answer per request, as if they were handled in ``pos`` order.
 
-    Deleting an unknown job succeeds, so once a job is gone any secret does.
+    Deleting an unknown job succeeds, so once a job is gone any secret does. The state is
+    only asked for its secrets; ``few`` is that of :func:`match_state`.
     """
-    known = marked.select("job_id", F.col("secret").alias("state_secret"), "deleted_by")
-    joined = join_one(requests, known, ["job_id"], spread=["pos"])
+    matched = match_state(requests, state, [], few)
+    gone = _first_requests(requests).withColumnRenamed("secret", "state_secret")
+    joined = matched.join(gone, ["job_id", "state_secret"], "left")
     refused = (
-        F.col("state_secret").isNotNull()
-        & ~F.col("secret").eqNullSafe(F.col("state_secret"))
+        (F.col("access") == "UNAUTHORIZED")
         & (F.col("deleted_by").isNull() | (F.col("pos") < F.col("deleted_by")))
     )
     return joined.select(
@@ -50,7 +56,8 @@ def delete_outcomes(requests: DataFrame, marked: DataFrame) -> DataFrame:
         F.coalesce(F.col("pos") == F.col("deleted_by"), F.lit(False)).alias("removed"))
 
 
-def delete_jobs(requests: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def delete_jobs(requests: DataFrame, state: DataFrame,
+                few: bool = False) -> tuple[DataFrame, DataFrame]:
     """Outcomes per request ``(pos, job_id, secret)``, and the state that is left."""
-    marked = mark_deleted(requests, state)
-    return delete_outcomes(requests, marked), remaining_state(marked)
+    left = remaining_state(mark_deleted(requests, state))
+    return delete_outcomes(requests, state, few), left

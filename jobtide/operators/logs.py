@@ -1,22 +1,23 @@
 """Job logs: routing, cleaning and joining lines to text.
 
-Log text comes in chunks of a bounded number of lines, so that one very long log is
-spread over many tasks. Concatenating a job's chunks in (part, chunk) order gives its
-whole log. Text is given once per job and not once per request.
+Log text comes in chunks of a bounded number of lines and bytes, so that one very long log
+is spread over many tasks. Concatenating a job's chunks in (part, chunk, section) order
+gives its whole log. Text is given once per job and not once per request.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobtide.functions.json import field, is_whole, parse_document, text_of
 from jobtide.functions.once import compute_once
 from jobtide.functions.text import drop_cr, has_text, is_runner_line
 from jobtide.operators.lookup import match_state
-from jobtide.operators.skew import join_one
 
 # Fixed value: shown in place of the log of a job that ended in an internal error.
 ERROR_TEXT = "Internal server error, please contact the administrator or try again later."
 CHUNK_LINES = 10_000
+CHUNK_BYTES = 8 << 20
 
 
 def _log_source(prefix: str = ""):
@@ -33,17 +34,35 @@ def _log_source(prefix: str = ""):
     )
 
 
-def route_logs(requests: DataFrame, state: DataFrame,
-               spread: list[str] | None = None) -> DataFrame:
+def route_logs(requests: DataFrame, state: DataFrame, few: bool = False) -> DataFrame:
     """Per request: access, log source, and the text where it needs no log table."""
     matched = match_state(
-        requests, state, ["status", "archived", "remote_uid", "workflow_name"], spread or ["pos"])
+        requests, state, ["status", "archived", "remote_uid", "workflow_name"], few)
     routed = matched.withColumn("source", F.when(F.col("access") == "OK", _log_source("state_")))
     kept = [c for c in requests.columns if c not in ("job_id", "secret")]
     text = F.when(F.col("source") == "ERROR_TEXT", ERROR_TEXT).when(F.col("source") == "NONE", "")
     return routed.select(*kept, "job_id", F.col("access").alias("outcome"), "source", text.alias("text"))
 
 
+def log_paths(state: DataFrame, namespace: str) -> DataFrame:
+    """``(job_id, source, log_path)``: where the workflow server keeps each job's log.
+
+    An archived log is named by the workflow's uid and name, where an unknown name is
+    empty; a running one by its name. Null where there is no log.
+    """
+    source = _log_source()
+    # Path formats of the workflow server.
+    archived = F.concat(
+        F.lit(f"/artifact-files/{namespace}/archived-workflows/"), F.col("remote_uid"), F.lit("/"),
+        F.coalesce("workflow_name", F.lit("")), F.lit("/outputs/main-logs"))
+    live = F.concat(
+        F.lit(f"/api/v1/workflows/{namespace}/"), F.col("workflow_name"),
+        F.lit("/log?logOptions.container=main"))
+    return state.select(
+        "job_id", source.alias("source"),
+        F.when(source == "ARCHIVED", archived).when(source == "LINES", live).alias("log_path"))
+
+
 def wanted_logs(requests: DataFrame, state: DataFrame) -> DataFrame:
     """``(job_id, source)`` of every job that an allowed request asks for, once each."""
     asked = requests.select("job_id", "secret").distinct()
@@ -71,64 +90,60 @@ def broken_logs(parsed: DataFrame) -> DataFrame:
     return parsed.where("content is null").select("job_id").distinct()
 
 
-def log_ends(archived: DataFrame) -> DataFrame:
-    """Per archived log its ``last`` line, and whether that line is ``open_ended``.
+def log_chunks(pieces: DataFrame, chunk_lines: int = CHUNK_LINES,
+               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``(job_id, part, chunk, section, text)`` from ordered pieces of text.
 
-    A file that ends in a newline has as many bytes as its lines plus one each. A byte
-    order mark, three bytes long, is not part of the first line.
+    A chunk is a fixed range of line numbers. Where its text is longer than
+    ``chunk_bytes`` it comes in several sections, by the bytes before each line in the
+    chunk; a longer line is a section of its own. A chunk with a null piece has null text.
     """
-    sizes = archived.select(
-        "job_id", "part", "line_no", "file_size", (F.octet_length("line") + 1).alias("bytes"))
-    parts = sizes.groupBy("job_id", "part").agg(
-        F.max("line_no").alias("line_no"), F.sum("bytes").alias("bytes"),
-        F.max("file_size").alias("file_size"))
-    extra = F.sum("bytes") - F.max("file_size")
-    return parts.groupBy("job_id").agg(
-        F.max(F.struct("part", "line_no")).alias("last"), extra.isin(1, -2).alias("open_ended"))
-
-
-def log_chunks(pieces: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """``(job_id, part, chunk, text, log_error)`` from ordered pieces of text."""
-    chunk = F.floor(F.greatest("line_no", F.lit(0)) / chunk_lines)
-    joined = F.expr("listagg(piece, '') within group (order by line_no)")
+    chunk = F.floor(F.col("line_no") / chunk_lines)
+    inside = Window.partitionBy("job_id", "part", "chunk").orderBy("line_no")
+    before = F.sum(F.coalesce(F.octet_length("piece"), F.lit(0))).over(
+        inside.rowsBetween(Window.unboundedPreceding, -1))
+    section = F.floor(F.coalesce(before, F.lit(0)) / chunk_bytes)
+    lines = F.array_sort("lines")
+    whole = F.array_join(F.transform(lines, lambda x: x["piece"]), "")
     return (
-        pieces.withColumn("chunk", chunk)
-        .groupBy("job_id", "part", "chunk")
-        .agg(joined.alias("joined"), F.bool_or("log_error").alias("log_error"))
-        .select("job_id", "part", "chunk",
-                F.when(~F.col("log_error"), F.col("joined")).alias("text"), "log_error")
+        pieces.withColumn("chunk", chunk).withColumn("section", section)
+        .groupBy("job_id", "part", "chunk", "section")
+        .agg(F.collect_list(F.struct("line_no", "piece")).alias("lines"))
+        .select("job_id", "part", "chunk", "section",
+                F.when(~F.exists("lines", lambda x: x["piece"].isNull()), whole).alias("text"))
     )
 
 
 def assemble_logs(requests: DataFrame, state: DataFrame, lines: DataFrame, archived: DataFrame,
-                  chunk_lines: int = CHUNK_LINES) -> tuple[DataFrame, DataFrame]:
+                  chunk_lines: int = CHUNK_LINES, chunk_bytes: int = CHUNK_BYTES,
+                  few: bool = False) -> tuple[DataFrame, DataFrame]:
     """Answers per request (:func:`route_logs`) and log chunks per wanted job.
 
-    ``lines`` is ``(job_id, part, line_no, line)``; ``archived`` also has ``file_size``.
-    Every wanted job with a log table has at least one chunk, so an empty log is ``""``;
-    a malformed line leaves its job with one chunk of null text and ``log_error`` set.
+    ``lines`` is ``(job_id, part, line_no, line)``; ``archived`` also has ``open_ended``.
+    Only lines of wanted jobs are parsed, and each table is read once. Every wanted job
+    with a log table has at least one chunk, so an empty log is ``""``; a malformed line
+    leaves its job with one chunk of null text and ``log_error`` set.
     """
-    parsed = parse_lines(lines)
-    broken = broken_logs(parsed).select(
-        "job_id", F.lit("LINES").alias("source"), F.lit(True).alias("broken"))
-    ends = log_ends(archived).withColumn("source", F.lit("ARCHIVED"))
-    jobs = (
-        wanted_logs(requests, state).where("source in ('LINES', 'ARCHIVED')")
-        .join(broken, ["job_id", "source"], "left")
-        .join(ends, ["job_id", "source"], "left")
-        .withColumn("log_error", F.coalesce("broken", F.lit(False)))
-    )
+    wanted = wanted_logs(requests, state).where("source in ('LINES', 'ARCHIVED')")
     place = ["job_id", "part", "line_no"]
-    stored = clean_lines(parsed).select(
-        *place, F.lit("LINES").alias("source"), F.col("content").alias("line"),
-    ).unionByName(archived.select(*place, F.lit("ARCHIVED").alias("source"), "line"))
-    told = join_one(stored, jobs.where("not log_error"), ["job_id", "source"],
-                    ["part", "line_no"], "inner")
-    at_end = F.col("open_ended") & (F.struct("part", "line_no") == F.col("last"))
-    pieces = told.select(
-        *place, F.concat("line", F.when(at_end, "").otherwise("\n")).alias("piece"), "log_error")
-    seeds = jobs.select(
-        "job_id", F.lit(0).cast("long").alias("part"), F.lit(-1).cast("long").alias("line_no"),
-        F.lit("").alias("piece"), "log_error")
-    pieces = pieces.unionByName(seeds)
-    return route_logs(requests, state), log_chunks(pieces, chunk_lines)
+
+    def of(source: str, table: DataFrame) -> DataFrame:
+        return table.join(wanted.where(F.col("source") == source).select("job_id"), "job_id")
+
+    parsed = parse_lines(of("LINES", lines))
+    # a malformed line is a null piece; the runner's own lines are none
+    told = parsed.where(F.col("content").isNull() | ~is_runner_line(F.col("content"))).select(
+        *place, F.concat("content", F.lit("\n")).alias("piece"))
+    stored = of("ARCHIVED", archived).select(
+        *place, F.concat("line", F.when(F.col("open_ended"), "").otherwise("\n")).alias("piece"))
+    chunks = log_chunks(told.unionByName(stored), chunk_lines, chunk_bytes)
+    # Both uses of the chunks need the same shuffled lines, so these are read once.
+    broken = chunks.where("text is null").select("job_id").distinct().withColumn("log_error", F.lit(True))
+    jobs = (wanted.select("job_id").join(broken, "job_id", "left")
+            .withColumn("log_error", F.coalesce("log_error", F.lit(False))))
+    whole = chunks.where("text is not null")
+    zero = F.lit(0).cast("long")
+    answers = jobs.join(whole, (jobs["job_id"] == whole["job_id"]) & ~jobs["log_error"], "left").select(
+        jobs["job_id"], *[F.coalesce(c, zero).alias(c) for c in ("part", "chunk", "section")],
+        F.when(~F.col("log_error"), F.coalesce("text", F.lit(""))).alias("text"), "log_error")
+    return route_logs(requests, state, few), answers

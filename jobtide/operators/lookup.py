@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.status import is_terminal, public_status
 from jobtide.functions.times import moment
-from jobtide.operators.skew import join_one, only_asked
 
 
 def match_state(requests: DataFrame, state: DataFrame, columns: list[str],
-                spread: list[str]) -> DataFrame:
+                few: bool = False) -> DataFrame:
     """Each request with the given state columns as ``state_*``, and how it is allowed.
 
     ``access`` is NOT_FOUND, UNAUTHORIZED or OK. The secret is compared after the join,
     because a wrong secret and an unknown job are different answers.
+
+    The join is many-to-one on the job, and adaptive execution splits a job that most
+    requests ask for. Say ``few`` for a handful of requests over a large state: the state
+    is then thinned to the jobs they name first, by a semi-join that can be broadcast
+    where a left join's left side cannot.
     """
     known = state.select("job_id", *[F.col(c).alias(f"state_{c}") for c in ["secret", *columns]])
-    asked = only_asked(known, requests, ["job_id"])
-    joined = join_one(requests, asked, ["job_id"], spread)
+    if few:
+        known = known.join(requests.select("job_id").distinct(), "job_id", "left_semi")
+    joined = requests.join(known, "job_id", "left")
     access = (
         F.when(F.col("state_secret").isNull(), "NOT_FOUND")
         .when(F.col("secret").eqNullSafe(F.col("state_secret")), "OK")
@@ -36,15 +41,15 @@ def public_rows(state: DataFrame) -> DataFrame:
 
 
 def lookup_jobs(requests: DataFrame, state: DataFrame, as_of: Column | datetime,
-                spread: list[str] | None = None) -> DataFrame:
+                few: bool = False) -> DataFrame:
     """One answer per request: OK, NOT_FOUND, UNAUTHORIZED or OMITTED.
 
-    ``requests`` has ``job_id`` and ``secret``; its other columns are kept and
-    ``spread`` (default ``pos``) names those that tell requests apart. OMITTED is a known
-    job that was never started. A job still running reports ``as_of`` as its update time.
+    ``requests`` has ``job_id`` and ``secret``; its other columns are kept. OMITTED is a
+    known job that was never started. A job still running reports ``as_of`` as its update
+    time. ``few`` is that of :func:`match_state`.
     """
     columns = ["status", "started", "updated", "name"]
-    matched = match_state(requests, state, columns, spread or ["pos"])
+    matched = match_state(requests, state, columns, few)
     incomplete = (F.col("state_status").isNull() | F.col("state_started").isNull()
                   | F.col("state_updated").isNull())
     outcome = F.when((F.col("access") == "OK") & incomplete, "OMITTED").otherwise(F.col("access"))

@@ -39,14 +39,14 @@ def _rows_of(table: list[tuple[str, str]], first: str, second: str) -> Column:
 
 
 def result_answers(requests: DataFrame, state: DataFrame, strict: bool = False,
-                   spread: list[str] | None = None) -> DataFrame:
+                   few: bool = False) -> DataFrame:
     """Per request: OK, NOT_FOUND, UNAUTHORIZED or NOT_FINISHED, with the job's data.
 
     A job that was never started counts as ready unless ``strict``; its missing times
     are given as the epoch.
     """
     matched = match_state(
-        requests, state, ["status", "started", "updated", "name"], spread or ["pos"])
+        requests, state, ["status", "started", "updated", "name"], few)
     waiting = (F.col("access") == "OK") & ~results_ready(F.col("state_status"), strict)
     ok = F.col("outcome") == "OK"
     kept = [c for c in requests.columns if c not in ("job_id", "secret")]

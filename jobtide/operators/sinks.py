@@ -1,10 +1,10 @@
 """Writers."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.operators.lookup import failed_jobs, found_jobs
-from jobtide.session import fresh_path
 
 
 def write_state(state: DataFrame, path: str) -> None:
@@ -21,16 +21,20 @@ def save_state_table(state: DataFrame, table: str, buckets: int) -> None:
 def write_answers(answers: DataFrame, path: str, order: list[str]) -> None:
     """Lookup answers as two JSON lists in request order; omitted jobs are in neither.
 
-    The answers are stored first: each sorted list reads them twice, to find its ranges
-    and to write them, and the lookup should run once.
+    Each sorted list reads the answers twice, to find its ranges and to write them. They
+    are held on disk meanwhile, so that the lookup runs once; what a lost executor held is
+    looked up again.
     """
-    stored = _stored(answers, "answers")
-    id_column = F.col("job_id").alias("jobID")
-    status = F.col("status").alias("jobStatus")
-    found = found_jobs(stored).orderBy(*order)
-    found.select(*order, id_column, status, "started", "updated", "name").write.json(f"{path}/jobs")
-    failed = failed_jobs(stored).orderBy(*order)
-    failed.select(*order, id_column, status).write.json(f"{path}/failedJobs")
+    held = answers.persist(StorageLevel.DISK_ONLY)
+    try:
+        id_column = F.col("job_id").alias("jobID")
+        status = F.col("status").alias("jobStatus")
+        found = found_jobs(held).orderBy(*order)
+        found.select(*order, id_column, status, "started", "updated", "name").write.json(f"{path}/jobs")
+        failed = failed_jobs(held).orderBy(*order)
+        failed.select(*order, id_column, status).write.json(f"{path}/failedJobs")
+    finally:
+        held.unpersist()
 
 
 def land_items(checked: DataFrame, path: str) -> None:
@@ -41,9 +45,3 @@ def land_items(checked: DataFrame, path: str) -> None:
     verdict = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
     (checked.withColumn("verdict", verdict)
      .write.mode("errorifexists").partitionBy("verdict").parquet(path))
-
-
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

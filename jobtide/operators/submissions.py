@@ -20,14 +20,14 @@ def build_parameters(configs: DataFrame) -> DataFrame:
 
 
 def plan_submissions(starts: DataFrame, state: DataFrame, prefix: str, tool_version: str,
-                     namespace: str, spread: list[str] | None = None) -> DataFrame:
+                     namespace: str, few: bool = False) -> DataFrame:
     """Submission manifest per start: OK, UNAUTHORIZED, or NOOP for an unknown job.
 
     ``starts`` has ``job_id``, ``secret``, ``config`` and a cleaned ``origin`` (may be
     null). A job that already runs can be started again.
     """
     rendered = build_parameters(starts)
-    matched = match_state(rendered, state, ["name"], spread or ["pos"])
+    matched = match_state(rendered, state, ["name"], few)
     ok = F.col("access") == "OK"
     labels = F.create_map(
         F.lit("jobid"), F.col("job_id"),
@@ -63,15 +63,19 @@ def submission_documents(plans: DataFrame) -> DataFrame:
     return accepted.select("job_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
 
 
-def apply_submissions(state: DataFrame, results: DataFrame, as_of: Column | datetime) -> DataFrame:
+def apply_submissions(state: DataFrame, results: DataFrame, as_of: Column | datetime,
+                      listed: str | None = None) -> DataFrame:
     """State after submissions: name, phase and times of started jobs change, no more.
 
     ``results`` is ``(pos, job_id, name, creation_timestamp)``; the last one of a job
-    counts.
+    counts. If results are kept for longer, name in ``listed`` the state column that says,
+    in the order of ``pos``, when a row was listed: a result from before it is spent.
     """
     last = results.groupBy("job_id").agg(
-        F.max_by(F.struct("name", "creation_timestamp"), "pos").alias("submitted"))
+        F.max(F.struct("pos", "name", "creation_timestamp")).alias("submitted"))
     started = F.col("submitted").isNotNull()
+    if listed is not None:
+        started = started & (F.col(listed).isNull() | (F.col("submitted.pos") > F.col(listed)))
     changed = {
         "workflow_name": F.col("submitted.name"),
         "status": F.lit("Pending"),

@@ -4,13 +4,22 @@ Where Spark aggregates, these rank, scan or order whole histories, so that the t
 reach their results in different ways.
 """
 
-from jobtide.operators.logs import ERROR_TEXT
-from jobtide.operators.manifests import INPUT_FILES, RESULT_FILES
 from jobtide.plans import tables
 from jobtide.plans.queries import BUCKET, NAMESPACE, PREFIX, TOOL_VERSION
-from jobtide.schemas import LABEL_ARCHIVED, STATE_COLUMNS
 
-STATE_LIST = ", ".join(STATE_COLUMNS)
+# Fixed values, written down a second time so that a wrong one in the library shows.
+STATE_LIST = ("job_id, remote_uid, resource_version, name, status, started, updated, "
+              "workflow_name, secret, archived")
+LABEL_ARCHIVED = "workflows.argoproj.io/workflow-archiving-status"
+ERROR_TEXT = "Internal server error, please contact the administrator or try again later."
+RESULT_FILES = [
+    ("EMBL", "embl"), ("FAA", "faa"), ("FAAHypothetical", "hypotheticals.faa"), ("FFN", "ffn"),
+    ("FNA", "fna"), ("GBFF", "gbff"), ("GFF3", "gff3"), ("JSON", "json"), ("TSV", "tsv"),
+    ("TSVHypothetical", "hypotheticals.tsv"), ("TSVInference", "inference.tsv"),
+    ("TXTLogs", "txt"), ("PNGCircularPlot", "png"), ("SVGCircularPlot", "svg")]
+INPUT_FILES = [
+    ("uploadLinkFasta", "fastadata.fasta"), ("uploadLinkProdigal", "prodigal.tf"),
+    ("uploadLinkReplicons", "replicons.tsv")]
 AS_OF = tables.AS_OF
 EPOCH = "cast('1970-01-01 00:00:00' as timestamp)"
 UUID = ("'^([0-9a-fA-F]{32}|H|\\{H\\}|urn:uuid:H)$'"
@@ -64,31 +73,48 @@ def _answers(requests: str = "requests", keep: str = "r.pos") -> str:
 
 # Snapshot documents
 
-_JSON = "json_extract_string(doc, '$.items[0].{}')"
-ITEMS = f"""bodies as ({tables.sql(tables.ITEM_BODIES)}),
-  docs as (select *, case when json_valid(body) then body end doc from bodies),
-  parts as (select snapshot, snapshot_ts, event_id pos, doc,
+_JSON = "json_extract_string(item, '$.{}')"
+
+
+def _item_kind(path: str) -> str:
+    return f"coalesce(json_type(item, '$.{path}'), 'NULL') not in ('VARCHAR', 'NULL')"
+
+
+ITEMS = f"""items as ({tables.sql(tables.ITEM_TEXTS)}),
+  bodies as (select snapshot, max(ts) snapshot_ts, '{{"items":[' ||
+    string_agg(item, ',' order by event_id) || max(tail) body from items group by snapshot),
+  docs as (select *, case when json_valid(body) then cast(body as json) end doc from bodies),
+  listed as (select snapshot, snapshot_ts, cast(n - 1 as integer) pos, doc,
+    json_extract(doc, '$.items[' || (n - 1) || ']') item from docs, generate_series(1, 6) g(n)
+    where (doc is null and n = 1) or n <= json_array_length(doc, '$.items')),
+  parts as (select *,
     {_JSON.format('metadata.name')} wf, {_JSON.format('metadata.uid')} uid,
     {_JSON.format('metadata.labels.jobid')} jobid, {_JSON.format('metadata.labels.name')} nm,
     {_JSON.format('metadata.labels.secret')} sec,
-    json_extract_string(doc, '$.items[0].metadata.labels."{LABEL_ARCHIVED}"') arch,
+    json_extract_string(item, '$.metadata.labels."{LABEL_ARCHIVED}"') arch,
     {_JSON.format('status.phase')} phase,
     cast(cast({_JSON.format('status.startedAt')} as timestamptz) as timestamp) st,
     cast(cast({_JSON.format('status.finishedAt')} as timestamptz) as timestamp) fin
-    from docs),
+    from listed),
   checked as (select *, case when doc is null then 'bad_document'
+      when {_item_kind('metadata.name')} then 'bad_name'
+      when {_item_kind('metadata.labels.secret')} then 'bad_label'
+      when {_item_kind('status.phase')} then 'bad_phase'
       when {_canonical('jobid')} is null then 'bad_jobid'
       when phase not in ('Pending', 'Init', 'Running', 'Succeeded', 'Failed', 'Error')
-      then 'unknown_phase' end reason, doc is null unreadable from parts),
+      then 'unknown_phase' end reason from parts),
+  flagged as (select * exclude (reason), reason,
+    coalesce(reason in ('bad_document', 'bad_name', 'bad_label', 'bad_phase'), false) unreadable
+    from checked),
   flat as (select snapshot, snapshot_ts, pos, {_canonical('jobid')} job_id,
     {_canonical('uid')} remote_uid, cast(null as varchar) resource_version,
     coalesce(nm, 'Unknown name') as name, phase status, st started,
     coalesce(fin, {AS_OF}) updated, wf workflow_name, coalesce(sec, 'Unknown') secret,
-    arch is not null archived, sec is null secret_missing from checked where reason is null)"""
+    arch is not null archived, sec is null secret_missing from flagged where reason is null)"""
 PREFIX_CHECKED = f"""{ITEMS}, ranged as (select *,
     min(case when reason is not null and not unreadable then pos end)
       over (partition by snapshot) first_bad,
-    bool_or(unreadable) over (partition by snapshot) lost from checked),
+    bool_or(unreadable) over (partition by snapshot) lost from flagged),
   judged as (select *, case when reason is not null then reason when lost
     then 'snapshot_unreadable' when pos > first_bad then 'after_bad_item' end verdict from ranged)"""
 
@@ -227,6 +253,12 @@ PLANS = f"""{STARTS}, {STATE}, plans as (select p.pos, p.job_id,
       || ',secret=' || s.secret labels, 'jobid=' || p.job_id a, 'parameter=' || {PARAMETERS} b
     from starts p left join state s on s.job_id = p.job_id)"""
 
+SUBMITTED = f"""answers as ({tables.sql(tables.SUBMIT_RESULTS)}),
+  decoded as (select pos, job_id, case when json_valid(body) then cast(body as json) end doc from answers),
+  submitted as (select pos, job_id, json_extract_string(doc, '$.metadata.name') nm,
+    cast(cast(json_extract_string(doc, '$.metadata.creationTimestamp') as timestamptz) as timestamp)
+      created from decoded where json_type(doc, '$.metadata.name') = 'VARCHAR')"""
+
 # Registrations
 
 INITS = f"""bodies as ({tables.sql(tables.INIT_BODIES)}),
@@ -284,6 +316,7 @@ ORACLES = {
     "latest_state": _LATEST,
     "stream_state": _LATEST,
     "fold_changes": FOLD,
+    "live_state": FOLD,
     "register_jobs": _registered(tables.INITS),
     "init_scan": f"with {INITS} " + REGISTERED.format(
         name=CLEAN_NAME.format("name"), none=tables.NO_TIME,
@@ -298,7 +331,7 @@ ORACLES = {
       and d.deleted_at >= s.arrived)""",
     "flatten_state": f"with {ITEMS} select * from flat",
     "state_rejects": f"""with {ITEMS} select snapshot, pos, reason, unreadable
-  from checked where reason is not null""",
+  from flagged where reason is not null""",
     "prefix_policy": f"""with {PREFIX_CHECKED} select snapshot, pos,
     {_canonical('jobid')} job_id, phase status from judged where verdict is null""",
     "prefix_rejects": f"""with {PREFIX_CHECKED} select snapshot, pos, verdict reason, unreadable
@@ -343,15 +376,10 @@ ORACLES = {
     || '"{PREFIX}-{TOOL_VERSION}","submitOptions":{{"labels":"' || labels || '","parameters":["'
     || a || '","' || b || '"],"serviceAccount":null,"generateName":"{PREFIX}-' || job_id || '-"}}}}' body
   from plans where outcome = 'OK'""",
-    "submit_results": f"""select * from (select pos, job_id,
-    json_extract_string(body, '$.metadata.name') as name,
-    cast(cast(json_extract_string(body, '$.metadata.creationTimestamp') as timestamptz) as timestamp)
-      creation_timestamp from ({tables.sql(tables.SUBMIT_RESULTS)})) where name is not null""",
-    "apply_submissions": f"""with {STATE}, results as (select *, row_number() over (
-      partition by job_id order by pos desc) rn from (select pos, job_id,
-      json_extract_string(body, '$.metadata.name') nm,
-      cast(cast(json_extract_string(body, '$.metadata.creationTimestamp') as timestamptz)
-        as timestamp) created from ({tables.sql(tables.SUBMIT_RESULTS)})) where nm is not null)
+    "submit_results": f"""with {SUBMITTED} select pos, job_id, nm as name, created creation_timestamp
+  from submitted""",
+    "apply_submissions": f"""with {STATE}, {SUBMITTED}, results as (select *, row_number() over (
+      partition by job_id order by pos desc) rn from submitted)
   select s.job_id, remote_uid, resource_version, name, case when r.nm is null then status
     else 'Pending' end status, coalesce(r.created, started) started,
     case when r.nm is null then updated else {AS_OF} end updated,
@@ -360,9 +388,16 @@ ORACLES = {
     "log_lines": f"""with {KEPT_LINES} select job_id, cast(0 as bigint) part, turn line_no, content
   from kept""",
     "broken_logs": f"with {RAW_LINES} select distinct job_id from raw_lines where is_broken",
-    "log_chunks": f"""with {KEPT_LINES} select job_id, cast(0 as bigint) part, turn // 2 chunk,
-    string_agg(content || chr(10), '' order by turn) as text, false log_error
-  from kept group by all""",
+    "log_chunks": f"""with {KEPT_LINES}, cut as (select *, turn // 2 chunk, coalesce(sum(
+      octet_length(encode(content)) + 1) over (partition by job_id, turn // 2 order by turn
+      rows between unbounded preceding and 1 preceding), 0) before from kept)
+  select job_id, cast(0 as bigint) part, chunk, cast(before // 400 as bigint) section,
+    string_agg(content || chr(10), '' order by turn) as text from cut group by all""",
+    "log_paths": f"""with {STATE} select job_id, {SOURCE} source, case {SOURCE}
+    when 'ARCHIVED' then '/artifact-files/{NAMESPACE}/archived-workflows/' || remote_uid || '/' ||
+      coalesce(workflow_name, '') || '/outputs/main-logs'
+    when 'LINES' then '/api/v1/workflows/{NAMESPACE}/' || workflow_name ||
+      '/log?logOptions.container=main' end log_path from state s""",
     "log_routing": f"""with {STATE}, {REQUESTS} select pos, job_id, outcome, source,
     case source when 'ERROR_TEXT' then '{ERROR_TEXT}' when 'NONE' then '' end as text
   from (select r.pos, r.job_id, case when s.job_id is null then 'NOT_FOUND'
@@ -377,9 +412,9 @@ ORACLES = {
       where l.job_id = w.job_id and is_broken) log_error from wanted w where source = 'LINES'),
   stored as (select w.job_id, d.text body from wanted w left join documents d
       on {tables.job_sql('d.doc_id')} = w.job_id where w.source = 'ARCHIVED')
-  select job_id, cast(0 as bigint) part, cast(0 as bigint) chunk,
+  select job_id, cast(0 as bigint) part, cast(0 as bigint) chunk, cast(0 as bigint) section,
     case when not log_error then coalesce(body, '') end as text, log_error from told
-  union all select job_id, 0, 0, coalesce(body, ''), false from stored""",
+  union all select job_id, 0, 0, 0, coalesce(body, ''), false from stored""",
     "result_answers": f"with {STATE}, {REQUESTS} {_result_answers(LOOSE)}",
     "result_answers_strict": f"with {STATE}, {REQUESTS} {_result_answers(STRICT)}",
     "result_manifest": f"""with {STATE}, {REQUESTS} select pos, job_id, started, updated, name, kind,

@@ -14,7 +14,7 @@ from jobtide.functions.times import parse_rfc3339
 from jobtide.functions.urls import encoded_disposition
 from jobtide.operators import deletes, logs, lookup, manifests, state, submissions
 from jobtide.plans import tables
-from jobtide.session import configure, configure_streaming, fresh_path
+from jobtide.session import configure, fresh_path
 from jobtide.sources.configs import parse_starts
 from jobtide.sources.inits import parse_inits
 from jobtide.sources.requests import parse_requests
@@ -75,6 +75,17 @@ def fold_changes(spark, sf_dir):
     return state.fold_changes(tables.view(spark, sf_dir, tables.CHANGES))
 
 
+@_query
+def live_state(spark, sf_dir):
+    """The change feed as the tables its kinds of events are kept in."""
+    feed = tables.view(spark, sf_dir, tables.CHANGES)
+
+    def of(kind):
+        return feed.where(F.col("kind") == kind)
+
+    return state.live_state(of("SNAPSHOT"), of("INIT"), of("START"), of("DELETE"))
+
+
 @_query
 def register_jobs(spark, sf_dir):
     return state.register_jobs(tables.view(spark, sf_dir, tables.INITS))
@@ -105,17 +116,9 @@ def tombstoned_state(spark, sf_dir):
     return state.apply_tombstones(seen, tables.view(spark, sf_dir, tables.TOMBSTONES))
 
 
-def _items(spark, sf_dir):
-    """Snapshot items of one hour taken as one snapshot, placed by event."""
-    bodies = tables.view(spark, sf_dir, tables.ITEM_BODIES)
-    keyed = bodies.withColumn("snapshot", F.struct("snapshot", "event_id"))
-    items = parse_snapshots(keyed)
-    return items.withColumn("pos", F.col("snapshot.event_id")).withColumn(
-        "snapshot", F.col("snapshot.snapshot"))
-
-
 def _flat(spark, sf_dir, on_error="quarantine"):
-    return state.flatten_snapshots(_items(spark, sf_dir), _as_of(), on_error)
+    documents = parse_snapshots(tables.snapshot_bodies(spark, sf_dir))
+    return state.flatten_snapshots(documents, _as_of(), on_error)
 
 
 @_query
@@ -146,7 +149,6 @@ def snapshot_state(spark, sf_dir):
 
 @_query
 def stream_state(spark, sf_dir):
-    configure_streaming(spark)
     source = tables.read(spark, sf_dir, "events")
     # As a pattern the path may be one file or a folder of files.
     events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -201,8 +203,7 @@ def public_state(spark, sf_dir):
 def request_lookup(spark, sf_dir):
     """Lookups straight from request bodies, told apart by body and place."""
     accepted, _ = parse_requests(tables.view(spark, sf_dir, tables.REQUEST_BODIES))
-    return lookup.lookup_jobs(
-        accepted, _state(spark, sf_dir, *ANSWERED), _as_of(), spread=["request_id", "pos"])
+    return lookup.lookup_jobs(accepted, _state(spark, sf_dir, *ANSWERED), _as_of())
 
 
 # Deletes
@@ -214,7 +215,8 @@ def _deletes(spark, sf_dir):
 
 @_query
 def delete_outcomes(spark, sf_dir):
-    return deletes.delete_outcomes(*_deletes(spark, sf_dir))
+    requests = tables.view(spark, sf_dir, tables.DELETES)
+    return deletes.delete_outcomes(requests, _state(spark, sf_dir, "secret"))
 
 
 @_query
@@ -297,10 +299,13 @@ def broken_logs(spark, sf_dir):
 @_query
 def log_chunks(spark, sf_dir):
     lines = logs.clean_lines(logs.parse_lines(tables.log_lines(spark, sf_dir)))
-    pieces = lines.select(
-        "job_id", "part", "line_no", F.concat("content", F.lit("\n")).alias("piece"),
-        F.lit(False).alias("log_error"))
-    return logs.log_chunks(pieces, chunk_lines=2)
+    pieces = lines.select("job_id", "part", "line_no", F.concat("content", F.lit("\n")).alias("piece"))
+    return logs.log_chunks(pieces, chunk_lines=2, chunk_bytes=400)
+
+
+@_query
+def log_paths(spark, sf_dir):
+    return logs.log_paths(_state(spark, sf_dir, *LOGGED), NAMESPACE)
 
 
 def _logs(spark, sf_dir):

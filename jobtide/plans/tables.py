@@ -5,6 +5,7 @@ DuckDB, so that both sides of a check start from equal rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def uuid_sql(seed: str, shaped: bool = True) -> str:
@@ -123,33 +124,40 @@ SUBMIT_RESULTS = ("customer", [
     "c_custkey as pos",
     f"{job_sql('cast(floor(c_custkey / 12.0) as bigint)')} as job_id",
     """concat('{"metadata":{', case when c_mktsegment = 'FURNITURE' then '' else
-        concat('"name":"wf-', cast(c_custkey as string), '",') end,
+        concat('"name":', case when c_custkey % 31 = 3 then '5' else
+          concat('"wf-', cast(c_custkey as string), '"') end, ',') end,
         '"creationTimestamp":"2024-01-', lpad(cast(c_nationkey + 1 as string), 2, '0'),
-        case when c_acctbal < 0 then 'T10:00:00+02:00' else 'T10:00:00Z' end, '"}}') as body""",
+        case when c_acctbal < 0 then 'T10:00:00+02:00' else 'T10:00:00Z' end, '"}}',
+        case when c_custkey % 37 = 4 then ' x' else '' end) as body""",
 ])
 
-# Snapshot documents as text: one item each, several of them faulty.
-ITEM_BODIES = ("events", [
-    "substr(cast(ts as string), 1, 13) as snapshot",
-    "cast(ts as timestamp) as snapshot_ts",
+# Snapshot items as text, six to a document, several of them faulty. Some documents have
+# no end, some go on after it.
+ITEM_TEXTS = ("events", [
+    "concat('s', lpad(cast(cast(floor(event_id / 6.0) as bigint) as string), 9, '0')) as snapshot",
+    "cast(ts as timestamp) as ts",
     "event_id",
-    f"""concat('{{"items":[{{"metadata":{{"name":"wf-', cast(event_id as string),
-        '","uid":"', {uuid_sql("concat('run ', cast(event_id as string))", shaped=False)},
+    """case cast(floor(event_id / 6.0) as bigint) % 23 when 5 then '' when 9 then ']} more'
+        else ']}' end as tail""",
+    f"""concat('{{"metadata":{{"name":',
+        case when event_id % 101 = 7 then '5' else concat('"wf-', cast(event_id as string), '"') end,
+        ',"uid":"', {uuid_sql("concat('run ', cast(event_id as string))", shaped=False)},
         '","labels":{{"jobid":"',
         case when event_type = 'click' then concat('urn:uuid:', {job_sql('user_id')})
           when event_type = 'view' then concat('{{', {job_sql('user_id')}, '}}')
           when event_type = 'error' then upper({job_sql('user_id', shaped=False)})
-          when value < 2 then 'nope' else {job_sql('user_id')} end,
-        case when value < 40 then concat('","secret":"s', cast(user_id as string)) else '' end,
-        case when value >= 30 then '","workflows.argoproj.io/workflow-archiving-status":"Done'
+          when value < 2 then 'nope' else {job_sql('user_id')} end, '"',
+        case when event_id % 103 = 9 then ',"secret":7'
+          when value < 40 then concat(',"secret":"s', cast(user_id as string), '"') else '' end,
+        case when value >= 30 then ',"workflows.argoproj.io/workflow-archiving-status":"Done"'
           else '' end,
-        '"}}}},"status":{{"phase":"', coalesce({PHASE}, 'Waiting'),
-        '","startedAt":"', replace(substr(cast(ts as string), 1, 19), ' ', 'T'),
+        '}}}},"status":{{"phase":',
+        case when event_id % 107 = 11 then '1' else concat('"', coalesce({PHASE}, 'Waiting'), '"') end,
+        ',"startedAt":"', replace(substr(cast(ts as string), 1, 19), ' ', 'T'),
         case when event_type = 'click' then '+02:00' else 'Z' end,
         '","finishedAt":', case when event_type in ('error', 'purchase')
           then concat('"', replace(substr(cast(ts as string), 1, 19), ' ', 'T'), 'Z"')
-          else 'null' end, '}}}}', case when event_type = 'view' and value < 1 then ''
-          else ']}}' end) as body""",
+          else 'null' end, '}}}}') as item""",
 ])
 
 REQUEST_BODIES = ("orders", [
@@ -247,10 +255,18 @@ BROKEN_LINE = "role = 'assistant' and turn = 5 and length(text) < 300"
 def archived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as archived logs, whole texts cut at their newlines."""
     texts = read(spark, sf_dir, "documents").selectExpr(
-        f"{job_sql('doc_id')} as job_id",
-        "cast(octet_length(text) as bigint) as file_size",
-        "text")
+        f"{job_sql('doc_id')} as job_id", "cast(0 as bigint) as part", "text",
+        r"split(regexp_replace(text, '\\n\\z', ''), '\\n', -1) as lines")
     return texts.selectExpr(
-        "job_id", "file_size", "cast(0 as bigint) as part",
-        r"posexplode(split(regexp_replace(text, '\\n\\z', ''), '\\n', -1)) as (line_no, line)",
-    ).selectExpr("job_id", "file_size", "part", "cast(line_no as bigint) as line_no", "line")
+        "job_id", "part", "text", "size(lines) as n", "posexplode(lines) as (line_no, line)",
+    ).selectExpr(
+        "job_id", "part", "cast(line_no as bigint) as line_no", "line",
+        r"line_no = n - 1 and not endswith(text, '\n') as open_ended")
+
+
+def snapshot_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ITEM_TEXTS`` packed into documents."""
+    return view(spark, sf_dir, ITEM_TEXTS).groupBy("snapshot").agg(
+        F.max("ts").alias("snapshot_ts"),
+        F.expr("""concat('{"items":[', listagg(item, ',') within group (order by event_id),
+            max(tail))""").alias("body"))

@@ -15,31 +15,6 @@ LABEL_ARCHIVED = "workflows.argoproj.io/workflow-archiving-status"
 DEFAULT_SECRET = "Unknown"
 DEFAULT_NAME = "Unknown name"
 
-# One document per poll. Only these seven leaf fields are ever read.
-# Times stay text here so that a malformed one can be told from a missing one.
-SNAPSHOT_SCHEMA = T.StructType([
-    T.StructField("items", T.ArrayType(T.StructType([
-        T.StructField("metadata", T.StructType([
-            T.StructField("name", T.StringType()),
-            T.StructField("uid", T.StringType()),
-            T.StructField("resourceVersion", T.StringType()),
-            T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
-        ])),
-        T.StructField("status", T.StructType([
-            T.StructField("phase", T.StringType()),
-            T.StructField("startedAt", T.StringType()),
-            T.StructField("finishedAt", T.StringType()),
-        ])),
-    ]))),
-])
-
-SUBMIT_RESULT_SCHEMA = T.StructType([
-    T.StructField("metadata", T.StructType([
-        T.StructField("name", T.StringType()),
-        T.StructField("creationTimestamp", T.StringType()),
-    ])),
-])
-
 STATE_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("remote_uid", T.StringType()),

@@ -1,6 +1,5 @@
 """Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,18 +20,11 @@ def configure_streaming(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it gets a temporary folder.
-    """
+    """A folder every executor can reach: ``spark.checkpoint.dir``, or one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="jobtide-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -1,10 +1,11 @@
 """Job registrations: a name and a table type, with the id and secret given to the job."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions.json import field, is_whole, kind, parse_document, text_of
 from jobtide.functions.once import compute_once
+from jobtide.sources.text_lines import read_job_bodies
 
 # The words a table type may be. Which one it is has no further effect.
 TABLE_TYPES = ["CSV", "TSV"]
@@ -32,3 +33,9 @@ def parse_inits(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     accepted = checked.where("reason is null").select("job_id", "secret", "name")
     rejected = checked.where("reason is not null").select("job_id", "body", "reason")
     return accepted, rejected
+
+
+def read_inits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Registrations stored as ``{"job_id": ..., "secret": ..., "body": "..."}`` lines."""
+    bodies = read_job_bodies(spark, path, ["job_id", "secret"])
+    return parse_inits(bodies.drop("pos"))

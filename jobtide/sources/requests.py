@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.functions.ids import UUID_TEXT, canonical_uuid
-from jobtide.functions.json import is_whole, kind, parse_document
+from jobtide.functions.ids import canonical_uuid
+from jobtide.functions.json import is_whole, parse_document, text_of
 from jobtide.functions.once import compute_once
 from jobtide.sources.text_lines import read_bodies
 
@@ -18,27 +18,25 @@ def parse_requests(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = ["request_id", "body"]
     parsed = compute_once(bodies, kept, parse_document(F.col("body")).alias("document"))
     pairs = F.try_variant_get("document", "$[0].jobs", "array<struct<secret variant, jobID variant>>")
-    listed = parsed.select(*kept, is_whole(F.col("document")).alias("whole"), pairs.alias("pairs"))
-    sound = F.forall("pairs", lambda p: (
-        (kind(p["secret"]) == "STRING") & (kind(p["jobID"]) == "STRING")
-        & _text(p["jobID"]).rlike(UUID_TEXT)))
+    # each pair is converted once; null where it is not two texts, the second a job id
+    typed = F.transform(pairs, lambda p: _request(text_of(p["secret"]), canonical_uuid(text_of(p["jobID"]))))
+    whole = F.when(is_whole(F.col("document")), typed)
+    listed = compute_once(parsed, kept, whole.alias("pairs"))
     reason = (
-        F.when(~F.col("whole") | F.col("pairs").isNull(), "bad_list")
-        .when(~F.coalesce(sound, F.lit(False)), "bad_job"))
+        F.when(F.col("pairs").isNull(), "bad_list")
+        .when(F.exists("pairs", lambda p: p.isNull()), "bad_job"))
     checked = compute_once(listed, kept, F.col("pairs"), reason.alias("reason"))
     accepted = (
         checked.where("reason is null")
         .select("request_id", F.posexplode("pairs").alias("pos", "pair"))
-        .select("request_id", "pos",
-                canonical_uuid(_text(F.col("pair.jobID"))).alias("job_id"),
-                _text(F.col("pair.secret")).alias("secret"))
-    )
+        .select("request_id", "pos", "pair.job_id", "pair.secret"))
     rejected = checked.where("reason is not null").select("request_id", "body", "reason")
     return accepted, rejected
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def _request(secret: Column, job_id: Column) -> Column:
+    pair = F.struct(job_id.alias("job_id"), secret.alias("secret"))
+    return F.when(secret.isNotNull() & job_id.isNotNull(), pair)
 
 
 def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,64 +1,109 @@
 """Workflow snapshots: nested JSON documents, one per poll."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.functions.json import field, is_whole, kind, parse_document, text_of
 from jobtide.functions.once import compute_once
-from jobtide.schemas import SNAPSHOT_SCHEMA
 from jobtide.sources.text_lines import read_lines
 
-_ITEM = SNAPSHOT_SCHEMA["items"].dataType.elementType
+# The fields that are read, and their kinds in the fault they have if they are no text.
+_META = {"name": "bad_name", "uid": "bad_uid", "resourceVersion": "bad_resource_version"}
+_STATUS = {"phase": "bad_phase", "startedAt": "bad_started_at", "finishedAt": "bad_finished_at"}
 
 
-def _documents(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.col("_metadata.file_path").alias("snapshot"),
-        F.col("_metadata.file_modification_time").alias("snapshot_ts"),
-        "items",
-    )
+# The shape of an item.
+ITEM_TYPE = ("struct<metadata: struct<name: string, uid: string, resourceVersion: string, "
+             "labels: map<string, string>>, status: struct<phase: string, startedAt: string, "
+             "finishedAt: string>, type_fault: string>")
 
 
-def explode_items(documents: DataFrame) -> DataFrame:
-    """``(snapshot, snapshot_ts, pos, metadata, status)``, one row per workflow.
+def _part(item: Column, path: str) -> Column:
+    return F.try_variant_get(item, path, "variant")
+
+
+def _not_text(value: Column) -> Column:
+    """True for a value that is neither text nor null nor missing."""
+    return value.isNotNull() & ~kind(value).isin("STRING", "VOID")
+
+
+def _item(item: Column) -> Column:
+    """``struct<metadata, status, type_fault>`` of a variant; numbers are not taken for text."""
+    labels = F.try_variant_get(item, "$.metadata.labels", "map<string, variant>")
+    raw_labels = _part(item, "$.metadata.labels")
+    bad_label = F.exists(F.map_values(labels), lambda v: kind(v) != "STRING") | (
+        labels.isNull() & raw_labels.isNotNull() & (kind(raw_labels) != "VOID"))
+    faults = [F.when(_not_text(_part(item, f"$.metadata.{n}")), why) for n, why in _META.items()]
+    faults += [F.when(bad_label, "bad_label")]
+    faults += [F.when(_not_text(_part(item, f"$.status.{n}")), why) for n, why in _STATUS.items()]
+
+    def is_object(path):
+        return F.startswith(kind(_part(item, path)), F.lit("OBJECT"))
+
+    meta = F.struct(
+        *[text_of(_part(item, f"$.metadata.{n}")).alias(n) for n in _META],
+        F.transform_values(labels, lambda _, v: text_of(v)).alias("labels"))
+    status = F.struct(*[text_of(_part(item, f"$.status.{n}")).alias(n) for n in _STATUS])
+    return F.struct(
+        F.when(is_object("$.metadata"), meta).alias("metadata"),
+        F.when(is_object("$.status"), status).alias("status"),
+        F.coalesce(*faults).alias("type_fault"))
+
+
+def parse_snapshots(bodies: DataFrame) -> DataFrame:
+    """Documents ``(snapshot, snapshot_ts, items)`` of texts ``(snapshot, snapshot_ts, body)``.
 
-    A document that could not be decoded keeps one all-null row, so that it can be
-    rejected; an empty list gives none.
+    A text that is not exactly one document with a list of items has one null item, so that
+    it can be rejected; an empty list has none.
     """
-    undecoded = F.array(F.lit(None).cast(_ITEM))
-    items = F.coalesce(F.col("items"), undecoded)
+    kept = ["snapshot", "snapshot_ts"]
+    parsed = compute_once(bodies.select(*kept, "body"), kept, parse_document(F.col("body")).alias("document"))
+    document = F.col("document")
+    listed = F.try_variant_get(document, "$[0].items", "array<variant>")
+    items = F.transform(F.when(is_whole(document), listed), _item)
+    none = F.array(F.lit(None).cast(ITEM_TYPE))
+    return parsed.select(*kept, F.coalesce(items, none).alias("items"))
+
+
+def explode_items(documents: DataFrame) -> DataFrame:
+    """``(snapshot, snapshot_ts, pos, metadata, status, type_fault)``, one row per workflow."""
     return documents.select(
-        "snapshot", "snapshot_ts", F.posexplode(items).alias("pos", "item"),
-    ).select("snapshot", "snapshot_ts", "pos", "item.metadata", "item.status")
+        "snapshot", "snapshot_ts", F.posexplode("items").alias("pos", "item"),
+    ).select("snapshot", "snapshot_ts", "pos", "item.*")
+
+
+def _bodies(raw: DataFrame) -> DataFrame:
+    return raw.select(
+        F.col("_metadata.file_path").alias("snapshot"),
+        F.col("_metadata.file_modification_time").alias("snapshot_ts"),
+        F.col("value").alias("body"))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).json(path)
-    return explode_items(_documents(raw))
+    """Documents of a folder of snapshot files."""
+    return parse_snapshots(_bodies(spark.read.text(path, wholetext=True)))
 
 
 def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
     """Items of snapshots stored with one item per line, one file per poll.
 
     A document is read by one task, a file of lines in splits: use this for snapshots too
-    large for a task. ``pos`` is the (split, line) place, which orders like a position.
+    large for a task. ``pos`` is the number of the line in its file.
     """
     lines = read_lines(spark, path).where(F.trim("line") != "").select(
         F.col("file").alias("snapshot"), F.col("file_time").alias("snapshot_ts"),
-        F.struct("part", "line_no").alias("pos"), "line")
+        F.col("line_no").alias("pos"), "line")
     place = ["snapshot", "snapshot_ts", "pos"]
-    decoded = compute_once(lines, place, F.from_json("line", _ITEM).alias("item"))
-    return decoded.select(*place, "item.metadata", "item.status")
+    parsed = compute_once(lines, place, parse_document(F.col("line")).alias("document"))
+    whole = F.when(is_whole(F.col("document")), field(F.col("document"), ""))
+    decoded = compute_once(parsed, place, whole.alias("variant"))
+    return compute_once(decoded, place, _item(F.col("variant")).alias("item")).select(*place, "item.*")
 
 
 def stream_snapshots(spark: SparkSession, path: str,
                      files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(SNAPSHOT_SCHEMA).option("multiLine", True)
+    """Documents of a folder that more files come to."""
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return explode_items(_documents(reader.json(path)))
-
-
-def parse_snapshots(bodies: DataFrame) -> DataFrame:
-    """Items of documents held as text in ``(snapshot, snapshot_ts, body)``."""
-    decoded = F.from_json("body", SNAPSHOT_SCHEMA)
-    return explode_items(bodies.select("snapshot", "snapshot_ts", decoded["items"].alias("items")))
+    return parse_snapshots(_bodies(reader.text(path, wholetext=True)))

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from jobtide.operators.state import SNAPSHOT_ORDER
+from jobtide.operators.state import SNAPSHOT_ORDER, newest_row
 from jobtide.schemas import STATE_COLUMNS, STATE_VALUES
+from jobtide.session import configure_streaming
 
 # Fixed value: seconds between two polls.
 POLL_INTERVAL = "15 seconds"
@@ -17,21 +18,48 @@ def latest_state_updates(rows: DataFrame, order: list[str] | None = None) -> Dat
 
     The arrival order goes along, so that stored changes can be reduced again.
     """
-    order = order or SNAPSHOT_ORDER
-    newest = F.max_by(F.struct(*STATE_VALUES, *order), F.struct(*order)).alias("newest")
-    return rows.groupBy("job_id").agg(newest).select("job_id", "newest.*")
+    return _newest(rows, order or SNAPSHOT_ORDER)
+
+
+def _newest(rows: DataFrame, order: list[str]) -> DataFrame:
+    newest = rows.groupBy("job_id").agg(newest_row(STATE_VALUES, order))
+    return newest.select(
+        "job_id", *[f"newest.{c}" for c in STATE_VALUES],
+        *[F.col(f"newest.arrival.order_{c}").alias(c) for c in order])
 
 
 def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
-                       order: list[str] | None = None, drain: bool = False) -> StreamingQuery:
+                       order: list[str] | None = None, drain: bool = False,
+                       base: str | None = None, after_batch: int | None = None,
+                       files: int = 4, rows_per_file: int = 1_000_000) -> StreamingQuery:
     """Keep the changed rows of every micro-batch under ``path``.
 
     A batch owns one sub-folder and overwrites it, so a batch that is run again after a
-    failure leaves no duplicates, and no batch rewrites what earlier ones stored.
-    ``drain`` handles what is there and stops; otherwise a poll starts every 15 seconds.
+    failure leaves no duplicates, and no batch rewrites what earlier ones stored. A
+    snapshot lists all jobs though few have changed: rows equal to the stored ones are left
+    out, which reads the ``base`` and the batches after it (see :func:`roll_up`). A batch
+    is written by ``files`` tasks, each cutting files at ``rows_per_file``.
+
+    The state store is set to keep its rows on disk. ``drain`` handles what is there and
+    stops; otherwise a poll starts every 15 seconds.
     """
+    configure_streaming(rows.sparkSession)
+    order = order or SNAPSHOT_ORDER
+    schema = stored_schema(rows, order)
+    first = 0 if after_batch is None else after_batch + 1
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        changed = batch
+        if batch_id > first or base is not None:
+            known = read_stream_state(spark, path, schema, order, base, after_batch, batch_id)
+            same = [batch[c].eqNullSafe(known[c]) for c in STATE_COLUMNS]
+            alike = same[0]
+            for one in same[1:]:
+                alike = alike & one
+            changed = batch.join(known, alike, "left_anti")
+        (changed.coalesce(files).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+         .parquet(f"{path}/batch={batch_id}"))
 
     writer = (
         latest_state_updates(rows, order).writeStream
@@ -46,21 +74,39 @@ def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
 
 def read_stream_state(spark: SparkSession, path: str, schema: T.StructType,
                       order: list[str] | None = None, base: str | None = None,
-                      after_batch: int | None = None) -> DataFrame:
+                      after_batch: int | None = None, before_batch: int | None = None) -> DataFrame:
     """Current state from the stored changes, with the order columns of each row.
 
     Once such a state has been written as a ``base``, name it and the last batch in it,
     and only later batches are read. Reading a batch twice does no harm.
     """
-    order = order or SNAPSHOT_ORDER
-    stored = spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(path)
     if after_batch is not None:
         stored = stored.where(F.col("batch") > after_batch)
+    if before_batch is not None:
+        stored = stored.where(F.col("batch") < before_batch)
     stored = stored.select(*schema.fieldNames())
     if base is not None:
         stored = stored.unionByName(spark.read.schema(schema).parquet(base))
-    newest = F.max_by(F.struct(*STATE_VALUES, *order), F.struct(*order)).alias("newest")
-    return stored.groupBy("job_id").agg(newest).select("job_id", "newest.*")
+    return _newest(stored, order or SNAPSHOT_ORDER)
+
+
+def roll_up(spark: SparkSession, path: str, schema: T.StructType, to: str,
+            order: list[str] | None = None, base: str | None = None,
+            after_batch: int | None = None) -> int | None:
+    """Write the state so far as a new base under ``to``; the last batch in it.
+
+    Readers that name the new base and that batch no longer need the folders up to it, nor
+    the old base. The stream may go on meanwhile: batches after the last one are left out.
+    """
+    batches = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(path)
+    last = batches.agg(F.max("batch")).first()[0]
+    if last is None:
+        last = after_batch
+    until = None if last is None else last + 1
+    state = read_stream_state(spark, path, schema, order, base, after_batch, until)
+    state.write.mode("errorifexists").parquet(to)
+    return last
 
 
 def stored_schema(rows: DataFrame, order: list[str] | None = None) -> T.StructType:

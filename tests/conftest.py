@@ -25,17 +25,17 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def hot_keys_split(spark):
-    """Split every key with more than two rows, whatever the size of the input."""
-    spark.conf.set("jobtide.skew.splitOverBytes", "0")
-    spark.conf.set("jobtide.skew.rowsPerSplit", "2")
+def small_skew(spark):
+    """Adaptive execution as it works on large data, with its sizes brought down."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     yield
-    spark.conf.unset("jobtide.skew.splitOverBytes")
-    spark.conf.unset("jobtide.skew.rowsPerSplit")
-
-
-@pytest.fixture
-def hot_keys_plain(spark):
-    spark.conf.set("jobtide.skew.splitOverBytes", str(2**100))
-    yield
-    spark.conf.unset("jobtide.skew.splitOverBytes")
+    for name in settings:
+        spark.conf.unset(name)

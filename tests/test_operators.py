@@ -12,7 +12,6 @@ from jobtide.operators.manifests import (
     result_answers, result_manifest, upload_manifest, with_urls,
 )
 from jobtide.operators.sinks import save_state_table, write_answers, write_state
-from jobtide.operators.skew import hot_keys, join_one
 from jobtide.operators.submissions import (
     apply_submissions, build_parameters, plan_submissions, submission_documents,
 )
@@ -32,35 +31,20 @@ def jobs(spark):
 
 # Joins
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_split_join_equals_plain_join(spark, how, hot_keys_split):
-    rng = random.Random(1)
-    many = [(i, None if rng.random() < 0.2 else (0 if rng.random() < 0.4 else rng.randrange(40)))
-            for i in range(600)]
-    one = [(k, f"v{k}") for k in range(0, 30)]
-    left = spark.createDataFrame(many, "pos long, key long")
-    right = spark.createDataFrame(one, "key long, value string")
-    joined = join_one(left, right, ["key"], ["pos"], how)
-    assert joined.columns == ["key", "pos", "value"]
-    assert rows_of(joined) == rows_of(left.join(right, ["key"], how))
-
-
-def test_split_join_deals_a_hot_key(spark, hot_keys_split):
-    left = spark.range(1000).select(F.col("id").alias("pos"), F.lit(7).alias("key"))
-    right = spark.createDataFrame([(7, "v")], "key int, value string")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        sizes = join_one(left, right, ["key"], ["pos"]).groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 400
-
-
-def test_hot_keys_are_the_large_ones(spark):
-    keys = spark.createDataFrame([(1,)] * 5 + [(2,)] * 2 + [(None,)] * 3, "key int")
-    assert rows_of(hot_keys(keys, ["key"], 2)) == [(1, 3), (None, 2)]
+def test_a_job_most_requests_ask_for_is_split_over_tasks(spark, small_skew):
+    asked = spark.range(40_000, numPartitions=4).select(
+        F.col("id").alias("pos"),
+        F.when(F.col("id") % 10 > 0, F.lit(job(1))).otherwise(
+            F.concat(F.lit(job(1)[:-4]), F.lpad((F.col("id") % 50).cast("string"), 4, "0"))).alias("job_id"),
+        F.lit("s1").alias("secret"))
+    state = spark.range(50).select(
+        F.concat(F.lit(job(1)[:-4]), F.lpad(F.col("id").cast("string"), 4, "0")).alias("job_id"),
+        F.lit("s1").alias("secret"), F.lit("Running").alias("status"), F.lit(START).alias("started"),
+        F.lit(END).alias("updated"), F.lit("n").alias("name"))
+    answers = lookup_jobs(asked, state, AS_OF)
+    assert answers.where("outcome = 'OK'").count() == 40_000
+    answers.collect()
+    assert "skew=true" in answers._jdf.queryExecution().executedPlan().toString()
 
 
 # Lookups
@@ -69,9 +53,7 @@ LOOKUPS = [(0, 1, "s1"), (1, 2, "s2"), (2, 9, "s9"), (3, 1, "wrong"), (4, 4, "s4
            (6, 6, "s6"), (7, 2, "S2"), (8, 4, "wrong"), (9, 3, "s3"), (10, 5, "s5")]
 
 
-@pytest.mark.parametrize("mode", ["hot_keys_split", "hot_keys_plain"])
-def test_lookup(spark, mode, request):
-    request.getfixturevalue(mode)
+def test_lookup(spark):
     answers = lookup_jobs(requests_of(spark, *LOOKUPS), jobs(spark), AS_OF).cache()
     assert [tuple(r) for r in answers.orderBy("pos").collect()] == [
         (0, job(1), "OK", "RUNNING", START, AS_OF, "sample_1"),
@@ -122,9 +104,7 @@ def delete_one_by_one(requests, secrets):
     return outcomes, left
 
 
-@pytest.mark.parametrize("mode", ["hot_keys_split", "hot_keys_plain"])
-def test_delete_equals_one_by_one(spark, mode, request):
-    request.getfixturevalue(mode)
+def test_delete_equals_one_by_one(spark):
     rng = random.Random(5)
     asked = [(pos, 0 if rng.random() < 0.33 else rng.randrange(40),
               "right" if rng.random() < 0.15 else "wrong") for pos in range(300)]
@@ -171,9 +151,7 @@ def test_build_parameters(spark):
     assert rows_of(build_parameters(starts), "job_id", "parameters") == [(job(1), PARAMETERS)]
 
 
-@pytest.mark.parametrize("mode", ["hot_keys_split", "hot_keys_plain"])
-def test_plan_submissions(spark, mode, request):
-    request.getfixturevalue(mode)
+def test_plan_submissions(spark):
     starts = starts_of(spark, (0, 1, "s1", "a.b"), (1, 4, "s4", None), (2, 9, "x", None), (3, 1, "x", "o"))
     plans = plan_submissions(starts, jobs(spark), "annotate", "1.0", "ns")
     rows = [r.asDict() for r in plans.orderBy("pos").collect()]
@@ -250,7 +228,7 @@ def test_state_versions_are_not_overwritten(spark, tmp_path):
         write_state(jobs(spark), path)
 
 
-def test_bucketed_state_is_not_shuffled(spark, hot_keys_plain):
+def test_bucketed_state_is_not_shuffled(spark):
     save_state_table(jobs(spark), "job_state", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -264,20 +242,19 @@ def test_bucketed_state_is_not_shuffled(spark, hot_keys_plain):
 
 def test_few_requests_do_not_move_the_state(spark, tmp_path):
     state_path, request_path = str(tmp_path / "state"), str(tmp_path / "requests")
-    # Enough rows that the state is the larger one, with the limit between the two sizes.
     write_state(state_of(spark, *[state_row(n, secret=f"s{n}") for n in range(3000)]), state_path)
     requests_of(spark, *LOOKUPS).coalesce(1).write.parquet(request_path)
     stored, asked = spark.read.parquet(state_path), spark.read.parquet(request_path)
-    plain = lookup_jobs(asked, stored, AS_OF)
-    assert "LeftSemi" not in plain._jdf.queryExecution().executedPlan().toString()
-    spark.conf.set("jobtide.skew.fewBytes", "8000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
     try:
-        thinned = lookup_jobs(asked, stored, AS_OF)
+        plain = lookup_jobs(asked, stored, AS_OF)
+        assert "LeftSemi" not in plain._jdf.queryExecution().executedPlan().toString()
+        thinned = lookup_jobs(asked, stored, AS_OF, few=True)
         plan = thinned._jdf.queryExecution().executedPlan().toString()
-        assert "LeftSemi" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
         assert rows_of(thinned) == rows_of(plain)
     finally:
-        spark.conf.unset("jobtide.skew.fewBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_state_scan_is_pruned_and_filtered(spark, tmp_path):

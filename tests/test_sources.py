@@ -1,5 +1,6 @@
+import bz2
+import gzip
 import json
-import os
 from datetime import datetime
 from decimal import Decimal
 
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 from helpers import END, job, rows_of
 from jobtide.operators.state import flatten_snapshots, latest_state
 from jobtide.sources.configs import parse_starts, read_starts
-from jobtide.sources.inits import parse_inits
+from jobtide.sources.inits import parse_inits, read_inits
 from jobtide.sources.logs import read_archived_logs, read_log_lines
 from jobtide.sources.requests import parse_requests, read_requests
-from jobtide.sources.snapshots import read_snapshot_lines, read_snapshots
-from jobtide.sources.submit_results import parse_submit_results
+from jobtide.sources.snapshots import explode_items, parse_snapshots, read_snapshot_lines, read_snapshots
+from jobtide.sources.submit_results import parse_submit_results, read_submit_results
 from jobtide.sources.text_lines import read_lines
 
 
@@ -33,7 +34,7 @@ def test_snapshots_explode_in_order(spark, tmp_path):
         ]}, indent=1))
     (tmp_path / "b.json").write_text('{"items": []}')
     (tmp_path / "c.json").write_text('{"items": [')
-    items = read_snapshots(spark, str(tmp_path))
+    items = explode_items(read_snapshots(spark, str(tmp_path)))
     seen = rows_of(items.select(
         F.regexp_extract("snapshot", "([^/]*)$", 1), "pos", "metadata.name", "status.startedAt"))
     assert seen == [
@@ -55,7 +56,7 @@ def test_snapshot_lines_equal_documents(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         lines = read_snapshot_lines(spark, str(tmp_path / "lines"))
-        assert lines.select("pos.part").distinct().count() > 1
+        assert lines.rdd.getNumPartitions() > 1
         for on_error in ["quarantine", "prefix"]:
             good, rejects = flatten_snapshots(lines, END, on_error)
             wanted, refused = flatten_snapshots(documents, END, on_error)
@@ -70,10 +71,33 @@ def test_snapshot_lines_equal_documents(spark, tmp_path):
     assert [r.reason for r in rejects.collect()] == ["bad_document"]
 
 
-def test_snapshot_reads_only_named_fields(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"items": []}')
-    plan = read_snapshots(spark, str(tmp_path)).select("metadata.name")
-    assert "creationTimestamp" not in plan._jdf.queryExecution().toString()
+SOUND = {"metadata": {"name": "w", "uid": job(1), "labels": {"jobid": job(1), "secret": "s"}},
+         "status": {"phase": "Running", "startedAt": "2024-04-01T08:00:00Z"}}
+
+
+@pytest.mark.parametrize("part, field, value, reason", [
+    ("metadata", "name", 5, "bad_name"), ("metadata", "uid", 5, "bad_uid"),
+    ("metadata", "resourceVersion", 5, "bad_resource_version"),
+    ("metadata", "labels", {"jobid": job(1), "secret": 7}, "bad_label"),
+    ("metadata", "labels", {"jobid": job(1), "x": None}, "bad_label"),
+    ("metadata", "labels", "x", "bad_label"), ("status", "phase", 1, "bad_phase"),
+    ("status", "startedAt", 7, "bad_started_at"), ("status", "finishedAt", True, "bad_finished_at"),
+    ("status", "finishedAt", None, None), ("metadata", "more", 5, None)])
+def test_snapshot_values_are_texts(spark, part, field, value, reason):
+    item = SOUND | {part: SOUND[part] | {field: value}}
+    bodies = spark.createDataFrame([("a", END, json.dumps({"items": [item]}))],
+                                   "snapshot string, snapshot_ts timestamp, body string")
+    good, rejects = flatten_snapshots(parse_snapshots(bodies), END)
+    seen = [(r.reason, r.unreadable) for r in rejects.collect()]
+    assert (good.count(), seen) == ((1, []) if reason is None else (0, [(reason, True)]))
+
+
+@pytest.mark.parametrize("body", ['{"items":[]} x', '{"items":[]}{}', '{"items":{}}', "[]", "", "{}", None,
+                                  '{"items":[7]}', '{"items":[{"metadata":[],"status":{}}]}'])
+def test_undecodable_snapshots(spark, body):
+    bodies = spark.createDataFrame([("a", END, body)], "snapshot string, snapshot_ts timestamp, body string")
+    _, rejects = flatten_snapshots(parse_snapshots(bodies), END)
+    assert rows_of(rejects, "reason") == [("bad_document",)]
 
 
 def test_requests(spark):
@@ -192,12 +216,30 @@ def test_line_order_holds_over_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         read = read_lines(spark, str(tmp_path)).where(F.col("file").endswith("a.log"))
-        ordered = [r.line for r in read.orderBy("part", "line_no").collect()]
-        parts = read.select("part").distinct().count()
+        ordered = [tuple(r) for r in read.select("line_no", "line", "open_ended").orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ordered == [(i, line, False) for i, line in enumerate(lines)]
+
+
+def test_line_numbers_depend_on_nothing_but_the_file(spark, tmp_path):
+    body = json.dumps({"jobs": [{"secret": "a", "jobID": job(1)}]})
+    (tmp_path / "m.jsonl").write_text(f"{body}\n" * 500)
+
+    def ids():
+        good, _ = read_requests(spark, str(tmp_path))
+        return rows_of(good.where("request_id like '%m.jsonl%'"), "request_id")
+
+    alone = ids()
+    assert len(set(alone)) == 500 and alone[0][0].endswith("m.jsonl:0")
+    (tmp_path / "a.jsonl").write_text(f"{body}\n" * 300)
+    (tmp_path / "z.jsonl").write_text("short\n")
+    assert ids() == alone
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert ids() == alone
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert parts > 1
-    assert ordered == lines
 
 
 def test_lines_end_at_newline_only(spark, tmp_path):
@@ -209,8 +251,28 @@ def test_log_files_are_named_by_job(spark, tmp_path):
     name = job(1).replace("-", "")
     (tmp_path / f"{name}.log").write_text("a\n")
     assert rows_of(read_log_lines(spark, str(tmp_path)), "job_id", "line") == [(job(1), "a")]
-    archived = rows_of(read_archived_logs(spark, str(tmp_path)), "job_id", "file_size")
-    assert archived == [(job(1), os.path.getsize(tmp_path / f"{name}.log"))]
+    assert rows_of(read_archived_logs(spark, str(tmp_path)), "job_id", "part", "line_no", "open_ended") == [
+        (job(1), 0, 0, False)]
+
+
+def test_files_of_one_job_keep_their_order(spark, tmp_path):
+    (tmp_path / f"{job(1)}.a").write_text("one\ntwo")
+    (tmp_path / f"{job(1)}.b").write_text("three\n")
+    assert rows_of(read_archived_logs(spark, str(tmp_path)), "part", "line_no", "line", "open_ended") == [
+        (0, 0, "one", False), (0, 1, "two", True), (1, 0, "three", False)]
+
+
+@pytest.mark.parametrize("text, ends", [(b"a\nb", [False, True]), (b"a\nb\n", [False, False]), (b"a\n\n", [False, False])])
+def test_packed_logs_know_their_end(spark, tmp_path, text, ends):
+    (tmp_path / f"{job(1)}.log.gz").write_bytes(gzip.compress(text))
+    lines = read_archived_logs(spark, str(tmp_path))
+    assert rows_of(lines, "job_id", "line_no", "open_ended") == [(job(1), i, e) for i, e in enumerate(ends)]
+
+
+def test_other_packings_are_refused(spark, tmp_path):
+    (tmp_path / f"{job(1)}.log.bz2").write_bytes(bz2.compress(b"a\nb"))
+    with pytest.raises(Exception, match="neither plain nor gzip"):
+        read_archived_logs(spark, str(tmp_path)).collect()
 
 
 def test_submit_results(spark):
@@ -219,6 +281,10 @@ def test_submit_results(spark):
         (2, job(2), '{"metadata":{"name":"w"}}'),
         (3, job(3), '{"message":"denied"}'),
         (4, job(4), "nope"),
+        (5, job(5), '{"metadata":{"name":5,"creationTimestamp":"2024-04-01T08:00:00Z"}}'),
+        (6, job(6), '{"metadata":{"name":"w","creationTimestamp":"2024-04-01T08:00:00Z"}} x'),
+        (7, job(7), '{"metadata":{"name":"w","creationTimestamp":7}}'),
+        (8, job(8), None),
     ], "pos long, job_id string, body string")
     assert rows_of(parse_submit_results(rows)) == [(1, job(1), "w", datetime(2024, 4, 1, 8))]
 
@@ -243,3 +309,19 @@ def test_inits(spark, body, reason):
     else:
         assert good.count() == 0
         assert rows_of(rejected, "reason") == [(reason,)]
+
+
+def test_inits_and_answers_from_files(spark, tmp_path):
+    (tmp_path / "inits").mkdir()
+    (tmp_path / "answers").mkdir()
+    rows = [{"job_id": job(i), "secret": "k", "body": json.dumps({"name": f"n{i}", "repliconTableType": kind})}
+            for i, kind in enumerate(["CSV", "x"])]
+    (tmp_path / "inits" / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    good, rejected = read_inits(spark, str(tmp_path / "inits"))
+    assert rows_of(good) == [(job(0), "k", "n0")]
+    assert rows_of(rejected, "job_id", "reason") == [(job(1), "bad repliconTableType")]
+    body = {"metadata": {"name": "w", "creationTimestamp": "2024-04-01T08:00:00Z"}}
+    (tmp_path / "answers" / "a.jsonl").write_text(
+        json.dumps({"job_id": job(1), "body": json.dumps(body)}) + "\n" + json.dumps({"job_id": job(2), "body": "{}"}))
+    answers = read_submit_results(spark, str(tmp_path / "answers"))
+    assert rows_of(answers, "pos.line_no", "job_id", "name") == [(0, job(1), "w")]

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from helpers import AS_OF, END, START, job, rows_of, state_of, state_row
 from jobtide.operators.sinks import land_items
 from jobtide.operators.state import (
-    apply_tombstones, classify_items, flatten_snapshots, fold_changes, latest_state, register_jobs, split_items,
+    apply_tombstones, classify_items, flatten_snapshots, fold_changes, latest_state, live_state, register_jobs, split_items,
     upsert_state,
 )
-from jobtide.schemas import LABEL_ARCHIVED, SNAPSHOT_SCHEMA, STATE_COLUMNS, STATE_SCHEMA
+from jobtide.schemas import LABEL_ARCHIVED, STATE_COLUMNS, STATE_SCHEMA
+from jobtide.sources.snapshots import ITEM_TYPE, parse_snapshots
 
-ITEM = SNAPSHOT_SCHEMA["items"].dataType.elementType
-DDL = f"snapshot string, snapshot_ts timestamp, pos int, item {ITEM.simpleString()}"
+DDL = f"snapshot string, snapshot_ts timestamp, pos int, item {ITEM_TYPE}"
 GOOD = {"name": "wf", "uid": job(7).upper(), "resourceVersion": "5",
         "labels": {"jobid": job(1), "name": "n", "secret": "s"}}
 RUNNING = {"phase": "Running", "startedAt": "2024-04-01T08:00:00Z", "finishedAt": None}
@@ -21,11 +21,21 @@ RUNNING = {"phase": "Running", "startedAt": "2024-04-01T08:00:00Z", "finishedAt"
 
 def items_of(spark, *rows):
     """Rows of (snapshot, pos, metadata, status)."""
-    packed = [(s, START, p, None if m is None else (m, st)) for s, p, m, st in rows]
+    packed = [(s, START, p, None if m is None else (m, st, None)) for s, p, m, st in rows]
     return spark.createDataFrame(packed, DDL).select(
         "snapshot", "snapshot_ts", "pos", "item.metadata", "item.status")
 
 
+def documents_of(items):
+    """The same items, packed into documents."""
+    item = F.struct("metadata", "status", F.lit(None).cast("string").alias("type_fault"))
+    packed = items.groupBy("snapshot", "snapshot_ts").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", item.alias("item")))).alias("all"))
+    places = F.array_sort(F.map_keys("all"))
+    return packed.select("snapshot", "snapshot_ts", F.transform(
+        places, lambda p: F.element_at("all", p)).alias("items"))
+
+
 def meta(**changed):
     return GOOD | changed
 
@@ -97,10 +107,9 @@ def prefix_case(spark):
     )
 
 
-@pytest.mark.parametrize("mode", ["hot_keys_split", "hot_keys_plain"])
-def test_prefix_policy(spark, mode, request):
-    request.getfixturevalue(mode)
-    good, rejects = flatten_snapshots(prefix_case(spark), AS_OF, on_error="prefix")
+@pytest.mark.parametrize("form", [lambda items: items, documents_of])
+def test_prefix_policy(spark, form):
+    good, rejects = flatten_snapshots(form(prefix_case(spark)), AS_OF, on_error="prefix")
     assert rows_of(good, "snapshot", "pos") == [("clean", 0), ("clean", 1), ("cut", 0)]
     assert rows_of(rejects, "snapshot", "pos", "reason") == [
         ("cut", 1, "bad_jobid"), ("cut", 2, "after_bad_item"), ("cut", 3, "unknown_phase"),
@@ -109,6 +118,14 @@ def test_prefix_policy(spark, mode, request):
         ("lost", 0, "snapshot_unreadable"), ("lost", 1, "missing_started_at")]
 
 
+def test_documents_are_judged_before_they_are_exploded(spark):
+    bodies = spark.createDataFrame([("a", START, '{"items":[]}')], "snapshot string, snapshot_ts timestamp, body string")
+    for on_error in ["quarantine", "prefix"]:
+        good, _ = flatten_snapshots(parse_snapshots(bodies), AS_OF, on_error)
+        plan = good._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_landed_items_are_read_by_verdict(spark, tmp_path):
     path = str(tmp_path / "items")
     land_items(classify_items(prefix_case(spark), AS_OF), path)
@@ -154,7 +171,7 @@ def test_latest_state_reduces_before_its_only_shuffle(spark):
     rows, schema = snapshot_rows(spark)
     plan = latest_state(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
-    assert plan.index("max_by") < plan.index("Exchange") < plan.index("partial_max_by")
+    assert plan.index("[max(struct") < plan.index("Exchange") < plan.index("partial_max(struct")
 
 
 FEED = ("seq long, kind string, "
@@ -223,12 +240,28 @@ def test_fold_cases(spark, kinds, alive, phase):
     assert [r.status for r in rows] == ([phase] if alive else [])
 
 
-def test_fold_never_orders_whole_histories(spark):
+def test_fold_has_no_window_or_join(spark):
     df = spark.createDataFrame([change(0, "INIT", 1, "a")], FEED)
     plan = fold_changes(df)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and plan.count("Exchange") == 2
 
 
+def test_live_state_equals_fold(spark):
+    rows = [dict(seq=i, kind=k, job_id=job(n), secret=sec, name=f"n{i}", workflow_name=f"w{i}",
+                 status="Running" if k == "SNAPSHOT" else None, started=START, updated=END, archived=False)
+            for i, (k, n, sec) in enumerate([
+                ("INIT", 1, "a"), ("INIT", 2, "b"), ("START", 1, "a"), ("SNAPSHOT", 2, "b"), ("DELETE", 2, "x"),
+                ("DELETE", 1, "a"), ("SNAPSHOT", 1, "a"), ("START", 2, "b"), ("INIT", 3, "c"), ("DELETE", 3, "c")])]
+    feed = spark.createDataFrame(rows, "seq long, kind string, job_id string, secret string, name string, "
+                                 "workflow_name string, status string, started timestamp, updated timestamp, "
+                                 "archived boolean, remote_uid string, resource_version string")
+    parts = [feed.where(F.col("kind") == k) for k in ("SNAPSHOT", "INIT", "START", "DELETE")]
+    live = live_state(*parts)
+    assert rows_of(live, "job_id", "status", "workflow_name") == [
+        (job(1), "Running", "w6"), (job(2), "Pending", "w7")]
+    assert rows_of(live_state(parts[0])) == rows_of(fold_changes(parts[0]))
+
+
 def test_register_jobs(spark):
     inits = spark.createDataFrame([(job(1), "k", "My genome #1")], "job_id string, secret string, name string")
     registered = register_jobs(inits)

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from helpers import job, rows_of
 from jobtide.operators.state import flatten_snapshots, latest_state
 from jobtide.schemas import STATE_COLUMNS
-from jobtide.session import configure_streaming
 from jobtide.sources.snapshots import read_snapshots, stream_snapshots
-from jobtide.streaming.state_stream import read_stream_state, start_state_stream, stored_schema
+from jobtide.streaming.state_stream import read_stream_state, roll_up, start_state_stream, stored_schema
 
 
 def item(number, phase, version):
@@ -24,21 +23,20 @@ def write_snapshot(folder, name, when, *items):
     os.utime(path, (when, when))
 
 
-def flat_stream(spark, folder):
+def flat_stream(spark, folder, on_error="quarantine"):
     items = stream_snapshots(spark, str(folder), files_per_trigger=1)
-    return flatten_snapshots(items, F.col("snapshot_ts"))[0]
+    return flatten_snapshots(items, F.col("snapshot_ts"), on_error)[0]
 
 
-def drain(spark, folder, out):
-    configure_streaming(spark)
-    rows = flat_stream(spark, folder)
-    query = start_state_stream(rows, f"{out}/changes", f"{out}/checkpoint", drain=True)
+def drain(spark, folder, out, on_error="quarantine", **more):
+    rows = flat_stream(spark, folder, on_error)
+    query = start_state_stream(rows, f"{out}/changes", f"{out}/checkpoint", drain=True, **more)
     query.awaitTermination()
     return read_stream_state(spark, f"{out}/changes", stored_schema(rows))
 
 
-def batch_state(spark, folder):
-    good, _ = flatten_snapshots(read_snapshots(spark, str(folder)), F.col("snapshot_ts"))
+def batch_state(spark, folder, on_error="quarantine"):
+    good, _ = flatten_snapshots(read_snapshots(spark, str(folder)), F.col("snapshot_ts"), on_error)
     return latest_state(good)
 
 
@@ -95,3 +93,61 @@ def test_rewritten_batch_leaves_no_duplicates(spark, tmp_path):
     again = drain(spark, folder, out)
     assert rows_of(again, "job_id", "status") == [(job(1), "Pending")]
     assert spark.read.parquet(f"{out}/changes").count() == 1
+
+
+def test_prefix_policy_in_a_stream(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    write_snapshot(folder, "a.json", 1_000, item(1, "Pending", 1), item(2, "Odd", 1), item(3, "Pending", 1))
+    first = drain(spark, folder, out, "prefix")
+    assert rows_of(first, "job_id", "status") == [(job(1), "Pending")]
+    broken = item(4, "Running", 1)
+    broken["metadata"]["name"] = 7
+    write_snapshot(folder, "b.json", 2_000, item(1, "Running", 2), item(2, "Running", 2), item(5, "?", 1), item(3, "Failed", 2))
+    write_snapshot(folder, "c.json", 3_000, item(1, "Failed", 3), broken)
+    second = drain(spark, folder, out, "prefix")
+    assert rows_of(second, *STATE_COLUMNS) == rows_of(batch_state(spark, folder, "prefix"), *STATE_COLUMNS)
+    assert rows_of(second, "job_id", "status") == [(job(1), "Running"), (job(2), "Running")]
+
+
+def test_rows_equal_to_the_stored_ones_are_not_written(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    done = [item(n, "Succeeded", 1) for n in range(20)]
+    for one in done:
+        one["status"]["finishedAt"] = "2024-04-01T09:00:00Z"
+    write_snapshot(folder, "a.json", 1_000, *done)
+    write_snapshot(folder, "b.json", 2_000, *done, item(30, "Running", 2))
+    write_snapshot(folder, "c.json", 3_000, *done[1:], item(0, "Failed", 2))
+    state = drain(spark, folder, out, files=2)
+    sizes = spark.read.parquet(f"{out}/changes").groupBy("batch").count().collect()
+    assert sorted((r.batch, r["count"]) for r in sizes) == [(0, 20), (1, 1), (2, 1)]
+    assert rows_of(state, *STATE_COLUMNS) == rows_of(batch_state(spark, folder), *STATE_COLUMNS)
+    files = [f for f in (out / "changes" / "batch=0").glob("part-*.parquet")]
+    assert 1 <= len(files) <= 2
+
+
+def test_rolled_up_state_replaces_what_it_holds(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    write_snapshot(folder, "a.json", 1_000, item(1, "Pending", 1), item(2, "Pending", 1))
+    drain(spark, folder, out)
+    schema = stored_schema(flat_stream(spark, folder))
+    last = roll_up(spark, f"{out}/changes", schema, f"{out}/base0")
+    assert last == 0
+    write_snapshot(folder, "b.json", 2_000, item(1, "Running", 2), item(3, "Pending", 1))
+    whole = drain(spark, folder, out, base=f"{out}/base0", after_batch=last)
+    again = roll_up(spark, f"{out}/changes", schema, f"{out}/base1", base=f"{out}/base0", after_batch=last)
+    assert again == 1
+    later = read_stream_state(spark, f"{out}/changes", schema, base=f"{out}/base1", after_batch=again)
+    assert rows_of(later) == rows_of(whole)
+    assert spark.read.parquet(f"{out}/base1").count() == 3
+
+
+def test_state_is_kept_on_disk(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_snapshot(folder, "a.json", 1_000, item(1, "Pending", 1))
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    drain(spark, folder, tmp_path / "out")
+    assert "RocksDB" in (tmp_path / "out" / "checkpoint" / "offsets" / "0").read_text()
