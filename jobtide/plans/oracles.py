@@ -111,6 +111,11 @@ ITEMS = f"""items as ({tables.sql(tables.ITEM_TEXTS)}),
     coalesce(nm, 'Unknown name') as name, phase status, st started,
     coalesce(fin, {AS_OF}) updated, wf workflow_name, coalesce(sec, 'Unknown') secret,
     arch is not null archived, sec is null secret_missing from flagged where reason is null)"""
+# The same items, each judged by itself.
+FILED = ITEMS.replace(ITEMS[ITEMS.index("bodies as ("):ITEMS.index("parts as (")],
+                      "listed as (select cast(null as varchar) snapshot, ts snapshot_ts, 0 pos, "
+                      "cast(item as json) item, item doc from items),\n  ")
+FILED_LIST = "* exclude (snapshot, snapshot_ts, pos)"
 PREFIX_CHECKED = f"""{ITEMS}, ranged as (select *,
     min(case when reason is not null and not unreadable then pos end)
       over (partition by snapshot) first_bad,
@@ -339,6 +344,10 @@ ORACLES = {
     "snapshot_state": f"""with {ITEMS} select {STATE_LIST} from (select *, row_number() over (
     partition by job_id order by snapshot_ts desc, snapshot desc, pos desc) rn from flat)
   where rn = 1""",
+    "snapshot_files": f"with {FILED} select {FILED_LIST} from flat",
+    "poll_state": f"""with {FILED} select {STATE_LIST} from (select *, row_number() over (
+    partition by job_id order by started desc, workflow_name desc) rn from flat) where rn = 1""",
+    "request_files": f"with {_BODIES} select pos, job_id, secret from accepted",
     "request_scan": f"with {_BODIES} select * from accepted",
     "request_rejects": f"""with {_BODIES} select request_id, body,
     case when doc is null then 'bad_list' else 'bad_job' end reason from docs

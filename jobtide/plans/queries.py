@@ -17,8 +17,8 @@ from jobtide.plans import tables
 from jobtide.session import configure, fresh_path
 from jobtide.sources.configs import parse_starts
 from jobtide.sources.inits import parse_inits
-from jobtide.sources.requests import parse_requests
-from jobtide.sources.snapshots import parse_snapshots
+from jobtide.sources.requests import parse_requests, read_requests
+from jobtide.sources.snapshots import parse_snapshots, read_snapshots, stream_snapshots
 from jobtide.sources.submit_results import parse_submit_results
 from jobtide.streaming import state_stream
 
@@ -142,6 +142,31 @@ def prefix_rejects(spark, sf_dir):
     return _flat(spark, sf_dir, "prefix")[1].select("snapshot", "pos", "reason", "unreadable")
 
 
+@_query
+def snapshot_files(spark, sf_dir):
+    """Snapshots through files and their reader; what a file is called is left out."""
+    path = fresh_path(spark, "snapshots")
+    tables.write_snapshots(spark, sf_dir, path)
+    good, _ = state.flatten_snapshots(read_snapshots(spark, path), _as_of())
+    return good.drop("snapshot", "snapshot_ts", "pos")
+
+
+@_query
+def poll_state(spark, sf_dir):
+    """The files polled as a stream; rows are ordered by what is in them."""
+    path = fresh_path(spark, "polled")
+    tables.write_snapshots(spark, sf_dir, f"{path}/snapshots")
+    rows, _ = state.flatten_snapshots(stream_snapshots(spark, f"{path}/snapshots"), _as_of())
+    order = ["begun", "flow"]
+    rows = rows.withColumn("begun", F.col("started")).withColumn("flow", F.col("workflow_name"))
+    query = state_stream.start_state_stream(
+        rows, f"{path}/changes", f"{path}/checkpoint", order=order, drain=True)
+    query.awaitTermination()
+    stored = state_stream.read_stream_state(
+        spark, f"{path}/changes", state_stream.stored_schema(rows, order), order)
+    return stored.select(*state.STATE_COLUMNS)
+
+
 @_query
 def snapshot_state(spark, sf_dir):
     return state.latest_state(_flat(spark, sf_dir)[0])
@@ -174,6 +199,15 @@ def request_rejects(spark, sf_dir):
     return parse_requests(tables.view(spark, sf_dir, tables.REQUEST_BODIES))[1]
 
 
+@_query
+def request_files(spark, sf_dir):
+    """Requests through files and their reader; ids that come from file names are left out."""
+    path = fresh_path(spark, "requests")
+    tables.write_requests(spark, sf_dir, path)
+    accepted, _ = read_requests(spark, path)
+    return accepted.select("pos", "job_id", "secret")
+
+
 def _answers(spark, sf_dir):
     return lookup.lookup_jobs(
         _requests(spark, sf_dir), _state(spark, sf_dir, *ANSWERED), _as_of())

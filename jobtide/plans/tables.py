@@ -264,6 +264,18 @@ def archived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"line_no = n - 1 and not endswith(text, '\n') as open_ended")
 
 
+def write_snapshots(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``ITEM_TEXTS`` as snapshot files of 600 items, one document per file."""
+    documents = view(spark, sf_dir, ITEM_TEXTS).groupBy(F.floor(F.col("event_id") / 600).alias("poll")).agg(
+        F.expr("""concat('{"items":[', listagg(item, ',') within group (order by event_id), ']}')""").alias("body"))
+    documents.select("body").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def write_requests(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``REQUEST_BODIES`` as files of one body per line."""
+    view(spark, sf_dir, REQUEST_BODIES).select("body").write.text(path)
+
+
 def snapshot_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ITEM_TEXTS`` packed into documents."""
     return view(spark, sf_dir, ITEM_TEXTS).groupBy("snapshot").agg(

@@ -183,6 +183,18 @@ def test_apply_submissions(spark):
     assert rows_of(after.where(F.col("job_id") == job(1))) == [state_row(1)]
 
 
+def test_spent_submissions_do_not_turn_time_back(spark):
+    results = spark.createDataFrame(
+        [(5, job(1), "old", START), (9, job(2), "new", START), (7, job(3), "same", START), (1, job(5), "first", START)],
+        "pos long, job_id string, name string, creation_timestamp timestamp")
+    seen = jobs(spark).withColumn("listed", F.when(F.col("job_id") != job(5), F.lit(7)))
+    after = apply_submissions(seen, results, AS_OF, listed="listed")
+    assert after.columns == STATE_COLUMNS
+    changed = {r.job_id: r.workflow_name for r in after.collect() if r.status == "Pending"}
+    assert changed == {job(2): "new", job(5): "first"}
+    assert rows_of(after.where(F.col("job_id") == job(3))) == [state_row(3, "Failed")]
+
+
 # File lists
 
 @pytest.mark.parametrize("strict, outcomes", [
