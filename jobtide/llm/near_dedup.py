@@ -41,6 +41,7 @@ TILE = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAYER = np.uint64(0xC2B2AE3D27D4EB4F)
 _RANK = np.uint64(0x165667B19E3779F9)
+_CELLS = 1 << 20  # cells that are thrown at once
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
 
 
@@ -60,32 +61,29 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray | None, k: int) ->
         owner = np.repeat(np.arange(len(elements)), layers)
         layer = np.arange(len(owner)) - np.repeat(np.cumsum(layers) - layers, layers)
         base = texts.mixed(texts.mixed(elements)[owner] + layer.astype(np.uint64) * _LAYER)
-    bound = k * (math.log(k) + 4) / total
+    bound = k * (math.log(k) + 2) / total
     out = np.zeros(k, np.uint64)
     best = np.full(k, np.inf)
     low = 0.0
     while True:
         # cells [rank, rank + 1) of every layer, as far as the bound reaches
-        for rank in range(int(low), math.ceil(bound)):
-            cell = texts.mixed(base + np.uint64(rank * int(_RANK) % (1 << 64)))
+        ranks = np.arange(int(low), math.ceil(bound))
+        for some in np.array_split(ranks, -(-len(ranks) * len(base) // _CELLS)):
+            cell = texts.mixed(base + (some.astype(np.uint64) * _RANK)[:, None]).ravel()
             darts = np.searchsorted(_POISSON, _unit(cell), side="right")
-            seeds = np.repeat(cell, darts)
-            number = np.arange(len(seeds)) - np.repeat(np.cumsum(darts) - darts, darts)
-            dart = texts.mixed(seeds + (number + 1).astype(np.uint64) * _STEP)
-            height = rank + _unit(texts.mixed(dart + _LAYER))
+            at = np.repeat(np.arange(len(cell)), darts)
+            number = np.arange(len(at)) - (np.cumsum(darts) - darts)[at]
+            dart = texts.mixed(cell[at] + (number + 1).astype(np.uint64) * _STEP)
+            height = some[at // len(base)] + _unit(texts.mixed(dart + _LAYER))
             inside = (height >= low) & (height < bound)
             if weights is not None:
-                at = np.repeat(np.arange(len(cell)), darts)
-                inside &= layer[at] + _unit(texts.mixed(dart + _RANK)) < weights[owner[at]]
+                within = at % len(base)
+                inside &= layer[within] + _unit(texts.mixed(dart + _RANK)) < weights[owner[within]]
             dart, height = dart[inside], height[inside]
             place = (dart % np.uint64(k)).astype(np.int64)
-            order = np.argsort(-height, kind="stable")  # the lowest is written last
-            lowest = np.full(k, np.inf)
-            value = np.zeros(k, np.uint64)
-            lowest[place[order]] = height[order]
-            value[place[order]] = dart[order]
-            better = lowest < best
-            best[better], out[better] = lowest[better], value[better]
+            np.minimum.at(best, place, height)
+            lowest = height == best[place]
+            out[place[lowest]] = dart[lowest]
         if not np.isinf(best).any():
             return out
         low, bound = bound, 2 * bound
