@@ -7,8 +7,8 @@ lowest rank is kept for each coordinate. Only ranks up to a bound that the total
 sets are thrown, so the work per text is its number of elements plus k log k.
 
 Texts of equal words are one node from the start. Bands of coordinates put nodes into
-buckets. In each bucket every member is compared with one centre; the links found make
-components. A bucket whose members are all in one component is done. In the others, only
+buckets. In each bucket every member is compared with one centre, the one that shares most
+places in buckets with others; the links found make components. A bucket whose members are all in one component is done. In the others, only
 pairs from different components are looked at, in tiles of bounded size inside a task, and
 those whose signatures allow the threshold are compared exactly. A bucket thus costs its
 size while it holds one class, no bucket is capped, and no link that shares a bucket is
@@ -270,9 +270,16 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, weigh
              .agg(F.min(F.struct(F.col("_n_row").alias("row"), F.col("_n_size").alias("size"),
                                  F.col("_n_bands").alias("bands"))).alias("m")))
     banded = nodes.select("node", "m.row", "m.size", F.explode("m.bands").alias("bucket"))
-    centres = (banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("amount"))
-               .filter("amount > 1"))
-    members = scratch.stored(banded.join(centres, "bucket"), "members")
+    amounts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("amount")).filter("amount > 1")
+    shared = scratch.stored(banded.join(amounts, "bucket"), "buckets")
+    # the text the others are copies of meets more of them than they meet one another
+    company = shared.groupBy("node").agg(F.sum(F.col("amount") - 1).alias("company"))
+    met = shared.join(company, "node")
+    centres = met.groupBy("bucket").agg(F.max(F.struct("company", "node", "size")).alias("c"))
+    members = scratch.stored(
+        shared.join(centres, "bucket").select(
+            "bucket", "node", "row", "size", "amount", F.col("c.node").alias("centre"),
+            F.col("c.size").alias("centre_size")), "members")
 
     # one row and text for each node that shares a bucket
     wanted = members.select("row", "node").distinct().hint("shuffle_hash")
@@ -281,7 +288,10 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, weigh
     sets = scratch.stored(chosen.mapInArrow(
         lambda batches: _shingles(batches, weighted), "node long, shingles binary, sketch binary"), "shingles")
 
-    near = members.filter("node <> centre").select(
+    apart = F.lit(False)
+    if not weighted:  # sizes so far apart cannot reach the threshold
+        apart = F.least("size", "centre_size") < threshold * F.greatest("size", "centre_size")
+    near = members.filter((F.col("node") != F.col("centre")) & ~apart).select(
         F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     first = components(_linked(near, sets, threshold, weighted))
 
