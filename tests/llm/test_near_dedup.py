@@ -91,7 +91,7 @@ def test_small_sets_have_whole_signatures():
     assert len(set(dart_signature(one, None, 160).tolist())) == 160
 
 
-@pytest.mark.parametrize("tile", [2048, 3])
+@pytest.mark.parametrize("tile", [512, 3])
 def test_classes_against_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
     docs = families(7, 40, (20, 120), 6)
