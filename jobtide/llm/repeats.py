@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +99,34 @@ def _segments(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, np.
         yield low - start, data[low:min(end, low + SEGMENT + LENGTH - 1)]
 
 
+def _seen_here(trigger, phrase, size, doc, start):
+    """Phrases that have an earlier place in the same batch get a negative size.
+
+    They are repeats wherever the first one is, so they need not meet the others of their
+    trigger: their trigger becomes a hash of their place, which deals them out evenly. A
+    text of a hundred thousand copies thus sends its triggers once per batch.
+    """
+    if not len(trigger):
+        return trigger, phrase, size, doc, start
+    order = np.lexsort((start, doc, size, phrase, trigger))
+    trigger, phrase, size, doc, start = (x[order] for x in (trigger, phrase, size, doc, start))
+    new = np.ones(len(trigger), bool)
+    new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]) | (size[1:] != size[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = (doc != doc[first]) | (start != start[first])
+    place = texts.mixed(texts.mixed(doc.astype(np.uint64)) + start.astype(np.uint64))
+    return np.where(again, place, trigger), phrase, np.where(again, -size, size), doc, start
+
+
 def _parse(batches: Iterator[pa.RecordBatch], doc_id: str, text: str):
     names = ["trigger", "phrase", "size", "doc", "start"]
 
     def batch_of(ids, found, shift=0):
         row, trigger, phrase, start, size = found
+        trigger, phrase, size, doc, start = _seen_here(trigger, phrase, size, ids[row], start + shift)
         return pa.RecordBatch.from_arrays(
             [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(size.astype(np.int32)),
-             pa.array(ids[row]), pa.array(start + shift)], names)
+             pa.array(doc), pa.array(start)], names)
 
     for batch in batches:
         for piece in texts.pieces(batch, text):
@@ -166,6 +187,15 @@ def _settle(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         if not batch.num_rows:
             continue
+        known = batch.filter(pc.less(batch.column("size"), 0))
+        if known.num_rows:  # repeats of their own batch
+            _, phrase, size, doc, start = (known.column(i).to_numpy() for i in range(5))
+            marks = _packed(start, -size.astype(np.int64), phrase)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(marks), pa.array(np.zeros(len(doc), bool))], ["doc", "packed", "open"])
+            batch = batch.filter(pc.greater(batch.column("size"), 0))
+            if not batch.num_rows:
+                continue
         trigger, phrase, size, doc, start = (batch.column(i).to_numpy() for i in range(5))
         size = size.astype(np.int64)
         again, opened, heads = firsts(trigger, phrase, size, doc, start)
