@@ -65,3 +65,31 @@ def test_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert contract.queries()["pipeline"] is corpus_pipeline.run
     assert "pipeline" not in contract.oracle_sql()
+
+
+def odd_documents(spark):
+    prose = " ".join(f"word{i}" for i in range(80)) + "."
+    other = " ".join(f"other{i}" for i in range(80)) + " token = \"abcdefgh12345\"."
+    rows = [(1, prose, "en", None, 5, "x", 7, "a"), (None, None, None, None, None, None, None, None),
+            (2, "", "en", "s", 0, "y", 1, "b"), (3, prose, "en", "s", 5, "z", 2, "c"),
+            (3, prose, "en", "s", 5, "z", 2, "c"), (4, other, "en", "s", 5, "w", 3, "d"), (None, other + " end.", "", "", 1, "", 1, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                                       "kept string, n_words int, secrets string")
+
+
+def test_stages_take_odd_rows_and_names(spark):
+    docs = odd_documents(spark)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        counts[name] = len(rows)
+        assert stage(spark, docs.filter("false"), FOLDER).count() == 0
+        for row in rows:
+            assert (row.kept, row.n_words) in {("x", 7), (None, None), ("y", 1), ("z", 2), ("w", 3), ("", 1)}
+    assert counts == {"quality rules": 5, "near duplicates": 4, "benchmark decontamination": 7, "secret scans": 7}
+    pack = corpus_pipeline.STAGES[-1][1]
+    packed = pack(spark, docs, FOLDER)
+    assert packed.count() == 7 and packed.columns[0] == "doc_id"
+    assert pack(spark, docs.filter("false"), FOLDER).count() == 0
