@@ -8,18 +8,20 @@ sets are thrown, so the work per text is its number of elements plus k log k.
 
 Texts of equal words are one node from the start. Bands of coordinates put nodes into
 buckets. In each bucket every member is compared with one centre, the one that shares most
-places in buckets with others; the links found make components. A bucket whose members are all in one component is done. In the others, only
-pairs from different components are looked at, in tiles of bounded size inside a task, and
-those whose signatures allow the threshold are compared exactly. A bucket thus costs its
-size while it holds one class, no bucket is capped, and no link that shares a bucket is
-lost. Equal copies and large classes never make pairs among themselves.
+places in buckets with others; the links found make components. A bucket whose members are
+all in one component is done. In the others, only pairs from different components are looked
+at, in tiles of bounded size inside a task, in the first bucket a pair shares, and those
+whose signatures allow the threshold are compared exactly until their components meet. Only
+links leave a task. A bucket thus costs its size while it holds one class, no bucket is
+capped, and no link between components that shares a bucket is lost. Equal copies and large
+classes never make pairs among themselves.
 
 Words are those of the decontamination: A-Z lower-cased, letters, digits and non-ASCII. A
 text of one to four words has one shingle.
 
 Defined results: null and empty texts, and those without words, are each alone. Copies and
-repeated rows share a class. ``class_id`` is the least id of the class. With ``chance`` of
-about 3e-6 a pair at the threshold shares no bucket.
+repeated rows share a class. ``class_id`` is the least id of the class. A pair just at the
+threshold shares no bucket with a chance of about 3e-6.
 """
 
 import math
@@ -36,7 +38,7 @@ from jobtide.llm.decontamination import gram_hashes, word_hashes
 
 BANDS, ROWS = 32, 5
 SHINGLE = 5
-TILE = 2048
+TILE = 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAYER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -143,8 +145,8 @@ def _shingles(batches: Iterator[pa.RecordBatch], weighted: bool):
             sets = [np.concatenate([shingles, counts.astype(np.uint64)] if weighted else [shingles]).tobytes()
                     for _, shingles, counts in shingle_sets(piece.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("node"), pa.array(sets, pa.binary()), piece.column("_n_sketch")],
-                ["node", "shingles", "sketch"])
+                [piece.column("node"), pa.array(sets, pa.binary()), piece.column("_n_sketch"),
+                 piece.column("_n_bands")], ["node", "shingles", "sketch", "bands"])
 
 
 def similarity(left: bytes, right: bytes, weighted: bool) -> float:
@@ -197,65 +199,87 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], least: int):
-    """Pairs of different labels in each tile whose signatures agree in ``least`` places.
-
-    Rows come sorted by tile; a tile has at most 2 * TILE rows.
-    """
-    held, names = [], ["tile", "side", "node", "label", "centre", "sketch"]
+def _tiles(batches: Iterator[pa.RecordBatch], least: int, threshold: float, weighted: bool):
+    """Links between different labels in each tile; rows come sorted by tile."""
+    held = None
     for batch in batches:
-        held.append(batch.select(names))
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = table.column("tile").to_numpy()
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = held.column("tile").to_numpy()
         done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if done:
-            yield from _tile_pairs(table.slice(0, done), least)
-        held = table.slice(done).to_batches()
-    if held:
-        yield from _tile_pairs(pa.Table.from_batches(held), least)
-
-
-def _tile_pairs(table: pa.Table, least: int):
-    keys = table.column("tile").to_numpy()
-    if not len(keys):
-        return
-    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-    centre, side = table.column("centre").to_numpy(), table.column("side").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(keys), -1)
-    edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
+            yield from _tile_links(held.slice(0, done), least, threshold, weighted)
+            held = held.slice(done)
+    if held is not None and held.num_rows:
+        yield from _tile_links(held, least, threshold, weighted)
+
+
+def _tile_links(table: pa.Table, least: int, threshold: float, weighted: bool):
+    table = table.combine_chunks()
+    tile, node, side, band = (table.column(c).to_numpy() for c in ("tile", "node", "side", "band"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(tile), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(tile), BANDS)
+    sets = table.column("shingles")
+    edges = np.flatnonzero(np.diff(tile, prepend=tile[0] - 1, append=tile[-1] + 1))
+    links = []
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        left, right = [], []
-        within = bool((side[low:high] == 0).all())  # a block with itself, or one with another
-        for i in range(low, high):
-            if side[i] == 1 or node[i] == centre[i]:
+        label = table.column("label").to_numpy()[low:high].copy()
+        inner = bool(table.column("inner")[low].as_py())
+        for i in range(high - low):
+            if side[low + i] == 1:
                 continue
-            other = np.arange(i + 1, high) if within else low + np.flatnonzero(side[low:high] == 1)
-            other = other[(label[other] != label[i]) & (node[other] != centre[i])]
-            agree = (sketch[other] == sketch[i]).sum(axis=1)
-            other = other[agree >= least]
-            left.append(np.full(len(other), node[i]))
-            right.append(node[other])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            other = np.arange(i + 1, high - low) if inner else np.flatnonzero(side[low:high] == 1)
+            other = other[label[other] != label[i]]
+            # a pair is looked at in the first bucket it shares
+            mine = (bands[low + other] == bands[low + i]).argmax(axis=1) == band[low]
+            other = other[mine]
+            agree = (sketch[low + other] == sketch[low + i]).sum(axis=1)
+            keep = agree >= least
+            for j in other[keep][np.argsort(-agree[keep], kind="stable")].tolist():
+                if label[j] != label[i] and similarity(
+                        sets[low + i].as_py(), sets[low + j].as_py(), weighted) >= threshold:
+                    links.append((int(node[low + i]), int(node[low + j])))
+                    label[label == label[j]] = label[i]  # one component from now on
+    if links:
+        a, b = np.array(links, np.int64).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets with several labels, dealt into tiles of bounded size."""
-    named = (members.join(labels, "node", "left")
-             .withColumn("label", F.coalesce("label", "node")))
-    open_ = (named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-             .filter("l <> h").select("bucket"))
-    rows = named.join(open_, "bucket")
-    blocks = F.ceil(F.col("amount") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
-        F.least(own, j).alias("i"), F.greatest(own, j).alias("j"),
-        F.when(own <= j, 0).otherwise(1).alias("side")))
-    return (rows.withColumn("t", F.explode(tiles))
-            .select(F.xxhash64("bucket", "t.i", "t.j").alias("tile"), "t.side", "node", "label",
-                    "centre"))
+    """Members whose buckets hold several labels, dealt into tiles of bounded size.
+
+    The centre has been compared with all. Members with its label meet those with others,
+    and these meet one another; blocks of the former are copied once for each block of the
+    latter, which are few in a bucket with one large class.
+    """
+    low = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
+    named = (members.filter("node <> centre").join(labels, "node", "left").join(low, "centre", "left")
+             .select("bucket", "band", "node", F.coalesce("label", "node").alias("label"),
+                     F.coalesce("centre_label", "centre").alias("centre_label"))
+             .withColumn("other", F.col("label") != F.col("centre_label")))
+    counts = (named.groupBy("bucket").agg(
+        F.sum(F.col("other").cast("int")).alias("others"), F.sum((~F.col("other")).cast("int")).alias("same"),
+        F.min("label").alias("l"), F.max("label").alias("h"))
+        .filter("others > 0 and l <> h").select("bucket", "others", "same"))
+    rows = named.join(counts, "bucket")
+    other_blocks = F.ceil(F.col("others") / TILE).cast("int")
+    same_blocks = F.ceil(F.col("same") / TILE).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("other"), other_blocks).otherwise(same_blocks)).cast("int")
+
+    def place(i, j, inner, side):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"), side.alias("side"))
+
+    def upto(n):
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    among = F.transform(upto(other_blocks), lambda j: F.struct(
+        F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block == j).alias("inner"),
+        F.when(block <= j, 0).otherwise(1).alias("side")))
+    across = F.transform(upto(same_blocks), lambda j: place(block, -1 - j, False, F.lit(0)))
+    same = F.transform(upto(other_blocks), lambda i: place(i, -1 - block, False, F.lit(1)))
+    tiles = F.when(F.col("other"), F.concat(among, across)).otherwise(same)
+    return rows.withColumn("t", F.explode(tiles)).select(
+        F.xxhash64("bucket", "t.i", "t.j").alias("tile"), "t.side", "t.inner", "band", "node", "label")
 
 
 def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, weighted: bool):
@@ -269,7 +293,7 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, weigh
     nodes = (rows.filter("_n_size > 0").groupBy(F.col("_n_node").alias("node"))
              .agg(F.min(F.struct(F.col("_n_row").alias("row"), F.col("_n_size").alias("size"),
                                  F.col("_n_bands").alias("bands"))).alias("m")))
-    banded = nodes.select("node", "m.row", "m.size", F.explode("m.bands").alias("bucket"))
+    banded = nodes.select("node", "m.row", "m.size", F.posexplode("m.bands").alias("band", "bucket"))
     amounts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("amount")).filter("amount > 1")
     shared = scratch.stored(banded.join(amounts, "bucket"), "buckets")
     # the text the others are copies of meets more of them than they meet one another
@@ -278,15 +302,16 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, weigh
     centres = met.groupBy("bucket").agg(F.max(F.struct("company", "node", "size")).alias("c"))
     members = scratch.stored(
         shared.join(centres, "bucket").select(
-            "bucket", "node", "row", "size", "amount", F.col("c.node").alias("centre"),
+            "bucket", "band", "node", "row", "size", F.col("c.node").alias("centre"),
             F.col("c.size").alias("centre_size")), "members")
 
     # one row and text for each node that shares a bucket
     wanted = members.select("row", "node").distinct().hint("shuffle_hash")
-    chosen = (rows.select(F.col("_n_row").alias("row"), F.col(text).alias("text"), "_n_sketch")
-              .join(wanted, "row").select("node", "text", "_n_sketch"))
+    chosen = (rows.select(F.col("_n_row").alias("row"), F.col(text).alias("text"), "_n_sketch", "_n_bands")
+              .join(wanted, "row").select("node", "text", "_n_sketch", "_n_bands"))
     sets = scratch.stored(chosen.mapInArrow(
-        lambda batches: _shingles(batches, weighted), "node long, shingles binary, sketch binary"), "shingles")
+        lambda batches: _shingles(batches, weighted),
+        "node long, shingles binary, sketch binary, bands array<long>"), "shingles")
 
     apart = F.lit(False)
     if not weighted:  # sizes so far apart cannot reach the threshold
@@ -297,10 +322,9 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, weigh
 
     # a pair at the threshold agrees in fewer places with a chance under 1e-5
     least = int(k * threshold - 4.3 * math.sqrt(k * threshold * (1 - threshold)))
-    dealt = _open_buckets(members, first).join(sets.select("node", "sketch"), "node")
-    across = (dealt.repartition("tile").sortWithinPartitions("tile")
-              .mapInArrow(lambda batches: _tiles(batches, least), "a long, b long").distinct())
-    more = _linked(across, sets, threshold, weighted)
+    dealt = _open_buckets(members, first).join(sets, "node")
+    more = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(
+        lambda batches: _tiles(batches, least, threshold, weighted), "a long, b long")
     # links between components: each is one node now
     low = first.select(F.col("node").alias("a"), F.col("label").alias("la"))
     high = first.select(F.col("node").alias("b"), F.col("label").alias("lb"))
