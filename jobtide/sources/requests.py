@@ -1,6 +1,6 @@
 """Status requests: a JSON list of (secret, job id) pairs per body."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.functions.ids import canonical_uuid
@@ -18,13 +18,15 @@ def parse_requests(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = ["request_id", "body"]
     parsed = compute_once(bodies, kept, parse_document(F.col("body")).alias("document"))
     pairs = F.try_variant_get("document", "$[0].jobs", "array<struct<secret variant, jobID variant>>")
-    # each pair is converted once; null where it is not two texts, the second a job id
-    typed = F.transform(pairs, lambda p: _request(text_of(p["secret"]), canonical_uuid(text_of(p["jobID"]))))
-    whole = F.when(is_whole(F.col("document")), typed)
-    listed = compute_once(parsed, kept, whole.alias("pairs"))
+    # in two steps, as a lambda works out a part as often as it is named
+    texts = F.transform(pairs, lambda p: F.struct(
+        text_of(p["secret"]).alias("secret"), text_of(p["jobID"]).alias("raw")))
+    typed = F.transform(texts, lambda p: F.struct(
+        canonical_uuid(p["raw"]).alias("job_id"), p["secret"].alias("secret")))
+    listed = compute_once(parsed, kept, F.when(is_whole(F.col("document")), typed).alias("pairs"))
     reason = (
         F.when(F.col("pairs").isNull(), "bad_list")
-        .when(F.exists("pairs", lambda p: p.isNull()), "bad_job"))
+        .when(F.exists("pairs", lambda p: p["job_id"].isNull() | p["secret"].isNull()), "bad_job"))
     checked = compute_once(listed, kept, F.col("pairs"), reason.alias("reason"))
     accepted = (
         checked.where("reason is null")
@@ -34,10 +36,5 @@ def parse_requests(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
-def _request(secret: Column, job_id: Column) -> Column:
-    pair = F.struct(job_id.alias("job_id"), secret.alias("secret"))
-    return F.when(secret.isNotNull() & job_id.isNotNull(), pair)
-
-
 def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_requests(read_bodies(spark, path))
