@@ -1,10 +1,13 @@
 """Secret scans: known shapes, and a battery of randomness tests.
 
 Known shapes are the three base patterns. Beyond them, every long run of token characters
-that mixes character classes is a candidate. Its encoding is inferred from its characters
-(hex, base32, base62, base64), and its symbol values are tested for uniform use of the
-encoding's alphabet (chi-squared), for runs above and below the middle, and for serial
-correlation; Fisher's method joins the three into one score, high for random strings.
+outside their spans is a candidate, if it has a digit, mixes cases or is letters of one case.
+An ``=`` ends a run, so a name, its value and end padding are apart; a run with separators of
+both base64 alphabets is cut at the ones, at the others and at all of them, and every long part
+is a candidate. Its encoding is inferred from its characters (the smallest alphabet that holds
+it), and its symbol values are tested for uniform use of the encoding's alphabet (chi-squared),
+for runs above and below the middle, and for serial correlation; Fisher's method joins the
+three into one score, high for random strings.
 
 Long and short strings are not alike, so the threshold is set for each length band: every
 candidate brings a control, the letters of plain text next to it cut to its length and put
@@ -13,7 +16,8 @@ most ``max_false`` of the candidates. That table is of bounded size (bands by sc
 counted over all documents and combined before the shuffle.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal spans;
-added spans never overlap base ones, and overlapping base spans of different kinds all stay.
+added spans never overlap base ones; overlapping base spans of different kinds all stay, and
+so do overlapping parts of one run.
 Result columns replace columns of the same names.
 """
 
@@ -38,7 +42,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 KINDS = ["assign", "access", "hex", "random"]
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+CLASHING = [re.compile(r"[^_-]{20,}"), re.compile(r"[^+/]{20,}"), re.compile(r"[^+/_-]{20,}")]
 BANDS = [20, 24, 32, 48, 80, 160]
 STEPS = 200
 LETTERS = re.compile(r"[A-Za-z]+")
@@ -46,6 +51,8 @@ LETTERS = re.compile(r"[A-Za-z]+")
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
@@ -121,20 +128,48 @@ def _control(text: str, start: int, end: int, size: int) -> float | None:
     return randomness(np.array([_LOWER[c] for c in near]), 26)
 
 
+def _runs(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the long parts of token runs that lie outside the base spans."""
+    place = 0
+    merged = []
+    for a, b, _ in taken:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while place < len(merged) and merged[place][1] <= start:
+            place += 1
+        next_one = place
+        while next_one < len(merged) and merged[next_one][0] < end:
+            if merged[next_one][0] - start >= BANDS[0]:
+                yield start, merged[next_one][0]
+            start = merged[next_one][1]
+            next_one += 1
+        if end - start >= BANDS[0]:
+            yield start, end
+
+
+def _readings(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The run itself, or its long parts where no alphabet holds it whole."""
+    token = text[start:end]
+    if infer_encoding(token) is not None:
+        return [(start, end)]
+    return sorted({(start + m.start(), start + m.end())
+                   for cut in CLASHING for m in cut.finditer(token)})
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]):
-    """(start, end, encoding, score, control) of mixed tokens that overlap no base span."""
+    """(start, end, encoding, score, control) of long tokens that overlap no base span."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip("=")
-        start, end = m.start(), m.start() + len(token)
+    for start, end in (part for run in _runs(text, taken) for part in _readings(text, *run)):
+        token = text[start:end]
+        name = infer_encoding(token)
         digits = any(c.isdigit() for c in token)
         mixed = any(c.islower() for c in token[1:]) and any(c.isupper() for c in token[1:])
-        if len(token) < BANDS[0] or not (digits or mixed) or token.isdigit():
-            continue
-        if any(a < end and start < b for a, b, _ in taken):
-            continue
-        name = infer_encoding(token)
-        if name is None:
+        # a random string over a larger alphabet would have a digit or both cases
+        if token.isdigit() or not (digits or mixed or name in ("lower", "UPPER")):
             continue
         values = next(v for n, _, v in _ENCODINGS if n == name)
         score = randomness(np.array([values[c] for c in token]), len(values))
