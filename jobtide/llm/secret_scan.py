@@ -9,11 +9,15 @@ it), and its symbol values are tested for uniform use of the encoding's alphabet
 for runs above and below the middle, and for serial correlation; Fisher's method joins the
 three into one score, high for random strings.
 
-Long and short strings are not alike, so the threshold is set for each length band: every
-candidate brings a control, the letters of plain text next to it cut to its length and put
-through the same tests. In each band the lowest score is taken at which controls are at
-most ``max_false`` of the candidates. That table is of bounded size (bands by score steps),
-counted over all documents and combined before the shuffle.
+Long and short strings are not alike, nor are alphabets, so the threshold is set for each
+length band of each encoding: every candidate brings a control, letters of the plain words next
+to it that its own alphabet holds, cut to its length and put through the same tests over that
+alphabet. In each band the lowest score, from ``LEAST`` on, is taken at which controls are at
+most ``max_false`` of the candidates. Candidates without a digit before a letter, as names written together, have bands
+of their own, and their controls the same capitals, as such names pass the tests more often.
+Where the text beside has too few letters, a fixed passage gives the control. That table is of
+bounded size (encodings by bands by score steps), counted over all documents and combined before
+the shuffle.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal spans;
 added spans never overlap base ones; overlapping base spans of different kinds all stay, and
@@ -46,7 +50,20 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 CLASHING = [re.compile(r"[^_-]{20,}"), re.compile(r"[^+/]{20,}"), re.compile(r"[^+/_-]{20,}")]
 BANDS = [20, 24, 32, 48, 80, 160]
 STEPS = 200
-LETTERS = re.compile(r"[A-Za-z]+")
+# Random strings score lower in one of a hundred cases, names and paths in nearly all.
+LEAST = 0.01
+# Names written together seldom have it; of random base62 strings of 20 characters 96 % do.
+STRAY = re.compile(r"[0-9][A-Za-z]")
+TOKEN_END = re.compile(r"^[A-Za-z0-9+/_-]+")
+TOKEN_START = re.compile(r"[A-Za-z0-9+/_-]+$")
+PASSAGE = (
+    "A young clerk in the harbour office kept a small book in which every ship that came in was "
+    "written down with its cargo and the names of its crew. When the wind turned in the evening "
+    "the boats lay close beside each other, and from the windows above the market one could see "
+    "how the lamps were lit along the quay. Nobody asked what became of the old lists, but the "
+    "clerk had put them into a wooden box under the stairs, where they stayed dry for many years. "
+    "Later a teacher found them there and read aloud to the children which goods had been brought "
+    "from far away: coffee and copper, paper, wool, glass and oranges, and once a grey horse.")
 
 _ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -117,15 +134,33 @@ def randomness(values: np.ndarray, alphabet: int) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def _control(text: str, start: int, end: int, size: int) -> float | None:
-    """The score of as many plain letters from beside the candidate, or none if too few."""
-    reach = 4 * size
-    near = "".join(LETTERS.findall(text[max(0, start - reach):start])).lower()[-size:]
+def _control(text: str, start: int, end: int, name: str, values: dict[str, int], words: bool) -> float:
+    """The score of as many letters of plain words from beside the candidate.
+
+    For a candidate of ``words`` they stand in the places of its letters, with its capitals.
+    """
+    size = end - start
+    reach = 8 * size + 2 * BANDS[0]
+
+    def letters(part: str) -> str:
+        plain = CANDIDATE.sub(" ", part)
+        plain = plain.lower() if name in ("hex", "lower") else (
+            plain.upper() if name in ("HEX", "UPPER", "base32") else plain)
+        return "".join(c for c in plain if c in values and c.isalpha())
+
+    first = max(0, start - reach)
+    before = TOKEN_START.sub("", text[first:start])
+    near = letters(TOKEN_END.sub("", before) if first else before)[-size:]
     if len(near) < size:
-        near = "".join(LETTERS.findall(text[end:end + reach])).lower()[:size]
+        after = TOKEN_END.sub("", text[end:end + reach])
+        near = letters(TOKEN_START.sub("", after) if end + reach < len(text) else after)[:size]
     if len(near) < size:
-        return None
-    return randomness(np.array([_LOWER[c] for c in near]), 26)
+        own = letters(PASSAGE)
+        near = (own * (2 + size // len(own)))[start % len(own):][:size]
+    if words:
+        near = "".join(c if not c.isalpha() else n.upper() if c.isupper() else n.lower()
+                       for c, n in zip(text[start:end], near, strict=True))
+    return randomness(np.array([values[c] for c in near]), len(values))
 
 
 def _runs(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -161,7 +196,7 @@ def _readings(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]):
-    """(start, end, encoding, score, control) of long tokens that overlap no base span."""
+    """(start, end, encoding, words, score, control) of long tokens that overlap no base span."""
     out = []
     for start, end in (part for run in _runs(text, taken) for part in _readings(text, *run)):
         token = text[start:end]
@@ -173,16 +208,17 @@ def candidates(text: str, taken: list[tuple[int, int, str]]):
             continue
         values = next(v for n, _, v in _ENCODINGS if n == name)
         score = randomness(np.array([values[c] for c in token]), len(values))
-        out.append((start, end, name, score, _control(text, start, end, end - start)))
+        words = name.startswith("base6") and not STRAY.search(token)
+        out.append((start, end, name, words, score, _control(text, start, end, name, values, words)))
     return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 _CANDIDATE = pa.struct([
     ("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()),
-    ("score", pa.float64()), ("control", pa.float64())])
+    ("words", pa.bool_()), ("score", pa.float64()), ("control", pa.float64())])
 _SPANS_SQL = ("_s_base array<struct<start:long,end:long,kind:string>>, _s_more array<struct<"
-              "start:long,end:long,encoding:string,score:double,control:double>>")
+              "start:long,end:long,encoding:string,words:boolean,score:double,control:double>>")
 
 
 def _scan(batches: Iterator[pa.RecordBatch], text: str, keep_text: bool):
@@ -192,8 +228,8 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, keep_text: bool):
             whole = one.as_py() or ""
             spans = base_spans(whole)
             base.append([dict(start=a, end=b, kind=k) for a, b, k in spans])
-            more.append([dict(start=a, end=b, encoding=e, score=s, control=c)
-                         for a, b, e, s, c in candidates(whole, spans)])
+            more.append([dict(start=a, end=b, encoding=e, words=w, score=s, control=c)
+                         for a, b, e, w, s, c in candidates(whole, spans)])
         names = [n for n in batch.schema.names if keep_text or n != text]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(n) for n in names], pa.array(base, pa.list_(_SPAN)),
@@ -208,27 +244,25 @@ def _band(length: Column) -> Column:
     return band
 
 
-def thresholds(scanned: DataFrame, max_false: float) -> dict[int, float]:
-    """The lowest score of each length band that keeps false finds under ``max_false``."""
+def thresholds(scanned: DataFrame, max_false: float) -> dict[tuple[str, bool, int], float]:
+    """The lowest score, by encoding, words or not and length band, that keeps false finds under ``max_false``."""
     one = scanned.select(F.explode("_s_more").alias("c")).select(
-        _band(F.col("c.end") - F.col("c.start")).alias("band"),
+        "c.encoding", "c.words", _band(F.col("c.end") - F.col("c.start")).alias("band"),
         F.explode(F.array(
             F.struct(F.lit(0).alias("control"), F.col("c.score").alias("score")),
             F.struct(F.lit(1).alias("control"), F.col("c.control").alias("score")))).alias("s"))
     step = F.least(F.floor(F.col("s.score") * STEPS), F.lit(STEPS - 1)).cast("int")
-    counted = (one.filter("s.score is not null")
-               .groupBy("band", "s.control", step.alias("step")).count().collect())
+    counted = (one.groupBy("encoding", "words", "band", "s.control", step.alias("step")).count().collect())
+    tables = {}
+    for row in counted:
+        table = tables.setdefault((row.encoding, row.words, row.band), np.zeros((2, STEPS), np.int64))
+        table[row.control, row.step] = row["count"]
     limits = {}
-    for band in range(len(BANDS)):
-        table = np.zeros((2, STEPS), np.int64)
-        for row in counted:
-            if row.band == band:
-                table[row.control, row.step] = row["count"]
+    for key, table in tables.items():
         above = table[:, ::-1].cumsum(axis=1)[:, ::-1]
-        fine = (1 + above[1] <= max_false * above[0]) if above[0, 0] >= 1 / max_false else (
-            above[1] == 0)
-        fine &= above[0] > 0
-        limits[band] = float(np.argmax(fine)) / STEPS if fine.any() else 2.0
+        fine = (above[1] <= max_false * above[0]) & (above[0] > 0)
+        fine[:round(LEAST * STEPS)] = False
+        limits[key] = float(np.argmax(fine)) / STEPS if fine.any() else 2.0
     return limits
 
 
@@ -249,10 +283,11 @@ def scan_secrets(
     limits = thresholds(scanned, max_false)
 
     def passes(c: Column) -> Column:
-        length = c.end - c.start
+        band = _band(c.end - c.start)
         least = F.lit(2.0)
-        for number, low in enumerate(BANDS):
-            least = F.when(length >= low, F.lit(limits[number])).otherwise(least)
+        for (encoding, words, number), limit in limits.items():
+            one = (c.encoding == encoding) & (c.words == words) & (band == number)
+            least = F.when(one, F.lit(limit)).otherwise(least)
         return c.score >= least
 
     added = F.transform(F.filter("_s_more", passes), lambda c: F.struct(

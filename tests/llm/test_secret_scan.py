@@ -128,3 +128,48 @@ def test_tokens_beside_separators_are_scored_whole(before, token, after):
 def test_words_without_digits_stay_no_candidates():
     for text in ("a-long-name-of-some-part", "Internationalisierungen", "/usr/share/some-long/name", "1" * 30):
         assert not secret_scan.candidates(text, [])
+
+
+ENGLISH = """the of and to in that was his he it with as for had you not be her is on at by which have or from
+this him but all she they were my are me one their so an said them we who would been will no when there if more out
+up into do any your what has man could other than our some very time upon about may its only now like little then
+can made should did us such great before must two these see know over much down after first good men own never most
+old shall day where those came come himself way work life without go make well through being long say might how am
+too even again many back here think every people went same last thought away under take found hand eyes still place
+while just also young yet though against things get ever give god years off face nothing right once another left
+part saw house world head three took new love always put night each king between tell mind heart few because thing
+whom far seemed looked called whole de set both got find done heard look name days told let lord country asked going
+seen better having home knew side something moment father among course hands woman enough words mother soon full
+end gave room almost small thou cannot water want however light quite brought nor word whose given door best turned""".split()
+
+
+def test_recall_in_english_prose_by_length(spark):
+    draw = random.Random(3)
+    docs, tokens = [], {}
+    for i in range(800):
+        size = (20, 24, 32, 48)[i % 4]
+        tokens[i] = "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(size))
+        before, after = (" ".join(draw.choices(ENGLISH, k=80)) for _ in range(2))
+        docs.append((i, f"{before.capitalize()} {tokens[i]} {after}."))
+    docs += [(1000 + i, " ".join(draw.choices(ENGLISH, k=60)) + " /" + "/".join(draw.choices(ENGLISH, k=8)) + "/a1 "
+              + "".join(w.capitalize() for w in draw.choices(ENGLISH, k=7)) + "2") for i in range(400)]
+    rows = scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {r.doc_id: [r.text[s.start:s.end] for s in r.secrets] for r in rows}
+    for place, least in enumerate((0.8, 0.85, 0.9, 0.9)):
+        ids = range(place, 800, 4)
+        assert sum(found[i] == [tokens[i]] for i in ids) >= least * len(ids)
+    assert sum(len(found[i]) for i in found if i >= 1000) <= 0.05 * 800
+
+
+def test_a_band_with_few_candidates_among_many_names_has_the_same_rule(spark):
+    names = [(i, f"plain words before it some-long-name-of-part-{i} and plain words after it") for i in range(22)]
+    docs = [*names, (100, "plain words before it Zk3vQ9-xT1mB7rL5_cW8yH2n and after it")]
+    rows = scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.secrets} == {100}
+
+
+def test_controls_are_plain_words_only():
+    token = "Zk3vQ9xT1mB7rL5cW8yH2n"
+    for text in (f"{token} " * 5, f"{token}", "the cat and the dog sat on the mat of the old house then. " + token):
+        for *_, score, control in secret_scan.candidates(text, []):
+            assert control < 0.01 < score
