@@ -1,7 +1,9 @@
 """Line-first cleaning of documents, in DataFrame functions only.
 
-Each line is judged by itself; lines that fail are taken out, and a document that loses too
-much of its text with them is rejected. Repetition inside a document is judged by sorting
+Lines that fail are taken out, and a document that loses too much of its text with them is
+rejected. A line of several words in which no sentence ends passes if it leads, over such lines
+only, to one in which one does: so hard-wrapped prose stays, and lists of titles go. Sentences
+end as each script has it. Repetition inside a document is judged by sorting
 the hashes of its three-word windows, so no row leaves its task: there is no shuffle.
 
 Defined results: a null text has no words and is rejected; so is an empty one. Equal rows
@@ -16,6 +18,15 @@ from jobtide.llm.columns import only_kept
 
 NOT_SPACE = "[^ \\t-\\r]"
 SYMBOLS = "[#*$%&|<>]"
+# A full stop, mark or ellipsis before a blank; the marks of other scripts, which need none; and
+# for Thai and Lao, which have none, a long stretch of letters.
+SENTENCE = ("[.!?…][\"'»”)\\]]*([ \\t-\\r]|$)"
+            "|[\u0964\u0965\u06d4\u061f\u3002\uff0e\uff61\uff01\uff1f\u1362\u1367\u1368\u0589\u17d4\u17d5\u104b"
+            "\u0f0d\u1803\u1809\u0df4]|[\u0e01-\u0eff]{20}")
+# Four words, or as much of a script without blanks.
+SEVERAL_WORDS = "([^ \\t-\\r]+[ \\t-\\r]+){3}[^ \\t-\\r]|[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff]{12}"
+# A line that goes on in the next ones up to the end of a sentence, at most 30 lines on.
+CONTINUED = "1(?=1{0,29}2)"
 
 # Phrases that mark a line as page furniture and not as text.
 BOILERPLATE = [
@@ -70,21 +81,28 @@ def _has_furniture(text: Column) -> Column:
     return found
 
 
-def line_fails(line: Column, max_symbols: float = 0.1, furniture: Column | None = None) -> Column:
-    """Whether a line is navigation, boilerplate or noise.
+def line_kind(line: Column, max_symbols: float = 0.1, furniture: Column | None = None) -> Column:
+    """2: a sentence ends in the line; 1: several words without an end; 0: it fails by itself.
 
-    No sentence ends in it; three or more of ``|``; too many symbols; shouted (no
-    lower-case letter, ending in ``!!``); one of the boilerplate phrases, which are only
-    looked for where ``furniture`` holds.
+    It fails by navigation, boilerplate or noise: three or more of ``|``; too many symbols;
+    shouted (no lower-case letter, ending in ``!!``); one of the boilerplate phrases, which are
+    only looked for where ``furniture`` holds; or a few words that are no sentence.
     """
-    sentence = F.rlike(line, F.lit("[.!?…][\"'»”)\\]]*([ \\t-\\r]|$)"))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     shouted = F.rlike(line, F.lit("!![ \\t-\\r]*$")) & (line == F.upper(line))
     phrase = _has_furniture(line)
     if furniture is not None:
         phrase = furniture & phrase
     pipes = F.rlike(line, F.lit("[|][^|]*[|][^|]*[|]"))
-    return (symbols > max_symbols * F.length(line)) | pipes | ~sentence | shouted | phrase
+    noise = (symbols > max_symbols * F.length(line)) | pipes | shouted | phrase
+    return (F.when(noise, "0").when(F.rlike(line, F.lit(SENTENCE)), "2")
+            .when(F.rlike(line, F.lit(SEVERAL_WORDS)), "1").otherwise("0"))
+
+
+def passing_lines(lines: Column, furniture: Column | None = None) -> Column:
+    """For each of ``lines``, with the blank ones, "2" if it passes."""
+    kinds = F.array_join(F.transform(lines, lambda x: line_kind(x, furniture=furniture)), "")
+    return F.split(F.regexp_replace(kinds, F.lit(CONTINUED), F.lit("2")), "")
 
 
 def judge_quality(
@@ -101,19 +119,22 @@ def judge_quality(
     split = _barrier(
         docs.drop(*RESULTS),
         _q_words=F.filter(F.split(body, "[ \\t-\\r]+"), lambda x: x != ""),
-        _q_lines=F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACE))),
+        _q_every=F.split(body, "\n"),
         _q_furniture=_has_furniture(body),
         n_symbols=F.regexp_count(body, F.lit(SYMBOLS)).cast("long"))
+    lined = _barrier(
+        split, _q_pass=passing_lines(F.col("_q_every"), F.col("_q_furniture")),
+        _q_lines=F.filter("_q_every", lambda x: F.rlike(x, F.lit(NOT_SPACE))))
     first, second, covered = _repeated_words("_q_words")
     windows = _barrier(
-        split, **first,
+        lined, **first,
         n_words=F.size("_q_words").cast("long"),
         word_chars=F.length(F.array_join("_q_words", "")).cast("long"),
         n_dup_lines=(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
         _q_chars=F.length(F.array_join("_q_lines", "\n")),
         cleaned_text=F.array_join(F.filter(
-            "_q_lines", lambda line: ~line_fails(line, furniture=F.col("_q_furniture"))), "\n"))
-    windows = windows.drop("_q_words", "_q_lines", "_q_furniture")
+            "_q_every", lambda line, i: F.get(F.col("_q_pass"), i) == "2"), "\n"))
+    windows = windows.drop("_q_words", "_q_lines", "_q_every", "_q_pass", "_q_furniture")
     places = _barrier(windows, **second).drop("_q_windows")
     counted = _barrier(places, n_repeat_words=covered).drop("_q_places")
     failed = ((F.col("n_words") < min_words)

@@ -67,3 +67,24 @@ def test_drop_keeps_columns_with_clashing_names(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, PROSE, "a", 2)]
     assert kept.columns == table.columns
     assert judge_quality(table.filter("false")).count() == 0
+
+
+def test_hard_wrapped_prose_is_kept_and_lists_of_titles_are_not(spark):
+    words = PROSE.split()
+    wrapped = "\n".join(" ".join(words[i:i + 7]) for i in range(0, 60, 7))
+    crlf = wrapped.replace("\n", "\r\n")
+    titles = "\n".join(f"Ten best ways to cook number{i} at home" for i in range(20))
+    menu = "\n".join(f"Our part{i}" for i in range(40)) + "\nEnd."
+    assert verdicts(spark, wrapped, crlf, wrapped + "\n\n" + wrapped.replace("word", "term"), titles, menu,
+                    titles + "\n\n" + "One sentence.") == [True, True, True, False, False, False]
+    long_one = "\n".join(f"line{i} of a long list that never ends" for i in range(20_000))
+    assert verdicts(spark, long_one) == [False]
+
+
+def test_sentence_marks_of_other_scripts(spark):
+    words = [f"\u0936\u092c\u094d\u0926{i}" for i in range(60)]
+    marks = "\u0964\u06d4\u061f\u3002\uff01\uff1f\u1362\u0589"
+    texts = ["\n".join(" ".join(words[i:i + 12]) + mark for i in range(0, 60, 12)) for mark in marks]
+    chinese = "\n".join(" ".join("\u6c34\u706b" + chr(0x5000 + 60 * j + i) for i in range(12)) + "\u3002\u4f60\u597d" for j in range(5))
+    thai = "\n".join(f"\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e21\u0e2b\u0e32\u0e19\u0e04\u0e23 {i} " + "\u0e2d\u0e21\u0e23\u0e23\u0e31\u0e15\u0e19\u0e42\u0e01\u0e2a\u0e34\u0e19\u0e17\u0e23\u0e4c\u0e21\u0e2b\u0e34\u0e19\u0e17\u0e23\u0e32\u0e22\u0e38\u0e18\u0e22\u0e32" + f" a{i} b{i} c{i}" for i in range(12))
+    assert verdicts(spark, *texts, chinese, thai) == [True] * (len(marks) + 2)
