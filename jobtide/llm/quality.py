@@ -33,7 +33,11 @@ BOILERPLATE = [
     "all rights reserved", "cookie policy", "enable javascript", "lorem ipsum",
     "privacy policy", "subscribe to our newsletter", "terms of service", "terms of use",
 ]
-
+PHRASES = "(" + "|".join(BOILERPLATE) + ")"
+# The phrase as a sentence of its own.
+ALONE = f"(^|[.!?|\u2026] *|^ +){PHRASES} *([.!?|\u2026]|$)"
+# Phrases mark a line of which they are so large a part, or as a sentence so large a part.
+PHRASE_SHARE, ALONE_SHARE = 1 / 8, 1 / 20
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
            "cleaned_text", "base_failed", "kept"]
@@ -81,16 +85,25 @@ def _has_furniture(text: Column) -> Column:
     return found
 
 
+def _is_furniture(line: Column) -> Column:
+    """Whether boilerplate phrases make up a good part of the line, and are not just mentioned."""
+    lowered = F.lower(line)
+    size = F.length(lowered)
+    phrases = size - F.length(F.regexp_replace(lowered, F.lit(PHRASES), F.lit("")))
+    alone = (phrases >= ALONE_SHARE * size) & F.rlike(lowered, F.lit(ALONE))
+    return _has_furniture(line) & ((phrases >= PHRASE_SHARE * size) | alone)
+
+
 def line_kind(line: Column, max_symbols: float = 0.1, furniture: Column | None = None) -> Column:
     """2: a sentence ends in the line; 1: several words without an end; 0: it fails by itself.
 
     It fails by navigation, boilerplate or noise: three or more of ``|``; too many symbols;
-    shouted (no lower-case letter, ending in ``!!``); one of the boilerplate phrases, which are
-    only looked for where ``furniture`` holds; or a few words that are no sentence.
+    shouted (no lower-case letter, ending in ``!!``); boilerplate phrases as a good part of
+    it, which are only looked for where ``furniture`` holds; or a few words that are no sentence.
     """
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     shouted = F.rlike(line, F.lit("!![ \\t-\\r]*$")) & (line == F.upper(line))
-    phrase = _has_furniture(line)
+    phrase = _is_furniture(line)
     if furniture is not None:
         phrase = furniture & phrase
     pipes = F.rlike(line, F.lit("[|][^|]*[|][^|]*[|]"))

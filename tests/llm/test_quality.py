@@ -88,3 +88,14 @@ def test_sentence_marks_of_other_scripts(spark):
     chinese = "\n".join(" ".join("\u6c34\u706b" + chr(0x5000 + 60 * j + i) for i in range(12)) + "\u3002\u4f60\u597d" for j in range(5))
     thai = "\n".join(f"\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e21\u0e2b\u0e32\u0e19\u0e04\u0e23 {i} " + "\u0e2d\u0e21\u0e23\u0e23\u0e31\u0e15\u0e19\u0e42\u0e01\u0e2a\u0e34\u0e19\u0e17\u0e23\u0e4c\u0e21\u0e2b\u0e34\u0e19\u0e17\u0e23\u0e32\u0e22\u0e38\u0e18\u0e22\u0e32" + f" a{i} b{i} c{i}" for i in range(12))
     assert verdicts(spark, *texts, chinese, thai) == [True] * (len(marks) + 2)
+
+
+def test_a_phrase_fails_only_a_line_it_makes_up_a_good_part_of(spark):
+    words = PROSE.split()
+    long_ones = [" ".join([*words[:30], phrase, *words[30:]]) for phrase in (
+        "the privacy policy of", "terms of use", "lorem ipsum", "subscribe to our newsletter", "ALL RIGHTS RESERVED to")]
+    article = " ".join(f"term{i}" for i in range(300)) + ". All rights reserved."
+    lines = "See our privacy policy.\nAll rights reserved.\nPlease enable JavaScript to go on, or read the terms of service.\n"
+    assert verdicts(spark, *long_ones, article, lines + PROSE, "Lorem ipsum. " * 40) == [True] * 7 + [False]
+    table = spark.createDataFrame([(1, lines + PROSE)], "doc_id long, text string")
+    assert judge_quality(table).first().cleaned_text == PROSE
