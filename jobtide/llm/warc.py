@@ -9,7 +9,10 @@ The reader takes plain and compressed archives. A record is good if its member c
 unpacked, its header is well formed, its block has the stated length and the line ends
 after it, and its payload has the stated digest. After a failed check it looks for the next
 place that begins a good member or version line and goes on there; the bytes passed over
-are logged as a gap with the reason. One task reads one file, so archives should be of a
+are logged as a gap with the reason. Inside a member of several records it does the same over
+the unpacked bytes, also over those unpacked before the damage; such a gap has its member's
+place in the file, and its own inside the member in ``inner_start`` and ``inner_end``. Records
+of a member with errors must have their stated digest; their headers are not checked further. One task reads one file, so archives should be of a
 size a task can hold; the writer's are one shuffle partition each.
 
 Defined results: a null payload is empty, a null address has no header line, a null id is
@@ -31,10 +34,11 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MIN_REVISIT = 1000
 
-ENTRY = ("path string, start long, end long, problem string, record_type string, record_id string, "
+ENTRY = ("path string, start long, end long, inner_start long, inner_end long, problem string, record_type string, record_id string, "
          "uri string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 _ENTRY = pa.schema([
-    ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("problem", pa.string()),
+    ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
+    ("inner_start", pa.int64()), ("inner_end", pa.int64()), ("problem", pa.string()),
     ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()),
     ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ("payload", pa.binary())])
@@ -153,37 +157,91 @@ def _unpack(data: bytes, at: int) -> tuple[bytes | None, int]:
     return None, at
 
 
-def _entry_at(data: bytes, at: int) -> tuple[list[dict], int, str]:
-    """The records of the member or plain record at ``at``, where it ends, what is wrong."""
-    if data.startswith(MAGIC, at):
-        inner, end = _unpack(data, at)
-        if inner is None:
-            return [], at, "broken member"
-        records, place = [], 0
-        while place < len(inner):
-            record, place, problem = parse_record(inner, place)
-            if record is None:
-                return [], end, problem
-            records.append(record)
-        return records, end, ""
-    record, end, problem = parse_record(data, at)
-    return ([record] if record else []), end, problem
+def _unpack_part(data: bytes, at: int) -> tuple[bytes, bool]:
+    """What a broken member gives before its damage, and whether it is only cut."""
+    worker = zlib.decompressobj(31)
+    out = []
+    for place in range(at, len(data), 1 << 16):
+        part = data[place:place + (1 << 16)]
+        before = worker.copy()
+        try:
+            out.append(worker.decompress(part))
+        except zlib.error:
+            # an error takes the output of its whole call with it: go up to it byte by byte
+            try:
+                for one in range(len(part)):
+                    out.append(before.decompress(part[one:one + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), False
+    return b"".join(out), True
+
+
+def _plain_entries(inner: bytes, checked: bool = False) -> Iterator[tuple[int, int, str, dict | None]]:
+    """(start, end, problem, record) of unpacked bytes; ``checked`` asks for stated digests."""
+    def parsed(at):
+        record, end, problem = parse_record(inner, at)
+        if record and checked and b"\r\nwarc-payload-digest:" not in inner[at:inner.find(b"\r\n\r\n", at)].lower():
+            return None, end, "not checked"
+        return record, end, problem
+
+    at, size = 0, len(inner)
+    while at < size:
+        record, end, problem = parsed(at)
+        start = at
+        if problem and not (end > at and (end == size or not parsed(end)[2])):
+            at += 1
+            while (found := VERSION_LINE.search(inner, at)) and parsed(found.start())[2]:
+                at = found.start() + 1
+            end = found.start() if found else size
+        at = end
+        yield start, at, problem, record
+
+
+def _salvaged(data: bytes, at: int) -> tuple[list[tuple[int, int, str, dict | None]], int | None]:
+    """Records and gaps inside the member at ``at``, and where it ends, none if it is broken."""
+    inner, end = _unpack(data, at)
+    if inner is not None:
+        return list(_plain_entries(inner)), end
+    inner, cut = _unpack_part(data, at)
+    found = list(_plain_entries(inner, checked=not cut))
+    if found and found[-1][2] or not cut and len(found) == 1:
+        # the damage is in this one, wherever its checks may still pass
+        found.pop()
+    return [*found, (found[-1][1] if found else 0, len(inner), "broken member", None)], None
+
+
+def _is_good(data: bytes, at: int) -> bool:
+    """Whether the member or plain record at ``at`` is good, or some record in the member is."""
+    if not data.startswith(MAGIC, at):
+        return not parse_record(data, at)[2]
+    inside, end = _salvaged(data, at)
+    return (end is not None and not inside) or any(not problem for _, _, problem, _ in inside)
 
 
 def read_entries(data: bytes) -> Iterator[tuple[int, int, str, dict | None]]:
-    """(start, end, problem, record) of all records and gaps of an archive, in file order."""
+    """(start, end, problem, record) of all records and gaps of an archive, in file order.
+
+    Places are those in the file. The record of a gap inside a member of which other records
+    are good has its place there.
+    """
     at, size = 0, len(data)
     while at < size:
-        records, end, problem = _entry_at(data, at)
-        if problem:
-            # a failed record of known end is passed over only if something good follows it
-            start = at
-            at = end if end > at and (end == size or not _entry_at(data, end)[2]) else _next_good(data, at + 1)
-            yield start, at, problem, None
-        else:
-            for record in records:
-                yield at, end, "", record
-            at = end
+        start = at
+        if data.startswith(MAGIC, at):
+            inside, end = _salvaged(data, at)
+            at = end or _next_good(data, at + 1)
+            some = any(not problem for _, _, problem, _ in inside)
+            for first, last, problem, record in inside if some else inside[:1]:
+                place = {"inner_start": first, "inner_end": last} if some else None
+                yield start, at, problem, place if problem else record
+            continue
+        record, end, problem = parse_record(data, at)
+        # a failed record of known end is passed over only if something good follows it
+        if problem and not (end > at and (end == size or _is_good(data, end))):
+            end = _next_good(data, at + 1)
+        at = end
+        yield start, at, problem, record
 
 
 def _next_good(data: bytes, at: int) -> int:
@@ -193,7 +251,7 @@ def _next_good(data: bytes, at: int) -> int:
         found = starts.search(data, at)
         if not found:
             return len(data)
-        if not _entry_at(data, found.start())[2]:
+        if _is_good(data, found.start()):
             return found.start()
         at = found.start() + 1
 

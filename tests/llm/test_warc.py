@@ -140,3 +140,33 @@ def test_sample_pages(spark, tmp_path):
     seen = [(r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
             for r in read_archives(spark, path).collect()]
     assert sorted(seen, key=str) == expected([(r.page_id, r.url, r.html) for r in pages.collect()])
+
+
+def test_salvage_inside_members_of_several_records():
+    draw = random.Random(4)
+    payloads = [bytes(draw.randrange(256) for _ in range(3000)) for _ in range(8)]
+    records = [made(i, p) for i, p in enumerate(payloads)]
+    ends = [sum(map(len, records[:i])) for i in range(9)]
+    # a bad record in a good member, alone and behind a broken one
+    hurt = bytearray(b"".join(records))
+    hurt[ends[3] - 10] ^= 1
+    assert ids(member(bytes(hurt))) == [0, 1, 3, 4, 5, 6, 7]
+    [(record, problem)] = [(r, p) for _, _, p, r in read_entries(member(bytes(hurt))) if p]
+    assert (record, problem) == ({"inner_start": ends[2], "inner_end": ends[3]}, "wrong digest")
+    assert ids(b"noise" + member(bytes(hurt)) + member(made(9, b"x"))) == [0, 1, 3, 4, 5, 6, 7, 9]
+    # noise between records of a member
+    assert ids(member(records[0] + b"noise" * 9 + b"".join(records[1:]))) == list(range(8))
+    # a cut end, a damaged byte and a wrong checksum of an archive in one member
+    whole = member(b"".join(records))
+    assert ids(whole[:len(whole) * 5 // 8])[:4] == [0, 1, 2, 3]
+    cut = list(read_entries(whole[:len(whole) * 5 // 8]))
+    assert cut[-1][2] == "broken member" and cut[-1][3]["inner_start"] == ends[len(cut) - 1]
+    assert len(cut) >= 5
+    broken = bytearray(whole)
+    broken[-6] ^= 1
+    assert ids(bytes(broken) + member(made(9, b"x"))) == [*range(8), 9]
+    assert {(a, b) for a, b, _, _ in read_entries(bytes(broken))} == {(0, len(broken))}
+    broken = bytearray(whole)
+    broken[len(whole) * 5 // 8] ^= 0xFF
+    assert ids(bytes(broken))[:4] == [0, 1, 2, 3]
+    assert [p for _, _, p, _ in read_entries(bytes(broken))][-1] == "broken member"
