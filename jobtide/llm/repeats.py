@@ -1,4 +1,8 @@
-"""Repeated byte strings across documents, by prefix-free parsing.
+"""Repeated byte strings across documents, by hashes of strings grouped by minimizer.
+
+This replaces the suffix arrays of dictionary and parse of prefix-free parsing; none is built.
+Only equality of strings is asked for, not their order, and groups by trigger need no order
+over the whole corpus.
 
 Rolling hashes choose trigger strings: of every ``WINDOW`` consecutive ones the smallest
 (the first of equal ones). A trigger belongs to all the strings of ``LENGTH`` bytes whose
@@ -6,7 +10,7 @@ smallest it is; they begin in one stretch of places, and the phrase is the text
 Equal strings have equal triggers at equal distances, so a string can only be repeated where
 its trigger is, whatever documents lie between.
 
-The parse is the list of phrases by (trigger, phrase, place). In that order, all strings of
+The parse is the list of the overlapping phrases by (trigger, phrase, place), all as hashes. In that order, all strings of
 a phrase seen before are repeated at once, and a phrase alone at its trigger repeats
 nothing: the dictionary's order settles the rest. Only triggers with several phrases need
 their texts: there, the strings of the distinct phrases are put in order among themselves
