@@ -123,7 +123,47 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from texts left join hit using (row_id) left join named using (row_id)
 """
 
+# The CRC-32 of each distinct word, byte by byte over a table made here; then counts, gains, scores.
+OP12 = f"""
+with recursive crc_bits as (select i as byte, cast(i as bigint) as r, 0 as step from range(256) as t(i)
+  union all select byte, case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end, step + 1
+  from crc_bits where step < 8),
+crc_table as (select list(r order by byte) as steps from crc_bits where step = 8),
+docs as (select row_number() over () as row_id, doc_id, {_WORDS} as w from documents),
+doc_words as (select row_id, unnest(w) as word from docs),
+target_words as (select unnest(w) as word from (select {_WORDS} as w from benchmark)),
+spelled as (select word, hex(encode(word)) as h
+  from (select word from doc_words union select word from target_words)),
+coded as (select word, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(h), 2),
+      lambda i: (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1)),
+    lambda r, b: xor(r // 256, steps[xor(r % 256, b) + 1])), 4294967295) % 10000 as bucket
+  from spelled cross join crc_table),
+raw as (select bucket, count(*) as n from doc_words join coded using (word) group by bucket),
+wanted as (select bucket, count(*) as n from target_words join coded using (word) group by bucket),
+totals as (select (select coalesce(sum(n), 0) + 10000 from raw) as above,
+  (select coalesce(sum(n), 0) + 10000 from wanted) as below),
+gains as (select bucket, cast(floor(1000 * ln((cast(coalesce(wanted.n, 0) + 1 as double) * above)
+    / (cast(raw.n + 1 as double) * below))) as bigint) as gain
+  from raw left join wanted using (bucket) cross join totals),
+weights as (select row_id, sum(gain) as weight
+  from doc_words join coded using (word) join gains using (bucket) group by row_id),
+noised as (select doc_id, cast(len(w) as bigint) as n_features,
+    cast(coalesce(weight, 0) as bigint) as weight,
+    ('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint as h
+  from docs left join weights using (row_id)),
+scored as (select doc_id, n_features, weight,
+    weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score
+  from noised),
+ordered as (select *, row_number() over (partition by n_features >= 20
+    order by score desc, doc_id nulls last, n_features, weight) as place,
+  count(*) filter (where n_features >= 20) over () as n from scored)
+select doc_id, n_features, weight, score,
+  case when n_features >= 20 and place <= n // 10 then place end as rank
+from ordered
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3, "op5_warc": OP5, "op6_benchmark_decontamination": OP6,
+    return {"op12_importance_resampling": OP12, "op3_url_filter": OP3, "op5_warc": OP5, "op6_benchmark_decontamination": OP6,
             "op10_quality_rules": OP10}

@@ -16,6 +16,7 @@ from jobtide.llm import (
     packing,
     quality,
     repeats,
+    resampling,
     scratch,
     secret_scan,
     token_counts,
@@ -105,9 +106,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = resampling.score_documents(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
+    return resampling.draw_highest(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
         op1_best_fit_packing, op2_suffix_array_dedup, op3_url_filter, op4_secret_scan, op5_warc,
         op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op9_html_extraction,
-        op10_quality_rules,
+        op10_quality_rules, op12_importance_resampling,
     ]}

@@ -19,6 +19,7 @@ SCHEMAS = {
     "op8_near_dedup": "doc_id class_id class_size",
     "op9_html_extraction": "page_id url text n_chars",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op12_importance_resampling": "doc_id n_features weight score rank",
 }
 
 
