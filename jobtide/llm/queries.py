@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.llm import (
+    bpe_codec,
     decontamination,
     html_extract,
     near_dedup,
@@ -112,9 +113,17 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.draw_highest(scored).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_codec.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
         op1_best_fit_packing, op2_suffix_array_dedup, op3_url_filter, op4_secret_scan, op5_warc,
         op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op9_html_extraction,
         op10_quality_rules, op12_importance_resampling,
+        op13_bpe_codec,
     ]}

@@ -20,6 +20,7 @@ SCHEMAS = {
     "op9_html_extraction": "page_id url text n_chars",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op12_importance_resampling": "doc_id n_features weight score rank",
+    "op13_bpe_codec": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
