@@ -164,6 +164,42 @@ from ordered
 """
 
 
+def _clustering(clusters: int, size: int, scale: int, rounds: int, seed: int) -> str:
+    """Rounds of exact means written out, each as a step of its own."""
+    steps = []
+    for step in range(rounds + 1):
+        steps.append(f"""a{step} as materialized (select row_id, arg_min(number, (d, number)) as number,
+    min(d) as d from (select row_id, number, sum((v.x - c.x) * (v.x - c.x)) as d
+    from parts v join c{step} c using (place) group by row_id, number) group by row_id)""")
+        if step < rounds:
+            steps.append(f"""m{step} as (select number, place, sum(x)::hugeint as s, count(*) as n
+    from a{step} join parts using (row_id) group by number, place),
+c{step + 1} as materialized (select c.number, c.place,
+    coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x) as x
+    from c{step} c left join m{step} m using (number, place))""")
+    return f"""
+with kept as (select row_number() over () as row_id, vec_id,
+    list_transform(embedding, lambda x: floor({scale} * x::double)::hugeint) as v
+  from embeddings where len(embedding) = {size}
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size}),
+parts as materialized (select row_id, unnest(v) as x, unnest(range({size})) as place from kept),
+firsts as (select row_id, row_number() over (
+    order by sha256('{seed}:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as number
+  from kept qualify number < {clusters}),
+c0 as materialized (select number, place, x from firsts join parts using (row_id)),
+{", ".join(steps)},
+digests as (select number, sha256(string_agg(cast(x as varchar), ',' order by place)) as h
+  from c{rounds} group by number)
+select vec_id, cast(number as integer) as cluster, cast(d as bigint) as distance,
+  cast(sum(d) over (partition by number) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, h as centroid_sha256
+from a{rounds} join kept using (row_id) join digests using (number)
+"""
+
+
+OP11 = _clustering(clusters=8, size=64, scale=1024, rounds=10, seed=3)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_importance_resampling": OP12, "op3_url_filter": OP3, "op5_warc": OP5, "op6_benchmark_decontamination": OP6,
+    return {"op11_centroid_clustering": OP11, "op12_importance_resampling": OP12, "op3_url_filter": OP3, "op5_warc": OP5, "op6_benchmark_decontamination": OP6,
             "op10_quality_rules": OP10}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobtide.llm import (
     bpe_codec,
+    centroids,
     decontamination,
     html_extract,
     near_dedup,
@@ -107,6 +108,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster_vectors(vectors)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = resampling.score_documents(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -124,6 +130,6 @@ def queries() -> dict[str, Query]:
     return {build.__name__: build for build in [
         op1_best_fit_packing, op2_suffix_array_dedup, op3_url_filter, op4_secret_scan, op5_warc,
         op6_benchmark_decontamination, op7_token_counts, op8_near_dedup, op9_html_extraction,
-        op10_quality_rules, op12_importance_resampling,
+        op10_quality_rules, op11_centroid_clustering, op12_importance_resampling,
         op13_bpe_codec,
     ]}

@@ -19,6 +19,7 @@ SCHEMAS = {
     "op8_near_dedup": "doc_id class_id class_size",
     "op9_html_extraction": "page_id url text n_chars",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11_centroid_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
     "op12_importance_resampling": "doc_id n_features weight score rank",
     "op13_bpe_codec": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
@@ -31,7 +32,7 @@ def ordered(rows):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         connection.execute(f"create view {table} as select * from read_parquet('{TESTDATA}/{table}.parquet')")
     result = queries.queries()[name](spark, TESTDATA)
     columns = sorted(result.columns)
@@ -47,6 +48,6 @@ def test_query_equals_oracle(spark, name):
 def test_columns_and_rows(spark, name):
     result = queries.queries()[name](spark, TESTDATA)
     assert result.columns == SCHEMAS[name].split()
-    table = "pages" if "page_id" in result.columns else "documents"
+    table = {"page_id": "pages", "vec_id": "embeddings"}.get(result.columns[0], "documents")
     rows = spark.read.parquet(f"{TESTDATA}/{table}.parquet").count()
     assert result.count() == rows if name != "op1_best_fit_packing" else result.count() >= rows
