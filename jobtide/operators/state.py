@@ -234,12 +234,18 @@ def fold_changes(feed: DataFrame) -> DataFrame:
 
 def live_state(listed: DataFrame, inits: DataFrame | None = None, starts: DataFrame | None = None,
                deletes: DataFrame | None = None) -> DataFrame:
-    """The one state of all that is known: listed rows, registrations, starts and deletes.
+    """The one state of all that is known, see :func:`change_feed` and :func:`fold_changes`."""
+    return fold_changes(change_feed(listed, inits, starts, deletes))
+
+
+def change_feed(listed: DataFrame, inits: DataFrame | None = None, starts: DataFrame | None = None,
+                deletes: DataFrame | None = None) -> DataFrame:
+    """Listed rows, registrations, starts and deletes as one feed; tables or streams.
 
     Each table has a ``seq``, in one order of arrival over all of them. ``listed`` has the
     state columns (a base, or what a stream has stored), ``inits`` ``(job_id, secret, name)``,
     ``starts`` ``(job_id, secret, workflow_name, started, updated)`` and ``deletes``
-    ``(job_id, secret)``. See :func:`fold_changes`.
+    ``(job_id, secret)``.
     """
     kinds = [(listed, "SNAPSHOT")]
     if inits is not None:
@@ -251,7 +257,7 @@ def live_state(listed: DataFrame, inits: DataFrame | None = None, starts: DataFr
             F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in STATE_SCHEMA])
         feed = event if feed is None else feed.unionByName(event)
-    return fold_changes(feed)
+    return feed
 
 
 def register_jobs(inits: DataFrame, *kept: str) -> DataFrame:

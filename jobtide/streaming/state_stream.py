@@ -5,64 +5,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from jobtide.operators.state import SNAPSHOT_ORDER, newest_row
+from jobtide.operators.state import SNAPSHOT_ORDER
 from jobtide.schemas import STATE_COLUMNS, STATE_VALUES
 from jobtide.session import configure_streaming
+from jobtide.streaming.job_fold import fold_stream
 
 # Fixed value: seconds between two polls.
 POLL_INTERVAL = "15 seconds"
 
 
-def latest_state_updates(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Streaming form of ``latest_state``: the newest row per job, kept in the state store.
+def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
+                       order: list[str] | None = None, drain: bool = False,
+                       base: str | None = None, after_batch: int | None = None,
+                       rows_per_file: int = 1_000_000) -> StreamingQuery:
+    """Keep the changed rows of every micro-batch of listed jobs under ``path``.
 
-    The arrival order goes along, so that stored changes can be reduced again.
+    The newest row per job in ``order`` counts; see :func:`start_fold_stream`.
     """
-    return _newest(rows, order or SNAPSHOT_ORDER)
+    events = rows.withColumn("kind", F.lit("SNAPSHOT"))
+    return start_fold_stream(events, path, checkpoint, order or SNAPSHOT_ORDER, drain, base, after_batch, rows_per_file)
 
 
-def _newest(rows: DataFrame, order: list[str]) -> DataFrame:
-    newest = rows.groupBy("job_id").agg(newest_row(STATE_VALUES, order))
-    return newest.select(
-        "job_id", *[f"newest.{c}" for c in STATE_VALUES],
-        *[F.col(f"newest.arrival.order_{c}").alias(c) for c in order])
+def start_fold_stream(events: DataFrame, path: str, checkpoint: str, order: list[str] | None = None,
+                      drain: bool = False, base: str | None = None, after_batch: int | None = None,
+                      rows_per_file: int = 1_000_000) -> StreamingQuery:
+    """Fold a stream of job events and keep what every micro-batch changes under ``path``.
 
-
-def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
-                       order: list[str] | None = None, drain: bool = False,
-                       base: str | None = None, after_batch: int | None = None,
-                       files: int = 4, rows_per_file: int = 1_000_000) -> StreamingQuery:
-    """Keep the changed rows of every micro-batch under ``path``.
+    ``events`` is a stream of ``kind``, the state columns and ``order`` (by default ``seq``), as
+    :func:`jobtide.operators.state.change_feed` makes it of listed jobs, registrations, starts
+    and deletes.
 
     A batch owns one sub-folder and overwrites it, so a batch that is run again after a
-    failure leaves no duplicates, and no batch rewrites what earlier ones stored. A
-    snapshot lists all jobs though few have changed: rows equal to the stored ones are left
-    out, which reads the ``base`` and the batches after it (see :func:`roll_up`). A batch
-    is written by ``files`` tasks, each cutting files at ``rows_per_file``.
+    failure leaves no duplicates, and no batch reads or rewrites what earlier ones stored: what
+    has changed is known from the state (:mod:`jobtide.streaming.job_fold`). The write is dealt
+    by size, in files of at most ``rows_per_file``.
+
+    A new checkpoint begins with the state of ``base`` and of the batches after ``after_batch``
+    if a base is named; a checkpoint that has a state goes on with it.
 
     The state store is set to keep its rows on disk. ``drain`` handles what is there and
     stops; otherwise a poll starts every 15 seconds.
     """
-    configure_streaming(rows.sparkSession)
-    order = order or SNAPSHOT_ORDER
-    schema = stored_schema(rows, order)
-    first = 0 if after_batch is None else after_batch + 1
+    spark = configure_streaming(events.sparkSession)
+    order = order or ["seq"]
+    initial = None
+    if base is not None:
+        initial = spark.read.schema(stored_schema(events, order)).parquet(base)
+        if after_batch is None:
+            initial = _newest(initial.withColumn("batch", F.lit(-1)), order)
+        else:
+            initial = read_stream_state(spark, path, stored_schema(events, order), order, base, after_batch)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        changed = batch
-        if batch_id > first or base is not None:
-            known = read_stream_state(spark, path, schema, order, base, after_batch, batch_id)
-            same = [batch[c].eqNullSafe(known[c]) for c in STATE_COLUMNS]
-            alike = same[0]
-            for one in same[1:]:
-                alike = alike & one
-            changed = batch.join(known, alike, "left_anti")
-        (changed.coalesce(files).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+        (batch.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
          .parquet(f"{path}/batch={batch_id}"))
 
     writer = (
-        latest_state_updates(rows, order).writeStream
+        fold_stream(events, order, initial).writeStream
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(store)
@@ -72,12 +71,20 @@ def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
     return writer.trigger(processingTime=POLL_INTERVAL).start()
 
 
+def _newest(stored: DataFrame, order: list[str]) -> DataFrame:
+    """Per job the row of the last batch, if the job was not deleted in it."""
+    kept = [*STATE_VALUES, *order]
+    newest = stored.groupBy("job_id").agg(F.max_by(F.struct(*kept, "deleted"), "batch").alias("newest"))
+    return newest.where("not coalesce(newest.deleted, false)").select(
+        "job_id", *[f"newest.{c}" for c in kept])
+
+
 def read_stream_state(spark: SparkSession, path: str, schema: T.StructType,
                       order: list[str] | None = None, base: str | None = None,
                       after_batch: int | None = None, before_batch: int | None = None) -> DataFrame:
     """Current state from the stored changes, with the order columns of each row.
 
-    Once such a state has been written as a ``base``, name it and the last batch in it,
+    A job has at most one row in a batch, and that of the last batch counts. Once such a state has been written as a ``base``, name it and the last batch in it,
     and only later batches are read. Reading a batch twice does no harm.
     """
     stored = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(path)
@@ -85,9 +92,8 @@ def read_stream_state(spark: SparkSession, path: str, schema: T.StructType,
         stored = stored.where(F.col("batch") > after_batch)
     if before_batch is not None:
         stored = stored.where(F.col("batch") < before_batch)
-    stored = stored.select(*schema.fieldNames())
     if base is not None:
-        stored = stored.unionByName(spark.read.schema(schema).parquet(base))
+        stored = stored.unionByName(spark.read.schema(schema).parquet(base).withColumn("batch", F.lit(-1)))
     return _newest(stored, order or SNAPSHOT_ORDER)
 
 
@@ -112,4 +118,4 @@ def roll_up(spark: SparkSession, path: str, schema: T.StructType, to: str,
 def stored_schema(rows: DataFrame, order: list[str] | None = None) -> T.StructType:
     """Schema of the stored changes, so that a reader need not infer it."""
     order = order or SNAPSHOT_ORDER
-    return rows.select(*STATE_COLUMNS, *order).schema
+    return rows.select(*STATE_COLUMNS, *order, F.lit(False).alias("deleted")).schema
