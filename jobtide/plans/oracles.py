@@ -322,6 +322,7 @@ ORACLES = {
     "stream_state": _LATEST,
     "fold_changes": FOLD,
     "live_state": FOLD,
+    "stream_fold": FOLD,
     "register_jobs": _registered(tables.INITS),
     "init_scan": f"with {INITS} " + REGISTERED.format(
         name=CLEAN_NAME.format("name"), none=tables.NO_TIME,

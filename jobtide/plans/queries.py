@@ -187,6 +187,23 @@ def stream_state(spark, sf_dir):
     return stored.select(*state.STATE_COLUMNS)
 
 
+@_query
+def stream_fold(spark, sf_dir):
+    """The change feed as four streams: listed jobs, registrations, starts and deletes."""
+    schema = tables.read(spark, sf_dir, "events").schema
+
+    def of(kind):
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+        return events.selectExpr(*tables.CHANGES[1]).where(F.col("kind") == kind)
+
+    feed = state.change_feed(of("SNAPSHOT"), of("INIT"), of("START"), of("DELETE"))
+    path = fresh_path(spark, "stream-fold")
+    query = state_stream.start_fold_stream(feed, f"{path}/changes", f"{path}/checkpoint", drain=True)
+    query.awaitTermination()
+    schema = state_stream.stored_schema(feed, ["seq"])
+    return state_stream.read_stream_state(spark, f"{path}/changes", schema, ["seq"]).select(*state.STATE_COLUMNS)
+
+
 # Requests and lookups
 
 @_query

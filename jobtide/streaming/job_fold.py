@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from jobtide.schemas import STATE_SCHEMA, STATE_VALUES
 
 FULL = ("INIT", "SNAPSHOT")
-STARTED = ["workflow_name", "started", "updated"]
+STARTED = [c for c in STATE_VALUES if c in ("workflow_name", "started", "updated")]
 # Secrets of a job held in memory before they go to the state store.
 _HELD_SECRETS = 10_000
 

@@ -12,6 +12,7 @@ from jobtide.streaming.job_fold import fold_stream
 
 # Fixed value: seconds between two polls.
 POLL_INTERVAL = "15 seconds"
+_ADAPTIVE = "spark.sql.adaptive.enabled"
 
 
 def start_state_stream(rows: DataFrame, path: str, checkpoint: str,
@@ -57,8 +58,16 @@ def start_fold_stream(events: DataFrame, path: str, checkpoint: str, order: list
             initial = read_stream_state(spark, path, stored_schema(events, order), order, base, after_batch)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-         .parquet(f"{path}/batch={batch_id}"))
+        # A stream turns adaptive execution off for its own plans; this write may use it, and
+        # only by it are the parts dealt by size.
+        settings = batch.sparkSession.conf
+        before = settings.get(_ADAPTIVE)
+        settings.set(_ADAPTIVE, "true")
+        try:
+            (batch.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+             .parquet(f"{path}/batch={batch_id}"))
+        finally:
+            settings.set(_ADAPTIVE, before)
 
     writer = (
         fold_stream(events, order, initial).writeStream
@@ -84,8 +93,9 @@ def read_stream_state(spark: SparkSession, path: str, schema: T.StructType,
                       after_batch: int | None = None, before_batch: int | None = None) -> DataFrame:
     """Current state from the stored changes, with the order columns of each row.
 
-    A job has at most one row in a batch, and that of the last batch counts. Once such a state has been written as a ``base``, name it and the last batch in it,
-    and only later batches are read. Reading a batch twice does no harm.
+    A job has at most one row in a batch, and that of the last batch counts. Once such a state
+    has been written as a ``base``, name it and the last batch in it, and only later batches are
+    read. Reading a batch twice does no harm.
     """
     stored = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(path)
     if after_batch is not None:

@@ -93,7 +93,10 @@ def test_each_log_table_is_read_once_and_only_for_wanted_jobs(spark, tmp_path):
         requests_of(spark, *[(n, n, f"s{n}") for n in (1, 3, 6)]), logged_jobs(spark),
         spark.read.parquet(str(tmp_path / "live")), spark.read.parquet(str(tmp_path / "kept")))
     assert {r.job_id: r.text for r in chunks.collect()} == {job(1): None, job(3): "x\n", job(6): "b\n"}
+    # places of files are cut to this length in a plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     final = chunks._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     final = final[:final.index("Initial Plan")]
     # a reused exchange shows what it reuses by number only
     read = [part for part in final.split("FileScan parquet")[1:]]

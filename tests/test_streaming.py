@@ -1,13 +1,23 @@
 import json
 import os
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from helpers import job, rows_of
-from jobtide.operators.state import flatten_snapshots, latest_state
-from jobtide.schemas import STATE_COLUMNS
+from jobtide.operators.state import change_feed, flatten_snapshots, fold_changes, latest_state
+from jobtide.schemas import STATE_COLUMNS, STATE_SCHEMA
 from jobtide.sources.snapshots import read_snapshots, stream_snapshots
-from jobtide.streaming.state_stream import read_stream_state, roll_up, start_state_stream, stored_schema
+from jobtide.streaming.state_stream import (
+    read_stream_state,
+    roll_up,
+    start_fold_stream,
+    start_state_stream,
+    stored_schema,
+)
+
+EVENT = "seq long, kind string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STATE_SCHEMA)
 
 
 def item(number, phase, version):
@@ -151,3 +161,76 @@ def test_state_is_kept_on_disk(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     drain(spark, folder, tmp_path / "out")
     assert "RocksDB" in (tmp_path / "out" / "checkpoint" / "offsets" / "0").read_text()
+
+
+def event(chance, seq, jobs):
+    kind = chance.choice(["INIT", "SNAPSHOT", "START", "START", "DELETE"])
+    number = chance.randrange(jobs)
+    # few values, so that rows that change nothing are among them
+    when = datetime(2024, 4, 1) + timedelta(hours=chance.randrange(3), microseconds=seq % 2)
+    secret = chance.choice(["s", "s", "t", None])
+    full, listed = kind in ("INIT", "SNAPSHOT"), kind == "SNAPSHOT"
+    return (seq, kind, job(number), "uid" if listed else None, None, chance.choice("ab") if full else None,
+            chance.choice(["Running", "Failed"]) if listed else None, when if kind in ("START", "SNAPSHOT") else None,
+            when if listed else None, "wf" if kind == "START" else None, secret, False if full else None)
+
+
+def fold_drain(spark, folder, out, **more):
+    streams = {kind: spark.readStream.schema(EVENT).parquet(str(folder)).where(F.col("kind") == kind)
+               for kind in ("SNAPSHOT", "INIT", "START", "DELETE")}
+    feed = change_feed(*streams.values())
+    start_fold_stream(feed, f"{out}/changes", f"{out}/checkpoint", drain=True, **more).awaitTermination()
+    return stored_schema(feed, ["seq"])
+
+
+def test_fold_in_a_stream_equals_the_batch_fold_over_restarts(spark, tmp_path):
+    chance = random.Random(5)
+    events = [event(chance, seq, 25) for seq in range(900)]
+    # late events come in a later batch, and others before their turn
+    chance.shuffle(events)
+    folder, out = tmp_path / "in", tmp_path / "out"
+    shown = None
+    for part in range(3):
+        rows = events[part * 300:part * 300 + 300]
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(folder))
+        schema = fold_drain(spark, folder, out)
+        state = read_stream_state(spark, f"{out}/changes", schema, ["seq"])
+        expected = fold_changes(spark.createDataFrame(events[:part * 300 + 300], EVENT))
+        assert rows_of(state, *STATE_COLUMNS) == rows_of(expected, *STATE_COLUMNS)
+        # a batch has the jobs whose view changed, and no others
+        seen = {r.job_id: tuple(r)[1:] for r in expected.collect()}
+        batch = spark.read.schema(schema).parquet(f"{out}/changes/batch={part}").collect()
+        if shown is not None:
+            changed = {j for j in seen.keys() | shown.keys() if seen.get(j) != shown.get(j)}
+            assert sorted(r.job_id for r in batch) == sorted(changed)
+        assert {r.job_id for r in batch if not r.deleted} <= seen.keys()
+        shown = seen
+
+
+def test_a_new_checkpoint_goes_on_from_a_base(spark, tmp_path):
+    chance = random.Random(6)
+    folder, out, anew = tmp_path / "in", tmp_path / "out", tmp_path / "anew"
+    early = [event(chance, seq, 12) for seq in range(60)]
+    spark.createDataFrame(early, EVENT).write.parquet(str(folder))
+    schema = fold_drain(spark, folder, out)
+    last = roll_up(spark, f"{out}/changes", schema, f"{out}/base", ["seq"])
+    # after the base come whole rows, and acts on rows of the base
+    late = [event(chance, seq, 12) for seq in range(60, 120)]
+    spark.createDataFrame(late, EVENT).write.parquet(str(tmp_path / "late"))
+    fold_drain(spark, tmp_path / "late", anew, base=f"{out}/base")
+    state = read_stream_state(spark, f"{anew}/changes", schema, ["seq"], base=f"{out}/base")
+    known = rows_of(spark.read.schema(schema).parquet(f"{out}/base"), "job_id")
+    assert last == 0 and known
+    expected = fold_changes(spark.createDataFrame(early + late, EVENT))
+    assert rows_of(state, *STATE_COLUMNS) == rows_of(expected, *STATE_COLUMNS)
+
+
+def test_the_sink_reads_no_file_and_joins_nothing(spark, tmp_path):
+    folder = tmp_path / "in"
+    spark.createDataFrame([event(random.Random(7), 1, 1)], EVENT).write.parquet(str(folder))
+    rows = spark.readStream.schema(EVENT).parquet(str(folder))
+    query = start_fold_stream(rows, f"{tmp_path}/changes", f"{tmp_path}/checkpoint", drain=True)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "TransformWithState" in plan or "transformWithState" in plan
+    assert "Join" not in plan and "Coalesce" not in plan and plan.count("FileScan") <= 1
