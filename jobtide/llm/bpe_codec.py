@@ -71,10 +71,9 @@ def _word_pattern(limit: int) -> re.Pattern:
 
 
 @cache
-def _unassigned() -> re.Pattern:
-    """Characters that Python's tables do not know, though those of the library may."""
-    unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
-    return re.compile(f"[{_ranges(unknown)}]")
+def _unassigned() -> np.ndarray:
+    """By code point: whether Python's tables do not know it, though those of the library may."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
 
 
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -88,7 +87,7 @@ def split_words(text: str) -> list[str]:
     """The text in normal form and lower case, as words: contractions, letters, one digit, others."""
     if text.isascii():
         return _word_pattern(128).findall(text.lower())
-    if _unassigned().search(text):
+    if _unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
         return [word for word, _ in _SPLIT.pre_tokenize_str(_NORMAL.normalize_str(text))]
     # no special form of sigma at the end of words
     lowered = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
