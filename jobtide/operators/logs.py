@@ -13,6 +13,7 @@ from jobtide.functions.json import field, is_whole, parse_document, text_of
 from jobtide.functions.once import compute_once
 from jobtide.functions.text import drop_cr, has_text, is_runner_line
 from jobtide.operators.lookup import match_state
+from jobtide.sources.job_parts import of_jobs
 
 # Fixed value: shown in place of the log of a job that ended in an internal error.
 ERROR_TEXT = "Internal server error, please contact the administrator or try again later."
@@ -122,13 +123,15 @@ def assemble_logs(requests: DataFrame, state: DataFrame, lines: DataFrame, archi
     ``lines`` is ``(job_id, part, line_no, line)``; ``archived`` also has ``open_ended``.
     Only lines of wanted jobs are parsed, and each table is read once. Every wanted job
     with a log table has at least one chunk, so an empty log is ``""``; a malformed line
-    leaves its job with one chunk of null text and ``log_error`` set.
+    leaves its job with one chunk of null text and ``log_error`` set. From tables stored by job
+    (:mod:`jobtide.sources.job_parts`) only folders of wanted jobs are read; with ``few`` these are
+    found first.
     """
     wanted = wanted_logs(requests, state).where("source in ('LINES', 'ARCHIVED')")
     place = ["job_id", "part", "line_no"]
 
     def of(source: str, table: DataFrame) -> DataFrame:
-        return table.join(wanted.where(F.col("source") == source).select("job_id"), "job_id")
+        return of_jobs(table, wanted.where(F.col("source") == source), few)
 
     parsed = parse_lines(of("LINES", lines))
     # a malformed line is a null piece; the runner's own lines are none

@@ -458,6 +458,9 @@ ORACLES = {
     'segment=', c_mktsegment) parameters from customer""",
     "download_headers": f"select page_id, {_encoded('url')} disposition from pages",
 }
+# The same results from tables stored by job.
+ORACLES |= {"upsert_stored": ORACLES["upsert_state"], "lookup_stored": ORACLES["job_lookup"],
+         "job_logs_stored": ORACLES["job_logs"]}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,9 @@ from jobtide.functions.times import parse_rfc3339
 from jobtide.functions.urls import encoded_disposition
 from jobtide.operators import deletes, logs, lookup, manifests, state, submissions
 from jobtide.plans import tables
+from jobtide.schemas import STATE_SCHEMA
 from jobtide.session import configure, fresh_path
+from jobtide.sources import job_parts
 from jobtide.sources.configs import parse_starts
 from jobtide.sources.inits import parse_inits
 from jobtide.sources.requests import parse_requests, read_requests
@@ -25,6 +27,7 @@ from jobtide.streaming import state_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 ENDPOINT, BUCKET = "https://s3.example.org", "results"
+STORED_PARTS = 16
 PREFIX, TOOL_VERSION, NAMESPACE = "annotate", "1.2.3", "jobs"
 
 _QUERIES: dict[str, Query] = {}
@@ -204,6 +207,34 @@ def stream_fold(spark, sf_dir):
     return state_stream.read_stream_state(spark, f"{path}/changes", schema, ["seq"]).select(*state.STATE_COLUMNS)
 
 
+# The state as a table stored by job
+
+def _stored_by_job(spark, rows, label, order=None):
+    """``rows`` written by job and read back; few folders, as the test tables are small."""
+    path = fresh_path(spark, label)
+    job_parts.write_by_job(rows, path, STORED_PARTS, order)
+    return path, job_parts.read_by_job(spark, path, rows.schema)
+
+
+@_query
+def upsert_stored(spark, sf_dir):
+    """New jobs written into a stored state, folder by folder."""
+    path, _ = _stored_by_job(spark, _state(spark, sf_dir), "state-by-job")
+    new = state.register_jobs(tables.view(spark, sf_dir, tables.NEW_JOBS))
+    job_parts.upsert_by_job(spark, path, new, STORED_PARTS)
+    return job_parts.read_by_job(spark, path, STATE_SCHEMA).select(*state.STATE_COLUMNS)
+
+
+@_query
+def lookup_stored(spark, sf_dir):
+    """The lookup of all requests against a stored state, pruned to the requested jobs."""
+    rows = _state(spark, sf_dir, *ANSWERED)
+    _, stored = _stored_by_job(spark, rows, "lookup-by-job")
+    requests = _requests(spark, sf_dir)
+    asked = job_parts.of_jobs(stored, requests.select("job_id").distinct(), few=True)
+    return lookup.lookup_jobs(requests, asked, _as_of())
+
+
 # Requests and lookups
 
 @_query
@@ -365,6 +396,16 @@ def _logs(spark, sf_dir):
         tables.log_lines(spark, sf_dir), tables.archived_lines(spark, sf_dir))
 
 
+@_query
+def job_logs_stored(spark, sf_dir):
+    """The logs of the wanted jobs from tables stored by job."""
+    place = ["part", "line_no"]
+    _, lines = _stored_by_job(spark, tables.log_lines(spark, sf_dir), "lines-by-job", place)
+    _, archived = _stored_by_job(spark, tables.archived_lines(spark, sf_dir), "archived-by-job", place)
+    return logs.assemble_logs(
+        _requests(spark, sf_dir), _state(spark, sf_dir, *LOGGED), lines, archived)[1]
+
+
 @_query
 def log_routing(spark, sf_dir):
     return _logs(spark, sf_dir)[0]
