@@ -36,10 +36,16 @@ select p.page_id, p.host, p.path, f.rule,
 from parts p left join fits f on p.page_id = f.page_id
 """
 
-_PHRASES = ["all rights reserved", "cookie policy", "enable javascript", "lorem ipsum",
-            "privacy policy", "subscribe to our newsletter", "terms of service", "terms of use"]
-_BOILERPLATE = " or ".join(f"contains(lower(line), '{p}')" for p in _PHRASES)
 _SPACE = r"[ \t\n\x0b\f\r]"
+_PHRASES = ("(all rights reserved|cookie policy|enable javascript|lorem ipsum|privacy policy"
+            "|subscribe to our newsletter|terms of service|terms of use)")
+# A line's end, also before a last mark that ends lines.
+_END = r"[\r\x{85}\x{2028}\x{2029}]?$"
+_MARKS = (r"[\x{964}\x{965}\x{6d4}\x{61f}\x{3002}\x{ff0e}\x{ff61}\x{ff01}\x{ff1f}\x{1362}\x{1367}\x{1368}"
+          r"\x{589}\x{17d4}\x{17d5}\x{104b}\x{f0d}\x{1803}\x{1809}\x{df4}]")
+_SENTENCE = rf"""[.!?…]["''»”)\]]*({_SPACE}|{_END})|{_MARKS}|[\x{{e01}}-\x{{eff}}]{{20}}"""
+_SEVERAL = (rf"([^ \t\n\x0b\f\r]+{_SPACE}+){{3}}[^ \t\n\x0b\f\r]"
+            r"|[\x{e01}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{d7ff}\x{f900}-\x{faff}]{12}")
 
 OP10 = rf"""
 with texts as (select row_number() over () as row_id, doc_id, coalesce(text, '') as t
@@ -53,19 +59,27 @@ twice as (select row_id, i from (
   where gram is not null) where n > 1),
 covered as (select row_id, count(distinct i + d) as n_repeat_words
   from twice cross join (values (0), (1), (2)) as s(d) group by row_id),
-lines as (select row_id, k, l[k] as line from (
-  select row_id, l, unnest(range(1, len(l) + 1)) as k
-  from (select row_id, string_split(t, chr(10)) as l from texts))
-  where regexp_matches(l[k], '[^ \t\n\x0b\f\r]')),
-judged as (select *,
-    regexp_matches(line, '[|][^|]*[|][^|]*[|]')
-    or length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 0.1 * length(line)
-    or not regexp_matches(line, '[.!?…]["''»”)\]]*({_SPACE}|$)')
-    or (regexp_matches(line, '!!{_SPACE}*$') and line = upper(line))
-    or {_BOILERPLATE} as fails
+lines as (select row_id, k, l[k] as line, lower(l[k]) as low,
+    regexp_matches(l[k], '[^ \t\n\x0b\f\r]') as filled
+  from (select row_id, l, unnest(range(1, len(l) + 1)) as k
+  from (select row_id, string_split(t, chr(10)) as l from texts))),
+furnished as (select *, length(low) - length(regexp_replace(low, '{_PHRASES}', '', 'g')) as furniture
   from lines),
-by_line as (select row_id, count(*) - count(distinct line) as n_dup_lines,
-    sum(length(line) + 1) - 1 as chars,
+kinds as (select *, case
+    when regexp_matches(line, '[|][^|]*[|][^|]*[|]')
+      or length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 0.1 * length(line)
+      or (regexp_matches(line, '!!{_SPACE}*{_END}') and line = upper(line))
+      or (furniture > 0 and 8 * furniture >= length(low))
+      or (furniture > 0 and 20 * furniture >= length(low) and regexp_matches(low,
+        '(^|[.!?|…] *|^ +){_PHRASES} *([.!?|…]|{_END})')) then 0
+    when regexp_matches(line, '{_SENTENCE}') then 2
+    when regexp_matches(line, '{_SEVERAL}') then 1 else 0 end as kind
+  from furnished),
+judged as (select *, kind = 0 or coalesce(min(case when kind <> 1 then 4 * k + kind end) over (
+    partition by row_id order by k rows between current row and unbounded following), 0) % 4 <> 2 as fails
+  from kinds),
+by_line as (select row_id, count(*) filter (where filled) - count(distinct line) filter (where filled) as n_dup_lines,
+    greatest(coalesce(sum(length(line) + 1) filter (where filled), 0) - 1, 0) as chars,
     greatest(coalesce(sum(length(line) + 1) filter (where not fails), 0) - 1, 0) as good_chars
   from judged group by row_id),
 counted as (

@@ -25,8 +25,9 @@ SENTENCE = ("[.!?…][\"'»”)\\]]*([ \\t-\\r]|$)"
             "\u0f0d\u1803\u1809\u0df4]|[\u0e01-\u0eff]{20}")
 # Four words, or as much of a script without blanks.
 SEVERAL_WORDS = "([^ \\t-\\r]+[ \\t-\\r]+){3}[^ \\t-\\r]|[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff]{12}"
-# A line that goes on in the next ones up to the end of a sentence, at most 30 lines on.
-CONTINUED = "1(?=1{0,29}2)"
+# Kinds of lines from the last to the first: lines that go on in later ones up to the end of a
+# sentence follow a 2, or one such line after another.
+CONTINUED = r"(?<=2)1|(?!^)\G1"
 
 # Phrases that mark a line as page furniture and not as text.
 BOILERPLATE = [
@@ -115,7 +116,8 @@ def line_kind(line: Column, max_symbols: float = 0.1, furniture: Column | None =
 def passing_lines(lines: Column, furniture: Column | None = None) -> Column:
     """For each of ``lines``, with the blank ones, "2" if it passes."""
     kinds = F.array_join(F.transform(lines, lambda x: line_kind(x, furniture=furniture)), "")
-    return F.split(F.regexp_replace(kinds, F.lit(CONTINUED), F.lit("2")), "")
+    back = F.regexp_replace(F.reverse(kinds), F.lit(CONTINUED), F.lit("2"))
+    return F.split(F.reverse(back), "")
 
 
 def judge_quality(

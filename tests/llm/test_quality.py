@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import duckdb
+
+from jobtide.llm.oracles import OP10
 from jobtide.llm.quality import drop_low_quality, judge_quality
 
 
@@ -99,3 +102,37 @@ def test_a_phrase_fails_only_a_line_it_makes_up_a_good_part_of(spark):
     assert verdicts(spark, *long_ones, article, lines + PROSE, "Lorem ipsum. " * 40) == [True] * 7 + [False]
     table = spark.createDataFrame([(1, lines + PROSE)], "doc_id long, text string")
     assert judge_quality(table).first().cleaned_text == PROSE
+
+
+def wrapped(lines, mark="."):
+    """Ten words a line, with one full stop at the end of all."""
+    return "\n".join(" ".join(f"w{10 * i + j}" for j in range(10)) for i in range(lines)) + mark
+
+
+def test_wrapped_prose_of_any_number_of_lines_is_kept(spark):
+    assert verdicts(spark, *[wrapped(n) for n in (10, 30, 31, 62, 200, 5_000)], wrapped(5_000, "")) == [True] * 6 + [False]
+
+
+def test_sql_has_the_same_rule(spark):
+    words = PROSE.split()
+    thai = "\n".join("\u0e01" * 25 + f" a{i} b{i}" for i in range(30))
+    texts = [
+        None, "", "\n \n", PROSE, wrapped(10), wrapped(62), wrapped(62, ""), wrapped(40) + "\n\n" + wrapped(40, ""),
+        wrapped(40, "") + "\nHome | News | Sport | x\n" + wrapped(30), wrapped(40).replace("\n", "\r\n"),
+        "Home | News | Sport | Weather | About\n" * 30, " ".join(f"WORD{i}!!" for i in range(60)),
+        " ".join(f"WORD{i}" for i in range(60)) + "!!\r", " ".join(f"word{i}***" for i in range(60)) + ".",
+        "Lorem ipsum. " * 40, " ".join([*words[:30], "the privacy policy of", *words[30:]]),
+        "All rights reserved.\r\n" + PROSE, "See our terms of use\r\n" * 5 + PROSE,
+        " ".join(words) + " ALL RIGHTS RESERVED", " ".join(words * 6)[:-1] + ". all rights reserved",
+        "\n".join(f"Ten best ways to cook number{i} at home" for i in range(20)) + "\n\nOne sentence.", thai,
+        "\n".join(" ".join(f"\u0936{10 * i + j}" for j in range(10)) + "\u0964" for i in range(6)),
+        "\n".join(" ".join(f"x{10 * i + j}" for j in range(10)) + "\u0964" * (i % 3 == 0) for i in range(9)),
+        "\n".join("\u6c34" * 15 + f"{i} a{i} b{i}" for i in range(30)), " ".join(f"u{i}" for i in range(70)) + ".\u2028",
+    ]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    seen = sorted(tuple(r) for r in judge_quality(table).select(*columns).collect())
+    documents = table.toPandas()  # noqa: F841 - the SQL's table
+    expected = duckdb.connect().execute(f"select {', '.join(columns)} from ({OP10})").fetchall()
+    assert seen == sorted(expected)
+    assert {row[-1] for row in seen} == {True, False}
