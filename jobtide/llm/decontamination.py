@@ -2,13 +2,19 @@
 
 Texts become words, words become 64-bit hashes. Of every ``w`` consecutive k-grams the one
 with the smallest hash (the last of equal ones) is a fingerprint, in documents and in
-benchmark items alike. A shared span of ``k + w - 1`` words thus always shares one. Each
-shared fingerprint names a diagonal, and the diagonal's runs of equal words are the
-matches. Items shorter than a window are looked up whole: k is their length and w is 1.
+benchmark items alike. A shared span of ``k + w - 1`` words thus always shares one. A shared
+fingerprint is extended to the windows that hold it, and each of these is compared word by
+word with the item window of the same hash. Items shorter than a window are looked up whole:
+k is their length and w is 1.
 
-The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of text, and
-documents pass one block after the other in the same task: nothing is shuffled, and no
-document is compared with another.
+A place of a document is extended once, however many fingerprints and item places meet there,
+and equal windows of items are one, with the list of their items. So the work is linear in the
+text and the benchmark, for periodic texts and for phrases that very many items share too.
+
+The benchmark is sent to the tasks in blocks of about ``block_bytes`` of text. Nothing is
+shuffled, and no document is compared with another. If there are several blocks, the documents
+are stored after each but the last, so that tasks hold one block at a time; the driver builds
+one block at a time as well.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; an
 empty benchmark hits nothing. Items with equal ids are one item, a null id counts as ''.
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm import texts
+from jobtide.llm import scratch, texts
 from jobtide.llm.columns import only_kept
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,6 +58,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return texts.span_hashes(lowered, begins, ends), counts
 
 
+_ONE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
 def gram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-grams inside rows, and the place of their first words."""
     n = len(words) - k + 1
@@ -59,11 +68,19 @@ def gram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
     for i in range(k):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n]
+        total = total * np.uint64(_ONE) + words[i:i + n]
     places = np.flatnonzero(rows[:n] == rows[k - 1:])
     return texts.mixed(total[places]), places
 
 
+def hashes_at(words: np.ndarray, places: np.ndarray, k: int, base: int = _ONE) -> np.ndarray:
+    """Hashes of the k-grams that begin at ``places``."""
+    total = np.zeros(len(places), np.uint64)
+    for i in range(k):
+        total = total * np.uint64(base) + words[places + i]
+    return texts.mixed(total)
+
+
 def winnowed(grams: np.ndarray, places: np.ndarray, rows: np.ndarray, w: int):
     """The fingerprints: of each window of ``w`` grams in a row, the last smallest one."""
     n = len(grams) - w + 1
@@ -81,90 +98,135 @@ def winnowed(grams: np.ndarray, places: np.ndarray, rows: np.ndarray, w: int):
     return grams[chosen], places[chosen]
 
 
+@dataclass
+class Level:
+    """Windows of ``k + w - 1`` words of a block's items, and their fingerprints."""
+
+    k: int
+    w: int
+    prints: np.ndarray  # distinct and sorted
+    windows: np.ndarray  # hashes of the distinct windows, sorted
+    at: np.ndarray  # where each of these occurs first in the block's words
+    marks: np.ndarray  # where its items begin in ``items``, and one more
+    items: np.ndarray
+
+    @property
+    def span(self) -> int:
+        return self.k + self.w - 1
+
+
 @dataclass
 class Index:
-    """Fingerprints of a block of items: per level (k, w), sorted with item and place."""
+    """A block of items: their ids, all their words, and the levels (k, w)."""
 
     names: list[str]
     words: np.ndarray
-    firsts: np.ndarray
-    lengths: np.ndarray
-    levels: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    levels: list[Level] = field(default_factory=list)
+
+
+def _windows(words: np.ndarray, rows: np.ndarray, members: np.ndarray, span: int):
+    """Distinct windows of the member rows: hashes, first places, marks of their items, items."""
+    hashes, places = gram_hashes(words, rows, span)
+    mine = members[rows[places]]
+    hashes, places = hashes[mine], places[mine]
+    second, owner = hashes_at(words, places, span, _OTHER), rows[places]
+    order = np.lexsort((owner, second, hashes))
+    hashes, second, places, owner = hashes[order], second[order], places[order], owner[order]
+    other = np.ones(len(order), bool)
+    other[1:] = (hashes[1:] != hashes[:-1]) | (second[1:] != second[:-1])
+    entry = other.copy()
+    entry[1:] |= owner[1:] != owner[:-1]
+    firsts = np.flatnonzero(other)
+    marks = np.append(np.cumsum(entry)[firsts] - 1, entry.sum())
+    return hashes[firsts], places[firsts], marks, owner[entry]
 
 
 def build_index(items: list[tuple[str, str]], window: int, k: int) -> Index:
     column = pa.array([text or "" for _, text in items], pa.large_string())
     words, lengths = word_hashes(column)
-    firsts = np.cumsum(lengths) - lengths
-    index = Index([name or "" for name, _ in items], words, firsts, lengths)
+    index = Index([name or "" for name, _ in items], words)
     rows = np.repeat(np.arange(len(items)), lengths)
     short = sorted({int(n) for n in lengths if 0 < n < window})
     levels = [(k, window - k + 1, lengths >= window)] if (lengths >= window).any() else []
     levels += [(n, 1, lengths == n) for n in short]
     for size, w, members in levels:
-        grams, places = winnowed(*gram_hashes(words, rows, size), rows, w)
-        mine = members[rows[places]]
-        grams, places = grams[mine], places[mine]
-        order = np.argsort(grams, kind="stable")
-        owner = rows[places[order]]
-        index.levels[(size, w)] = (grams[order], owner, places[order] - firsts[owner])
+        prints, places = winnowed(*gram_hashes(words, rows, size), rows, w)
+        prints = np.unique(prints[members[rows[places]]])
+        index.levels.append(Level(size, w, prints, *_windows(words, rows, members, size + w - 1)))
     return index
 
 
-def find_hits(words: np.ndarray, counts: np.ndarray, index: Index, window: int):
-    """Matches as (row, item, first word in row, end word in row)."""
+def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges end to end, and the range each is of."""
+    each = high - low
+    source = np.repeat(np.arange(len(low)), each)
+    return np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + low[source], source
+
+
+def _matches(words: np.ndarray, rows: np.ndarray, ends: np.ndarray, firsts: np.ndarray,
+             index: Index, level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which a window of the level occurs, and its number."""
+    prints, at = winnowed(*gram_hashes(words, rows, level.k), rows, level.w)
+    nearest = np.searchsorted(level.prints, prints)
+    known = nearest < len(level.prints)
+    known[known] = level.prints[nearest[known]] == prints[known]
+    hit = at[known]
+    # the windows that hold a shared fingerprint begin from low to high
+    low = np.maximum(firsts[rows[hit]], hit - (level.w - 1))
+    high = np.minimum(hit, ends[rows[hit]] - level.span) + 1
+    low, high = low[high > low], high[high > low]
+    size = len(words) + 1
+    starts = np.flatnonzero(np.cumsum(np.bincount(low, minlength=size) - np.bincount(high, minlength=size)) > 0)
+    hashes = hashes_at(words, starts, level.span)
+    window, source = _expanded(np.searchsorted(level.windows, hashes, side="left"),
+                               np.searchsorted(level.windows, hashes, side="right"))
+    starts = starts[source]
+    same = np.ones(len(starts), bool)
+    for i in range(level.span):
+        same &= words[starts + i] == index.words[level.at[window] + i]
+    return starts[same], window[same]
+
+
+def find_hits(words: np.ndarray, counts: np.ndarray, index: Index):
+    """The hit words as (row, first word in row, end word in row), and (row, item) of all items hit."""
     rows = np.repeat(np.arange(len(counts)), counts)
-    row_first = np.cumsum(counts) - counts
-    diagonals = []
-    for (k, w), (known, owner, place) in index.levels.items():
-        grams, at = winnowed(*gram_hashes(words, rows, k), rows, w)
-        low = np.searchsorted(known, grams, side="left")
-        high = np.searchsorted(known, grams, side="right")
-        found = np.flatnonzero(high > low)
-        each = (high - low)[found]
-        source = np.repeat(found, each)
-        entry = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[found], each)
-        diagonals.append(np.stack([owner[entry], at[source] - place[entry], rows[at[source]]], 1))
-    empty = np.zeros(0, np.int64)
-    if not diagonals or not sum(map(len, diagonals)):
-        return empty, empty, empty, empty
-    item, offset, row = np.unique(np.concatenate(diagonals), axis=0).T
-    # compare each diagonal over the whole item, as far as the row reaches
-    begin = np.maximum(0, row_first[row] - offset)
-    end = np.minimum(index.lengths[item], row_first[row] + counts[row] - offset)
-    size = end - begin
-    first = np.cumsum(size) - size
-    which = np.repeat(np.arange(len(size)), size)
-    q = np.arange(int(size.sum())) - first[which] + begin[which]
-    equal = words[offset[which] + q] == index.words[index.firsts[item[which]] + q]
-    edge = np.diff(np.concatenate([[0], equal.view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # runs must not go on from one diagonal into the next: cut them at its ends
-    cuts = first[1:]
-    inner = cuts[(cuts > 0) & (cuts < len(equal))]
-    inner = inner[equal[inner] & equal[inner - 1]]
-    starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
-    owner = which[starts]
-    least = np.minimum(window, index.lengths[item[owner]])
-    good = ends - starts >= least
-    owner, starts, ends = owner[good], starts[good], ends[good]
-    at = offset[owner] + q[starts] - row_first[row[owner]]
-    return row[owner], item[owner], at, at + ends - starts
-
-
-
-def _search(batches: Iterator[pa.RecordBatch], text: str, index: Index, window: int):
+    ends = np.cumsum(counts)
+    firsts = ends - counts
+    covered = np.zeros(len(words) + 1, np.int64)
+    found = [np.zeros((2, 0), np.int64)]
+    for level in index.levels:
+        starts, window = _matches(words, rows, ends, firsts, index, level)
+        if len(starts) == 0:
+            continue
+        size = len(words) + 1
+        covered += np.bincount(starts, minlength=size) - np.bincount(starts + level.span, minlength=size)
+        pairs = np.unique(rows[starts] * len(level.windows) + window)
+        row, window = pairs // len(level.windows), pairs % len(level.windows)
+        entry, source = _expanded(level.marks[window], level.marks[window + 1])
+        found.append(np.stack([row[source], level.items[entry]]))
+    hit = np.cumsum(covered)[:-1] > 0
+    begins, stops = hit.copy(), hit.copy()
+    begins[1:] &= ~hit[:-1] | (rows[1:] != rows[:-1])
+    stops[:-1] &= ~hit[1:] | (rows[1:] != rows[:-1])
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    spans = rows[first], first - firsts[rows[first]], last + 1 - firsts[rows[first]]
+    each = max(1, len(index.names))
+    pairs = np.unique(np.concatenate(found, axis=1).T @ np.array([each, 1]))
+    return spans, (pairs // each, pairs % each)
+
+
+def _search(batches: Iterator[pa.RecordBatch], text: str, index: Index):
     for batch in batches:
         for piece in texts.pieces(batch, text):
             words, counts = word_hashes(piece.column(text))
-            row, item, first, end = find_hits(words, counts, index, window)
-            order = np.lexsort((end, first, row))
-            marks = np.searchsorted(row[order], np.arange(len(counts) + 1)).astype(np.int32)
-            spans = pa.ListArray.from_arrays(marks, pa.StructArray.from_arrays(
-                [pa.array(first[order].astype(np.int32)), pa.array(end[order].astype(np.int32))],
-                ["first", "end"]))
+            (row, first, end), (owner, item) = find_hits(words, counts, index)
+            number = np.arange(len(counts) + 1)
+            spans = pa.ListArray.from_arrays(
+                np.searchsorted(row, number).astype(np.int32), pa.StructArray.from_arrays(
+                    [pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], ["first", "end"]))
             items = pa.ListArray.from_arrays(
-                marks, pa.array([index.names[i] for i in item[order]], pa.string()))
+                np.searchsorted(owner, number).astype(np.int32),
+                pa.array([index.names[i] for i in item.tolist()], pa.string()))
             columns = [piece.column(c) for c in piece.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(counts.astype(np.int64)), spans, items],
@@ -172,13 +234,13 @@ def _search(batches: Iterator[pa.RecordBatch], text: str, index: Index, window:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The benchmark as lists of (id, text) of bounded size, one list at a time."""
+    """The benchmark as lists of (id, text) of bounded size, one at a time, and whether it is the last."""
     sized = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(total) // block_bytes + 1
     for part in range(parts):
         mine = sized.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        yield [tuple(r) for r in mine.collect()]
+        yield [tuple(r) for r in mine.collect()], part == parts - 1
 
 
 def _covered(spans: Column) -> Column:
@@ -195,22 +257,22 @@ def _covered(spans: Column) -> Column:
 def mark_contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = 13, k: int = 5, one_in: int = 20,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans``, ``hit_items``, ``contaminated``.
 
-    ``hit_spans`` are word numbers, ends exclusive; ``hit_items`` sorted, distinct ids. A
+    ``hit_spans`` are word numbers, ends exclusive, per block of the benchmark; ``hit_items`` sorted, distinct ids. A
     document is contaminated if at least one in ``one_in`` of its words is hit.
     """
     spark = docs.sparkSession
     out = docs.drop("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
-    for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+    for number, (block, last) in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         sent = spark.sparkContext.broadcast(build_index(block, window, k))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
         found = "_d_words long, _d_spans array<struct<first:int,end:int>>, _d_items array<string>"
 
         def search(batches, sent=sent):
-            return _search(batches, text, sent.value, window)
+            return _search(batches, text, sent.value)
 
         seen = out.mapInArrow(search, f"{schema}, {found}")
         if number:
@@ -221,6 +283,9 @@ def mark_contamination(
             seen = seen.withColumnsRenamed({
                 "_d_words": "n_words", "_d_spans": "hit_spans", "_d_items": "hit_items"})
         out = seen
+        if not last:
+            out = scratch.stored(seen, "decontaminated")
+            sent.unpersist()
     hits = _covered(F.array_sort("hit_spans"))
     return (out.withColumn("n_hit", hits)
             .withColumn("hit_items", F.array_sort(F.array_distinct("hit_items")))

@@ -1,9 +1,18 @@
 import random
 import re
+import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from jobtide.llm.decontamination import drop_contaminated, mark_contamination
+from jobtide.llm.decontamination import (
+    build_index,
+    drop_contaminated,
+    find_hits,
+    mark_contamination,
+    word_hashes,
+)
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -79,6 +88,31 @@ def test_long_text_and_hits_in_it(spark):
     assert (row.n_words, row.n_hit, row.contaminated) == (400_040, 40, False)
 
 
+def test_periodic_texts_and_phrases_of_very_many_items(spark):
+    draw = random.Random(4)
+    items = [("one", "a " * 200), ("two", "a b " * 40), ("short", "a a"), ("three", "a b c " * 9 + "d")]
+    items += [(f"p{i}", f"q{i} answer the question with one of the letters below and say why you chose it")
+              for i in range(40)]
+    docs = [(0, "a " * 300, None), (1, "a b " * 30 + "a b c " * 20, None), (2, "b " * 50 + "a b c " * 8 + "d e", None),
+            (3, "x answer the question with one of the letters below and say why you chose it " * 5, None),
+            (4, "a b a", None), *[(5 + i, " ".join(draw.choice("aab") for _ in range(200)), None) for i in range(10)]]
+    left, right = frames(spark, docs, items)
+    for row in mark_contamination(left.drop("n_words"), right).collect():
+        assert seen(row) == brute(row.text, items), row.doc_id
+
+
+def test_work_is_linear_in_a_text_of_one_word():
+    index = build_index([("i", "a " * 1_000)], 13, 5)
+    words, counts = word_hashes(pa.array(["a " * 500_000, "b " * 100]))
+    tracemalloc.start()
+    begin = time.process_time()
+    spans, items = find_hits(words, counts, index)
+    taken, peak = time.process_time() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [s.tolist() for s in spans] == [[0], [0], [500_000]] and [i.tolist() for i in items] == [[0], [0]]
+    assert taken < 5 and peak < 500e6
+
+
 def test_empty_tables(spark):
     left, right = frames(spark, [(1, "a b c", None)], [])
     row = mark_contamination(left.drop("n_words"), right).first()
