@@ -1,8 +1,11 @@
 """A tolerant reader of HTML: elements in page order, and the text pieces they hold.
 
 Unclosed and stray tags are accepted; a paragraph, list item, cell or option ends where the
-next one of its kind begins, and a paragraph also where a block begins. A tag cut off at the
-end of the page is dropped. Scripts, styles and the like are elements without text.
+next one of its kind begins, and a paragraph also where a block begins. The head ends at the
+first element that cannot be in it, and at the first text if it has no end tag. Text outside any element is an element of its own.
+A tag cut off at the end of the page is dropped. Scripts, styles and the like are elements
+without text; one without an end tag takes the rest of the page only if its content is plain
+text by definition, as that of scripts is.
 """
 
 import html as _html
@@ -17,6 +20,8 @@ WORDS = re.compile(r"[a-z]+")
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math select object".split())
+PLAIN = frozenset("script style textarea title".split())
+HEAD = frozenset("base head html link meta noscript script style template title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
@@ -31,26 +36,43 @@ class Page:
     """Elements by number, a parent before its children; number 0 is the page itself."""
 
     tag: list[str] = field(default_factory=lambda: [""])
-    tokens: list[tuple[str, ...]] = field(default_factory=lambda: [()])
+    names: list[tuple[tuple[str, ...], ...]] = field(default_factory=lambda: [()])  # each as its words
     parent: list[int] = field(default_factory=lambda: [-1])
     depth: list[int] = field(default_factory=lambda: [0])
     pieces: list[tuple[int, int, str]] = field(default_factory=list)  # element, block, text
 
 
-def _tokens(attributes: str) -> tuple[str, ...]:
+def _names(attributes: str) -> tuple[tuple[str, ...], ...]:
     found = []
     for match in ATTRIBUTE.finditer(attributes):
-        found += WORDS.findall((match[2] or match[3] or match[4] or "").lower())
+        for name in (match[2] or match[3] or match[4] or "").lower().split():
+            found.append(tuple(WORDS.findall(name)))
     return tuple(found)
 
 
 def parse(source: str) -> Page:
     page = Page()
     stack, block, at, size = [0], 0, 0, len(source)
-    in_head = False
+    in_head = head_ends = False
+    endless: set[str] = set()
+
+    def add(name: str, names=()) -> None:
+        page.tag.append(name)
+        page.names.append(names)
+        page.parent.append(stack[-1])
+        page.depth.append(len(stack))
 
     def text(raw: str) -> None:
-        if raw and not in_head:
+        nonlocal in_head
+        if in_head and not head_ends and not raw.isspace():
+            in_head = not raw
+        if not raw or in_head:
+            return
+        if len(stack) == 1 and not raw.isspace():
+            if not (len(page.tag) > 1 and page.tag[-1] == "#text" and page.parent[-1] == 0):
+                add("#text")
+            page.pieces.append((len(page.tag) - 1, block, _html.unescape(raw)))
+        else:
             page.pieces.append((stack[-1], block, _html.unescape(raw)))
 
     def close(names, fence=frozenset()) -> bool:
@@ -103,7 +125,8 @@ def parse(source: str) -> Page:
             continue
         if name == "head":
             in_head = True
-        elif name == "body":
+            head_ends = "</head" in source[at:].lower()
+        elif name not in HEAD:
             in_head = False
         if name in BLOCK:
             block += 1
@@ -112,18 +135,19 @@ def parse(source: str) -> Page:
             if name in CLOSES:
                 close(CLOSES[name], FENCES)
         if name in RAW:
-            page.tag.append(name)
-            page.tokens.append(())
-            page.parent.append(stack[-1])
-            page.depth.append(len(stack))
+            add(name)
             if not match[3].endswith("/"):
-                end = re.compile(f"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else size
+                end = None
+                if name not in endless:
+                    end = re.compile(f"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(source, at)
+                if end:
+                    at = end.end()
+                elif name in PLAIN:
+                    at = size
+                else:
+                    endless.add(name)
             continue
-        page.tag.append(name)
-        page.tokens.append(_tokens(match[3]) if "=" in match[3] else ())
-        page.parent.append(stack[-1])
-        page.depth.append(len(stack))
+        add(name, _names(match[3]) if "=" in match[3] else ())
         if name not in VOID and not match[3].endswith("/"):
             stack.append(len(page.tag) - 1)
     return page

@@ -97,5 +97,51 @@ def test_boosting_learns_and_is_reproducible():
     assert len(one.log_odds(rows[:0])) == 0
 
 
+def test_structure_alone_tells_the_parts(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    learned = fit_model(pages[:100])
+    right = 0
+    for source in pages[100:]:
+        page = html_extract.masked(dom.parse(source))
+        assert not any(page.names) and "article" not in page.tag and "nav" not in page.tag
+        right += html_extract.main_text(page, learned.log_odds(html_extract.features(page))) == article(source)
+    assert right >= 0.9 * len(pages[100:])
+
+
+def test_structure_alone_on_held_out_made_pages(model):
+    draw = random.Random(98)
+    right = 0
+    for _ in range(100):
+        source, text = made_page(draw, WORDS)
+        page = html_extract.masked(dom.parse(source))
+        right += html_extract.main_text(page, model.log_odds(html_extract.features(page))) == " ".join(text.split())
+    assert right >= 90
+
+
+SOME = " ".join(f"{w}{i}" for i in range(20) for w in ("river", "stone", "cloud"))
+MENU = '<div class="menu"><ul><li><a href="/x">one</a></li><li><a href="/y">two</a></li></ul></div>'
+
+
+@pytest.mark.parametrize("source, text", [
+    (SOME, SOME),
+    ("two words", "two words"),
+    (f"<h1>Title</h1> {SOME}", f"Title {SOME}"),
+    (f"<p>{SOME}</p> between {SOME} <p>last</p>", f"{SOME} between {SOME} last"),
+    (f"<html><head><title>t</title><p>{SOME}</p><p>{SOME}</p>", f"{SOME} {SOME}"),
+    (f"<html><head><title>t</title>{SOME}", SOME),
+    (f'<div class="comment-on-politics"><article><h1>T</h1><p>{SOME}</p></article></div>', f"T {SOME}"),
+    (f"<body>{MENU}<p>{SOME}</p></body>", SOME),
+    *[(f"<body><article><p>{SOME}</p><{raw}><p>{SOME}</p></article></body>", f"{SOME} {SOME}")
+      for raw in ("svg", "object", "noscript", "template", "select")],
+    ('<nav><a href="/x">home</a></nav><footer>foot</footer>', "")])
+def test_no_page_is_thrown_away(model, source, text):
+    assert extract(source, model) == text
+
+
+def test_many_unclosed_elements_take_linear_time():
+    page = dom.parse("<p>x<svg>" * 100_000)
+    assert len(page.tag) == 200_001
+
+
 def test_words_of_attributes_are_bounded():
     assert html_extract._static.cache_info().maxsize == 50_000
