@@ -383,10 +383,12 @@ def extract_text(
     pages: DataFrame, html: str = "html", sample_pages: int = 200, made_pages: int = 300,
 ) -> DataFrame:
     """``pages`` without the html column, with ``text`` and ``n_chars``."""
-    # the pages of least hash: the same ones however the table is laid out
-    hashed = pages.select(F.col(html).alias("h")).filter(F.col("h").isNotNull()).select(
-        F.xxhash64("h").alias("at"), "h").orderBy("at", "h").limit(sample_pages)
-    some = hashed.collect()
+    # the pages of least hash: the same ones however the table is laid out, equal ones once.
+    # Tasks send hashes to the driver; only the chosen pages go there whole
+    hashed = pages.select(F.col(html).alias("h")).filter(F.col("h").isNotNull()).withColumn("at", F.xxhash64("h"))
+    least = hashed.select("at").distinct().orderBy("at").limit(sample_pages).collect()
+    some = (hashed.filter(F.col("at") <= (least[-1].at if least else None))
+            .dropDuplicates(["at"]).orderBy("at").collect())
     model = pages.sparkSession.sparkContext.broadcast(fit_model([r.h for r in some], made_pages))
     own = pages.drop("n_chars", *(["text"] if html != "text" else []))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != html]
