@@ -62,7 +62,7 @@ def test_registered(spark):
     import __spark_entry__ as contract
 
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert contract.queries()["pipeline"] is corpus_pipeline.run
     assert "pipeline" not in contract.oracle_sql()
 
