@@ -21,10 +21,12 @@ Groups are streamed in sorted order with a state of one row. Phrases of one trig
 compared in bounded parts; what is first in its part of a larger group goes on to one more
 exact round, by single strings. So nothing unbounded is held by one task.
 
-A place is (document id, start); a null id comes first. Defined results: a null text is
-empty; texts under ``LENGTH`` bytes keep all. Of rows with equal ids and equal texts none is
-earlier than another, so they get equal results. An empty table gives an empty table.
-Result columns replace columns of the same names.
+A place is (document id, start); a null id comes first. What is found goes back to its rows
+by id and a hash of the text, so rows that share an id (or have none) keep their marks apart.
+Defined results: a null text is empty; texts under ``LENGTH`` bytes keep all. Of rows with
+equal ids, equal starts are one place, and none of them is earlier than another; rows equal
+in both get equal results. An empty table gives an empty table. Result columns replace
+columns of the same names.
 """
 
 import hashlib
@@ -49,7 +51,10 @@ _SIZE = np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = -(1 << 63)
 _CODEC = pa.Codec("zstd", compression_level=6)
 
-PHRASE = "trigger long, phrase long, size int, doc long, start long"
+SLOTS = 1 << 19  # phrases that a task remembers
+
+PHRASE = "trigger long, phrase long, size int, doc long, start long, key long"
+PHRASE_ORDER = ["trigger", "phrase", "size", "doc", "start", "key"]
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
@@ -103,62 +108,90 @@ def _segments(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, np.
         yield low - start, data[low:min(end, low + SEGMENT + LENGTH - 1)]
 
 
-def _seen_here(trigger, phrase, size, doc, start):
-    """Phrases that have an earlier place in the same batch get a negative size.
+def text_key(raw: bytes) -> int:
+    """Tells the texts of one id apart."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+class _Seen:
+    """Finds phrases that have an earlier place in the same task, and gives them a negative size.
 
     They are repeats wherever the first one is, so they need not meet the others of their
-    trigger: their trigger becomes a hash of their place, which deals them out evenly. A
-    text of a hundred thousand copies thus sends its triggers once per batch.
+    trigger: their trigger becomes a hash of their place, which deals them out evenly. In a
+    batch all are found; from batch to batch a table of fixed size remembers phrases, the
+    newest in each slot. What it forgets is only sent once more. A text of a hundred
+    thousand copies, or a passage of every document, thus sends few rows a task.
     """
-    if not len(trigger):
-        return trigger, phrase, size, doc, start
-    order = np.lexsort((start, doc, size, phrase, trigger))
-    trigger, phrase, size, doc, start = (x[order] for x in (trigger, phrase, size, doc, start))
-    new = np.ones(len(trigger), bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]) | (size[1:] != size[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = (doc != doc[first]) | (start != start[first])
-    place = texts.mixed(texts.mixed(doc.astype(np.uint64)) + start.astype(np.uint64))
-    return np.where(again, place, trigger), phrase, np.where(again, -size, size), doc, start
+
+    def __init__(self):
+        self.table = np.zeros((SLOTS, 5), np.int64)  # trigger, phrase, size, doc, start
+
+    def __call__(self, trigger, phrase, size, doc, start, key):
+        if not len(trigger):
+            return trigger, phrase, size, doc, start, key
+        order = np.lexsort((key, start, doc, size, phrase, trigger))
+        trigger, phrase, size, doc, start, key = (x[order] for x in (trigger, phrase, size, doc, start, key))
+        new = np.ones(len(trigger), bool)
+        new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]) | (size[1:] != size[:-1])
+        heads = np.flatnonzero(new)
+        first = np.cumsum(new) - 1
+        first_doc, first_start = self._earliest(
+            *(x[heads] for x in (trigger.view(np.int64), phrase.view(np.int64), size, doc, start)))
+        again = (doc != first_doc[first]) | (start != first_start[first])
+        place = texts.mixed(texts.mixed(texts.mixed(doc.astype(np.uint64)) + start.astype(np.uint64)) + key.view(np.uint64))
+        return np.where(again, place, trigger), phrase, np.where(again, -size, size), doc, start, key
+
+    def _earliest(self, *heads):
+        """The earliest known place of each phrase; the table then holds it."""
+        slot = (heads[0] ^ heads[1]) & (SLOTS - 1)
+        old = self.table[slot]
+        doc, start = heads[3], heads[4]
+        known = (old[:, 0] == heads[0]) & (old[:, 1] == heads[1]) & (old[:, 2] == heads[2])
+        earlier = known & ((old[:, 3] < doc) | ((old[:, 3] == doc) & (old[:, 4] < start)))
+        doc, start = np.where(earlier, old[:, 3], doc), np.where(earlier, old[:, 4], start)
+        self.table[slot] = np.stack([*heads[:3], doc, start], axis=1)
+        return doc, start
 
 
 def _parse(batches: Iterator[pa.RecordBatch], doc_id: str, text: str):
-    names = ["trigger", "phrase", "size", "doc", "start"]
+    seen = _Seen()
 
-    def batch_of(ids, found, shift=0):
+    def batch_of(ids, keys, found, shift=0):
         row, trigger, phrase, start, size = found
-        trigger, phrase, size, doc, start = _seen_here(trigger, phrase, size, ids[row], start + shift)
+        trigger, phrase, size, doc, start, key = seen(trigger, phrase, size, ids[row], start + shift, keys[row])
         return pa.RecordBatch.from_arrays(
             [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(size.astype(np.int32)),
-             pa.array(doc), pa.array(start)], names)
+             pa.array(doc), pa.array(start), pa.array(key)], PHRASE_ORDER)
 
     for batch in batches:
         for piece in texts.pieces(batch, text):
             data, starts, ends = texts.text_bytes(piece.column(text))
             ids = piece.column(doc_id).fill_null(_NO_ID).to_numpy()
+            keys = np.array([text_key(data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], np.int64)
             if len(data) <= texts.PIECE_BYTES:
-                yield batch_of(ids, phrases(data, starts, ends))
+                yield batch_of(ids, keys, phrases(data, starts, ends))
                 continue
             for shift, part in _segments(data, int(starts[0]), int(ends[0])):
-                yield batch_of(ids, phrases(part, np.array([0]), np.array([len(part)])), shift)
+                yield batch_of(ids, keys, phrases(part, np.array([0]), np.array([len(part)])), shift)
 
 
-def _packed(start: np.ndarray, size: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """Start, number of strings and twenty bits of the phrase's hash in one number."""
-    return (start << 28) | (size << 20) | (phrase.view(np.int64) & int(_PLACE))
+def _packed(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Start and number of strings in one number."""
+    return (start << 8) | size
 
 
 class _Firsts:
-    """Goes through phrases sorted by trigger, phrase, size and place.
+    """Goes through phrases sorted by trigger, phrase, size, place and key.
 
-    Later places of a phrase are repeats. The first one of a trigger with several phrases is
-    open; whether the very first has company is known once the next phrase comes.
+    Later places of a phrase are repeats. The first place of a trigger with several phrases
+    is open; whether the very first has company is known once the next phrase comes. Other
+    texts at the first place are open at once.
     """
 
     def __init__(self):
-        self.last, self.waiting = None, None
+        self.last, self.place, self.waiting = None, (0, 0), None
 
-    def __call__(self, trigger, phrase, size, doc, start):
+    def __call__(self, trigger, phrase, size, doc, start, key):
         """(repeated, open) as places in the batch; -1 stands for the row that was waiting."""
         def changed(values, before):
             out = np.ones(len(values), bool)
@@ -167,52 +200,63 @@ class _Firsts:
                 out[0] = values[0] != before
             return out
 
-        before = self.last or [None] * 5
+        before = self.last or [None] * 6
         new_trigger = changed(trigger, before[0])
         new_phrase = new_trigger | changed(phrase, before[1]) | changed(size, before[2])
-        new_place = new_phrase | changed(doc, before[3]) | changed(start, before[4])
+        new_row = changed(doc, before[3]) | changed(start, before[4]) | changed(key, before[5])
         heads = np.flatnonzero(new_phrase)
+        number = np.cumsum(new_phrase)
+        first_doc, first_start = (np.append(np.array([held], np.int64), column[heads])[number]
+                                  for held, column in zip(self.place, (doc, start), strict=True))
+        at_first = (doc == first_doc) & (start == first_start)
         opened = heads[~new_trigger[heads]]
         with_next = heads[:-1][new_trigger[heads[:-1]] & ~new_trigger[heads[1:]]]
-        open_rows = np.concatenate([with_next, opened])
+        open_rows = np.concatenate([with_next, opened, np.flatnonzero(~new_phrase & new_row & at_first)])
         waiting = self.waiting
         if len(heads):
             if waiting is not None and not new_trigger[heads[0]]:
                 open_rows = np.append(open_rows, -1)
             last = int(heads[-1])
             self.waiting = last if new_trigger[last] else None
-        self.last = [trigger[-1], phrase[-1], size[-1], doc[-1], start[-1]]
-        return np.flatnonzero(new_place & ~new_phrase), open_rows, bool(len(heads))
+        self.last = [c[-1] for c in (trigger, phrase, size, doc, start, key)]
+        self.place = int(first_doc[-1]), int(first_start[-1])
+        return np.flatnonzero(~new_phrase & new_row & ~at_first), open_rows, bool(len(heads))
+
+
+MARK = "doc long, key long, packed long"
+
+
+def _marks(doc, key, packed, is_open) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc), pa.array(key), pa.array(packed), pa.array(is_open)], ["doc", "key", "packed", "open"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]):
-    """(doc, packed, open) of repeated and of open phrases."""
+    """(doc, key, packed, open) of repeated and of open phrases."""
     firsts, held = _Firsts(), None
     for batch in batches:
         if not batch.num_rows:
             continue
         known = batch.filter(pc.less(batch.column("size"), 0))
-        if known.num_rows:  # repeats of their own batch
-            _, phrase, size, doc, start = (known.column(i).to_numpy() for i in range(5))
-            marks = _packed(start, -size.astype(np.int64), phrase)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(marks), pa.array(np.zeros(len(doc), bool))], ["doc", "packed", "open"])
+        if known.num_rows:  # repeats of their own task
+            _, _, size, doc, start, key = (known.column(i).to_numpy() for i in range(6))
+            yield _marks(doc, key, _packed(start, -size.astype(np.int64)), np.zeros(len(doc), bool))
             batch = batch.filter(pc.greater(batch.column("size"), 0))
             if not batch.num_rows:
                 continue
-        trigger, phrase, size, doc, start = (batch.column(i).to_numpy() for i in range(5))
+        trigger, phrase, size, doc, start, key = (batch.column(i).to_numpy() for i in range(6))
         size = size.astype(np.int64)
-        again, opened, heads = firsts(trigger, phrase, size, doc, start)
-        packed = _packed(start, size, phrase)
+        again, opened, heads = firsts(trigger, phrase, size, doc, start, key)
+        packed = _packed(start, size)
         rows = np.concatenate([again, opened[opened >= 0]]).astype(np.int64)
-        docs, marks = doc[rows], packed[rows]
+        found = [column[rows] for column in (doc, key, packed)]
         flags = np.arange(len(rows)) >= len(again)
         if (opened == -1).any():
-            docs, marks, flags = np.append(docs, held[0]), np.append(marks, held[1]), np.append(flags, True)
+            found = [np.append(column, one) for column, one in zip(found, held, strict=True)]
+            flags = np.append(flags, True)
         if heads and firsts.waiting is not None:
-            held = doc[firsts.waiting], packed[firsts.waiting]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs), pa.array(marks), pa.array(flags)], ["doc", "packed", "open"])
+            held = tuple(column[firsts.waiting] for column in (doc, key, packed))
+        yield _marks(*found, flags)
 
 
 def _pack_text(batches: Iterator[pa.RecordBatch], text: str):
@@ -223,33 +267,29 @@ def _pack_text(batches: Iterator[pa.RecordBatch], text: str):
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(n) for n in names],
              pa.array([_CODEC.compress(r, asbytes=True) for r in raw], pa.binary()),
-             pa.array([len(r) for r in raw], pa.int64())], [*names, "_r_text", "_r_size"])
+             pa.array([len(r) for r in raw], pa.int64()), pa.array([text_key(r) for r in raw], pa.int64())],
+            [*names, "_r_text", "_r_size", "_r_key"])
 
 
 def _unpacked(value: pa.Scalar, size: int) -> np.ndarray:
     return np.frombuffer(_CODEC.decompress(value.as_py(), size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
 
 
-def _valid(data: np.ndarray, marks: np.ndarray):
-    """(start, strings) of the marks that are this text's own: ids may stand for several texts."""
-    start, size, check = marks >> 28, (marks >> 20) & 0xFF, marks & int(_PLACE)
-    fits = start + size - 1 + LENGTH <= len(data)
-    start, size, check = start[fits], size[fits], check[fits]
-    good = np.zeros(len(start), bool)
-    block = start // SEGMENT
-    for number in np.unique(block).tolist():
-        mine = np.flatnonzero(block == number)
-        low = number * SEGMENT
-        sums = _sums(data[low:low + SEGMENT + 2 * LENGTH])
-        begin = start[mine] - low
-        found = _hashes(sums, begin, begin + size[mine] - 1 + LENGTH, size[mine])
-        good[mine] = (found.view(np.int64) & int(_PLACE)) == check[mine]
-    return start[good], size[good]
+def _places(data: np.ndarray, marks: pa.Scalar):
+    """(start, strings) of a text's marks."""
+    found = np.unique(marks.values.to_numpy())
+    start, size = found >> 8, found & 0xFF
+    inside = start + size - 1 + LENGTH <= len(data)
+    return start[inside], size[inside]
 
 
 def _open_texts(batches: Iterator[pa.RecordBatch]):
-    """(trigger, doc, start, bytes) of the open phrases of each document."""
-    docs, starts, found = [], [], []
+    """(trigger, doc, key, start, bytes) of the open phrases of each document.
+
+    Equal rows give theirs once, as far as the task remembers them.
+    """
+    docs, keys, starts, found = [], [], [], []
+    done: dict[tuple, None] = {}
 
     def flush():
         # a phrase's trigger is the smallest of its first string
@@ -257,19 +297,26 @@ def _open_texts(batches: Iterator[pa.RecordBatch]):
         low = np.arange(len(found)) * LENGTH
         _, trigger, _, _, _ = phrases(heads, low, low + LENGTH)
         out = pa.RecordBatch.from_arrays(
-            [pa.array(trigger.view(np.int64)), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()),
-             pa.array(found, pa.binary())], ["trigger", "doc", "start", "bytes"])
-        for column in (docs, starts, found):
+            [pa.array(trigger.view(np.int64)), pa.array(docs, pa.int64()), pa.array(keys, pa.int64()),
+             pa.array(starts, pa.int64()), pa.array(found, pa.binary())], ["trigger", "doc", "key", "start", "bytes"])
+        for column in (docs, keys, starts, found):
             column.clear()
         return out
 
     for batch in batches:
         for i in range(batch.num_rows):
+            doc, key = batch.column("_r_doc")[i].as_py(), batch.column("_r_key")[i].as_py()
+            if (doc, key) in done:
+                continue
+            if len(done) >= PART:
+                done.pop(next(iter(done)))
+            done[doc, key] = None
             data = _unpacked(batch.column("_r_text")[i], batch.column("_r_size")[i].as_py())
-            start, size = _valid(data, np.unique(batch.column("_r_marks")[i].values.to_numpy()))
-            doc, raw = batch.column("_r_doc")[i].as_py(), data.tobytes()
+            start, size = _places(data, batch.column("_r_marks")[i])
+            raw = data.tobytes()
             for low, strings in zip(start.tolist(), size.tolist(), strict=True):
                 docs.append(doc)
+                keys.append(key)
                 starts.append(low)
                 found.append(raw[low:low + strings - 1 + LENGTH])
                 if len(found) >= PART:
@@ -303,23 +350,20 @@ def _compare_part(table: pa.Table, whole: bool) -> pa.RecordBatch:
     string is given too, with its hashes, as one before it may be in another part."""
     one, other, doc, start, which = _strings(
         table.column("bytes").to_pylist(), table.column("doc").to_numpy(), table.column("start").to_numpy())
-    trigger = table.column("trigger").to_numpy()[which]
-    order = np.lexsort((start, doc, other, one, trigger))
-    one, other, doc, start, trigger = (x[order] for x in (one, other, doc, start, trigger))
-
-    def differs(*columns):
-        out = np.ones(len(one), bool)
-        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        return out
-
-    new = differs(trigger, one, other)
-    again = np.flatnonzero(~new & differs(doc, start))
-    first = np.flatnonzero(new) if not whole else np.zeros(0, np.int64)
+    trigger, key = (table.column(name).to_numpy()[which] for name in ("trigger", "key"))
+    order = np.lexsort((key, start, doc, other, one, trigger))
+    one, other, doc, start, key, trigger = (x[order] for x in (one, other, doc, start, key, trigger))
+    new = np.ones(len(one), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in (trigger, one, other)], axis=0)
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (doc != doc[head]) | (start != start[head])
+    again = np.flatnonzero(later)
+    first = np.flatnonzero(~later) if not whole else np.zeros(0, np.int64)
     rows = np.concatenate([again, first])
-    packed = _packed(start[rows], np.ones(len(rows), np.int64), one[rows].view(np.uint64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[rows]), pa.array(packed), pa.array(one[rows]), pa.array(other[rows]), pa.array(start[rows]),
-         pa.array(np.arange(len(rows)) >= len(again))], ["doc", "packed", "one", "other", "start", "open"])
+        [pa.array(doc[rows]), pa.array(key[rows]), pa.array(_packed(start[rows], 1)), pa.array(one[rows]),
+         pa.array(other[rows]), pa.array(start[rows]), pa.array(np.arange(len(rows)) >= len(again))],
+        ["doc", "key", "packed", "one", "other", "start", "open"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]):
@@ -358,9 +402,10 @@ def _later(batches: Iterator[pa.RecordBatch]):
     firsts = _Firsts()
     for batch in batches:
         if batch.num_rows:
-            one, other, doc, start = (batch.column(n).to_numpy() for n in ("one", "other", "doc", "start"))
-            again, _, _ = firsts(one, other, np.zeros(len(one), np.int64), doc, start)
-            yield batch.select(["doc", "packed"]).take(pa.array(again))
+            one, other, doc, start, key = (
+                batch.column(n).to_numpy() for n in ("one", "other", "doc", "start", "key"))
+            again, _, _ = firsts(one, other, np.zeros(len(one), np.int64), doc, start, key)
+            yield batch.select(["doc", "key", "packed"]).take(pa.array(again))
 
 
 def _finish(batches: Iterator[pa.RecordBatch], doc_id: str, with_text: bool):
@@ -373,7 +418,7 @@ def _finish(batches: Iterator[pa.RecordBatch], doc_id: str, with_text: bool):
             marks = batch.column("_r_marks")[i]
             edge = np.zeros(size + 1, np.int32)
             if marks.is_valid:
-                start, strings = _valid(data, np.unique(marks.values.to_numpy()))
+                start, strings = _places(data, marks)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + strings - 1 + LENGTH, -1)
             gone = np.cumsum(edge)[:size] > 0
@@ -405,29 +450,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ids = source.select(doc_id, text)
     parse = ids.mapInArrow(lambda batches: _parse(batches, doc_id, text), PHRASE)
     settled = scratch.stored(_sorted_map(
-        parse, ["trigger", "phrase", "size", "doc", "start"], "trigger", _settle,
-        "doc long, packed long, open boolean"), "phrases")
+        parse, PHRASE_ORDER, "trigger", _settle, f"{MARK}, open boolean"), "phrases")
 
     kept = [f for f in source.schema if f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    packed = source.mapInArrow(lambda batches: _pack_text(batches, text), f"{schema}, _r_text binary, _r_size long")
+    packed = source.mapInArrow(lambda batches: _pack_text(batches, text), f"{schema}, _r_text binary, _r_size long, _r_key long")
     place = F.coalesce(F.col(f"`{doc_id}`"), F.lit(_NO_ID))
 
     def with_marks(marks: DataFrame, columns: list[str], how: str) -> DataFrame:
-        lists = (marks.groupBy(F.col("doc").alias("_r_doc")).agg(F.collect_list("packed").alias("_r_marks"))
-                 .hint("shuffle_hash"))
-        return packed.select(*[F.col(f"`{c}`") for c in columns], "_r_text", "_r_size",
-                             place.alias("_r_doc")).join(lists, "_r_doc", how)
+        # a set, as tasks may find the same
+        lists = (marks.groupBy(F.col("doc").alias("_r_doc"), F.col("key").alias("_r_key"))
+                 .agg(F.collect_set("packed").alias("_r_marks")).hint("shuffle_hash"))
+        return packed.select(*[F.col(f"`{c}`") for c in columns], "_r_text", "_r_size", "_r_key",
+                             place.alias("_r_doc")).join(lists, ["_r_doc", "_r_key"], how)
 
     opened = with_marks(settled.filter("open"), [], "inner").mapInArrow(
-        _open_texts, "trigger long, doc long, start long, bytes binary")
+        _open_texts, "trigger long, doc long, key long, start long, bytes binary")
     compared = scratch.stored(_sorted_map(
         opened, ["trigger"], "trigger", _compare,
-        "doc long, packed long, one long, other long, start long, open boolean"), "strings")
-    later = _sorted_map(compared.filter("open"), ["one", "other", "doc", "start"], "one", _later,
-                        "doc long, packed long")
-    marks = (settled.filter("not open").select("doc", "packed")
-             .union(compared.filter("not open").select("doc", "packed")).union(later))
+        f"{MARK}, one long, other long, start long, open boolean"), "strings")
+    later = _sorted_map(compared.filter("open"), ["one", "other", "doc", "start", "key"], "one", _later, MARK)
+    marks = (settled.filter("not open").select("doc", "key", "packed")
+             .union(compared.filter("not open").select("doc", "key", "packed")).union(later))
     extra = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return with_marks(marks, [f.name for f in kept], "left").mapInArrow(
         lambda batches: _finish(batches, doc_id, with_text), f"{schema}, {extra}")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from jobtide.llm import repeats, texts
@@ -95,3 +96,43 @@ def test_empty_table_and_clashing_names(spark):
     row = remove_repeats(table).first()
     assert (row.n_removed, row.marks, row.doc) == (149, "m", "d")
     assert remove_repeats(table.filter("false")).count() == 0
+
+
+def test_many_rows_of_one_id(spark):
+    draw = random.Random(7)
+
+    def some(count):
+        return "".join(draw.choice("abcdefgh ") for _ in range(count))
+
+    head, passage = some(130), some(260)
+    docs = [(None, head + some(150)) for _ in range(150)]  # the same start of different texts
+    docs += [(None, some(40) + passage[i % 50:] + some(30)) for i in range(150)]
+    docs += [(9, passage + "same")] * 40 + [(9, "x" + passage)] * 3 + [(11, "y" * 30 + head)] * 5
+    draw.shuffle(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert seen(remove_repeats(table).collect()) == brute(docs)
+
+
+def test_a_hundred_thousand_rows_of_no_id(spark):
+    table = spark.range(100_000).selectExpr(
+        "cast(null as long) doc_id",
+        "if(id % 2 = 0, repeat('shared passage ', 12), concat(id, repeat(' and so on', 12))) text")
+    found = remove_repeats(table).groupBy("n_bytes", "n_removed").count().collect()
+    # equal rows are one place; periodic texts repeat themselves
+    assert {r.n_removed for r in found if r.n_bytes == 180} == {165}
+    assert sum(r["count"] for r in found) == 100_000
+
+
+def test_tasks_remember_phrases_from_batch_to_batch():
+    passage = np.frombuffer(random.Random(3).randbytes(400), np.uint8)
+    seen_here = repeats._Seen()
+
+    def sent(doc):
+        _, trigger, phrase, start, size = repeats.phrases(passage, np.array([0]), np.array([400]))
+        ids, keys = np.full(len(size), doc), np.full(len(size), 5)
+        return seen_here(trigger, phrase, size, ids, start, keys)[2]
+
+    assert (sent(7) > 0).all()
+    assert (sent(8) < 0).all()
+    assert (sent(3) > 0).all()  # earlier than all before
+    assert (sent(7) < 0).all()
