@@ -3,14 +3,17 @@
 A rule is a pattern with literal tokens around it. Each rule is filed under the one of its
 tokens that the fewest URLs of the table have, the tokens of a URL fetch the rules filed
 under them, and only those rules are run as regular expressions. Rules without any token
-are few and are tried on every URL.
+have no place in such an index: each URL goes through them in its own row.
 
 Distinct URLs are judged once, so a hot URL costs one row, and the verdicts are joined back.
+Lists of rules are stored before they are joined, so that Spark knows how large they are and
+chooses the join by that.
 
 Defined results: a null URL, and one without ``://``, has an empty host and path and is
 judged by the default verdict. Of the rules that match, the one with the highest
 ``priority`` wins, then the longest name, then the first by name. Repeated rows get equal
-verdicts, and an empty table gives an empty table.
+verdicts, and an empty table gives an empty table. A very long URL is judged whole. Columns of
+the table named like a result are replaced; names that begin with ``_u_`` are taken.
 """
 
 from collections.abc import Sequence
@@ -19,8 +22,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.llm import scratch
+
 TOKEN = "[a-z0-9]+"
-BROADCAST_RULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -86,8 +90,7 @@ def filter_urls(
 ) -> DataFrame:
     """``table`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``rule`` is the winning rule's name if it is a listed one, else null. Up to
-    ``BROADCAST_RULES`` rules are sent to every task; longer lists are joined by a shuffle.
+    ``rule`` is the winning rule's name if it is a listed one, else null.
     """
     spark = table.sparkSession
     address = F.col("_u_url")
@@ -95,27 +98,33 @@ def filter_urls(
     judged = table.select(F.col(url).alias("_u_url")).distinct().select(
         "_u_url", F.concat(url_host(address), F.coalesce(rest, F.lit("")))
         .alias("_u_subject"))
-    with_tokens = judged.withColumn("_u_token", F.explode_outer(
-        F.concat(F.array(F.lit("")), _tokens(F.col("_u_subject")))))
+    with_tokens = judged.withColumn("_u_token", F.explode(_tokens(F.col("_u_subject"))))
 
-    listed = spark.createDataFrame(
-        [(r.name, r.verdict, r.pattern, list(r.tokens), r.priority, r.listed) for r in rules],
+    listed = scratch.stored(spark.createDataFrame(
+        [(r.name, r.verdict, r.pattern, list(r.tokens), r.priority, r.listed) for r in rules if r.tokens],
         "_u_rule string, _u_verdict string, _u_pattern string, _u_tokens array<string>, "
-        "_u_priority int, _u_listed boolean")
-    sent = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda small: small)
+        "_u_priority int, _u_listed boolean"), "rules")
     wanted = listed.select(F.explode("_u_tokens").alias("_u_token")).distinct()
-    counts = (with_tokens.join(sent(wanted), "_u_token", "left_semi").groupBy("_u_token")
+    counts = (with_tokens.join(wanted, "_u_token", "left_semi").groupBy("_u_token")
               .agg(F.count(F.lit(1)).alias("_u_count")))
     choice = (listed.withColumn("_u_token", F.explode("_u_tokens"))
               .join(counts, "_u_token", "left").groupBy("_u_rule", "_u_pattern")
               .agg(F.min(F.struct(F.coalesce("_u_count", F.lit(0)).alias("n"),
                                   F.col("_u_token").alias("t"))).alias("_u_rarest")))
-    filed = (listed.join(choice, ["_u_rule", "_u_pattern"], "left")
-             .withColumn("_u_token", F.coalesce("_u_rarest.t", F.lit("")))
-             .drop("_u_tokens", "_u_rarest"))
-
-    hits = (with_tokens.join(sent(filed), "_u_token")
-            .filter("regexp_like(_u_subject, _u_pattern)")
+    filed = scratch.stored(
+        listed.join(choice, ["_u_rule", "_u_pattern"])
+        .withColumn("_u_token", F.col("_u_rarest.t")).drop("_u_tokens", "_u_rarest"), "filed-rules")
+
+    fetched = with_tokens.join(filed, "_u_token").drop("_u_token")
+    if bare := [r for r in rules if not r.tokens]:
+        every = F.array(*[
+            F.struct(*[F.lit(value).alias(name) for name, value in (
+                ("_u_rule", r.name), ("_u_verdict", r.verdict), ("_u_pattern", r.pattern),
+                ("_u_priority", r.priority), ("_u_listed", r.listed))])
+            for r in bare])
+        tried = judged.withColumn("_u_tried", F.explode(every)).select("_u_url", "_u_subject", "_u_tried.*")
+        fetched = fetched.unionByName(tried)
+    hits = (fetched.filter("regexp_like(_u_subject, _u_pattern)")
             .groupBy("_u_url")
             .agg(F.min(F.struct(
                 (-F.col("_u_priority")).alias("p"), (-F.length("_u_rule")).alias("l"),

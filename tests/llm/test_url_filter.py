@@ -3,7 +3,6 @@ import re
 
 import pytest
 
-from jobtide.llm import url_filter
 from jobtide.llm.url_filter import PATTERN_RULES, Rule, filter_urls, site_rule
 
 SITES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -43,9 +42,14 @@ URLS = [None, "", "no scheme", "http://", "http://net", "http://net/", "http://N
         "http://K.net/", "x\n://a\nb.net/\n/", "http://" + "a" * 20_000 + ".net/" + "b" * 20_000]
 
 
-@pytest.mark.parametrize("few", [50_000, 0])
-def test_against_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(url_filter, "BROADCAST_RULES", few)
+@pytest.fixture(params=["10MB", "-1"])
+def broadcast_limit(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_against_brute_force(spark, broadcast_limit):
     draw = random.Random(1)
     made = ["".join(draw.choice(["http", "://", "/", "?", "#", ".", "net", "example", "com", "org", "en", "fr", "de", "ads", "A"])
                     for _ in range(draw.randrange(2, 12))) for _ in range(300)]
@@ -74,3 +78,13 @@ def test_only_the_rarest_token_fetches_a_rule(spark):
     judged.collect()
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_that_clash_and_many_rules(spark, broadcast_limit):
+    table = spark.createDataFrame([(i, f"http://h{i}.com/", "a", "b") for i in range(40)] + [(99, None, "a", "b")],
+                                  "page_id long, url string, host string, other string")
+    rules = [site_rule(f"h{i}.com/", "block") for i in range(0, 3000, 2)]
+    rows = {r.page_id: r for r in filter_urls(table, rules).collect()}
+    assert [rows[i].rule for i in range(40)] == [None if i % 2 else f"h{i}.com/" for i in range(40)]
+    assert (rows[3].host, rows[3].other, rows[99].host, rows[99].verdict) == ("h3.com", "b", "", "allow")
+    assert {r.verdict for r in filter_urls(table, []).collect()} == {"allow"}
