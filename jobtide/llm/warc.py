@@ -12,11 +12,17 @@ place that begins a good member or version line and goes on there; the bytes pas
 are logged as a gap with the reason. Inside a member of several records it does the same over
 the unpacked bytes, also over those unpacked before the damage; such a gap has its member's
 place in the file, and its own inside the member in ``inner_start`` and ``inner_end``. Records
-of a member with errors must have their stated digest; their headers are not checked further. One task reads one file, so archives should be of a
-size a task can hold; the writer's are one shuffle partition each.
+of a member with errors must have their stated digest; their headers are not checked further.
+
+One task reads one file and holds it, so the writer begins a new file after a stated number of
+bytes: members are joined to stretches of a sixteenth of it, which are the rows of the sink, and
+a file has at most sixteen of them. A single record is never divided, so only a stretch of one
+record that is larger itself can exceed its share.
 
 Defined results: a null payload is empty, a null address has no header line, a null id is
 smaller than any other, and repeated rows are written each. An empty table makes no records.
+A very long text is one record of its own stretch. Only the three named columns are read, so
+others may have any names.
 """
 
 import hashlib
@@ -33,6 +39,10 @@ EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x0
 MAGIC = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MIN_REVISIT = 1000
+ARCHIVE_BYTES = 128 << 20
+STRETCHES = 16  # in a file
+# Fixed value: the profile a revisit of equal payloads must name.
+SAME_PAYLOAD = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ENTRY = ("path string, start long, end long, inner_start long, inner_end long, problem string, record_type string, record_id string, "
          "uri string, refers_to string, payload_bytes long, payload_digest string, payload binary")
@@ -70,7 +80,8 @@ def format_record(record: dict, date: str) -> bytes:
     if record["uri"] is not None:
         lines.append(b"WARC-Target-URI: " + re.sub(rb"[\r\n]", b"%20", _text(record["uri"])))
     if record["record_type"] == "revisit":
-        lines.append(b"WARC-Refers-To: <urn:record:%s>" % _text(record["refers_to"]))
+        lines += [b"WARC-Refers-To: <urn:record:%s>" % _text(record["refers_to"]),
+                  b"WARC-Profile: " + SAME_PAYLOAD]
     lines += [b"WARC-Payload-Digest: sha1:" + record["payload_digest"].encode(),
               b"WARC-Payload-Length: %d" % record["payload_bytes"],
               b"Content-Type: text/html", b"Content-Length: %d" % len(block)]
@@ -86,18 +97,32 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the records of ``plan_records`` as compressed archives, one per partition."""
+def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
+                   archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the records of ``plan_records`` as compressed archives of some ``archive_bytes``."""
+    share = archive_bytes // STRETCHES
+
+    def stretch(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["members"])
+
     def pack(batches: Iterator[pa.RecordBatch]):
+        held, size = [], 0
         for batch in batches:
             names = batch.schema.names
-            members = [_member(format_record(dict(zip(names, row, strict=True)), date))
-                       for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
-
-    (records.mapInArrow(pack, "member binary").select(F.col("member").cast("string"))
+            for row in zip(*batch.columns, strict=True):
+                record = {n: v.as_py() for n, v in zip(names, row, strict=True)}
+                member = _member(format_record(record, date))
+                if held and size + len(member) > share:
+                    yield stretch(held)
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield stretch(held)
+
+    (records.mapInArrow(pack, "members binary").select(F.col("members").cast("string"))
      .write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-     .text(path))
+     .option("maxRecordsPerFile", STRETCHES).text(path))
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:

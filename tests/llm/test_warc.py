@@ -170,3 +170,26 @@ def test_salvage_inside_members_of_several_records():
     broken[len(whole) * 5 // 8] ^= 0xFF
     assert ids(bytes(broken))[:4] == [0, 1, 2, 3]
     assert [p for _, _, p, _ in read_entries(bytes(broken))][-1] == "broken member"
+
+
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    draw = random.Random(5)
+    texts = [draw.randbytes(draw.choice([10, 900, 4000])).hex() for _ in range(200)] + [draw.randbytes(60_000).hex(), None]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(texts)],
+                                  "page_id long, url string, html string")
+    path = str(tmp_path / "rolled")
+    planned = plan_records(pages, "page_id", "url", "html").repartition(1)
+    write_archives(planned, path, archive_bytes=128_000)
+    files = list((tmp_path / "rolled").glob("part-*"))
+    # one record is larger than its share
+    assert len(files) > 2 and sorted(f.stat().st_size for f in files)[-2] <= 129_000
+    rows = {r.record_id: r for r in read_archives(spark, path).collect()}
+    assert {r.problem for r in rows.values()} == {""}
+    assert {int(i): bytes(r.payload).decode() for i, r in rows.items()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_revisits_name_their_profile():
+    line = b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+    revisit = format_record({"record_id": 1, "uri": None, "payload": None, "record_type": "revisit",
+                             "payload_bytes": 5, "payload_digest": "0" * 40, "refers_to": 2}, DATE)
+    assert line in revisit and line not in made(1, b"x")
