@@ -463,5 +463,14 @@ ORACLES |= {"upsert_stored": ORACLES["upsert_state"], "lookup_stored": ORACLES["
          "job_logs_stored": ORACLES["job_logs"]}
 
 
+ORACLES["answer_files"] = f"""with {STATE}, {REQUESTS}, answers as ({_answers()}),
+  placed as (
+    select case when outcome = 'OK' then 'jobs' else 'failedJobs' end list, pos // 10000 as "range",
+      pos, job_id, case when outcome = 'OK' then status else outcome end "jobStatus", started, updated, name
+    from answers where outcome <> 'OMITTED')
+  select list, "range", row_number() over (partition by list, "range" order by pos) - 1 line_no,
+    pos, job_id "jobID", "jobStatus", started, updated, name from placed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

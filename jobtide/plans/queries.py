@@ -12,7 +12,7 @@ from jobtide.functions.status import is_terminal, known_phase, public_status, re
 from jobtide.functions.text import clean_name, clean_origin, quote
 from jobtide.functions.times import parse_rfc3339
 from jobtide.functions.urls import encoded_disposition
-from jobtide.operators import deletes, logs, lookup, manifests, state, submissions
+from jobtide.operators import deletes, logs, lookup, manifests, sinks, state, submissions
 from jobtide.plans import tables
 from jobtide.schemas import STATE_SCHEMA
 from jobtide.session import configure, fresh_path
@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 ENDPOINT, BUCKET = "https://s3.example.org", "results"
 STORED_PARTS = 16
+ANSWER_RANGE = 10_000
 PREFIX, TOOL_VERSION, NAMESPACE = "annotate", "1.2.3", "jobs"
 
 _QUERIES: dict[str, Query] = {}
@@ -276,6 +277,14 @@ def lookup_failed(spark, sf_dir):
     return lookup.failed_jobs(_answers(spark, sf_dir))
 
 
+@_query
+def answer_files(spark, sf_dir):
+    """Answers through the two written lists, each line with its number in the file of its range."""
+    path = fresh_path(spark, "answers")
+    sinks.write_answers(_answers(spark, sf_dir), path, ["pos"], per_range=ANSWER_RANGE)
+    return sinks.read_answers(spark, path)
+
+
 @_query
 def public_state(spark, sf_dir):
     return lookup.public_rows(_state(spark, sf_dir, *ANSWERED))

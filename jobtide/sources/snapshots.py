@@ -101,9 +101,15 @@ def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_snapshots(spark: SparkSession, path: str,
-                     files_per_trigger: int | None = None) -> DataFrame:
-    """Documents of a folder that more files come to."""
+                     files_per_trigger: int | None = None, archive: str | None = None) -> DataFrame:
+    """Documents of a folder that more files come to.
+
+    With ``archive`` files of finished batches move to that folder (outside ``path``, on the
+    same file system), so that a poll lists what is new and not all that ever came.
+    """
     reader = spark.readStream
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return parse_snapshots(_bodies(reader.text(path, wholetext=True)))

@@ -3,6 +3,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from helpers import AS_OF, END, START, job, requests_of, rows_of, state_of, state_row
@@ -11,7 +12,7 @@ from jobtide.operators.lookup import failed_jobs, found_jobs, lookup_jobs, publi
 from jobtide.operators.manifests import (
     result_answers, result_manifest, upload_manifest, with_urls,
 )
-from jobtide.operators.sinks import save_state_table, write_answers, write_state
+from jobtide.operators.sinks import read_answers, save_state_table, write_answers, write_state
 from jobtide.operators.submissions import (
     apply_submissions, build_parameters, plan_submissions, submission_documents,
 )
@@ -83,12 +84,41 @@ def test_public_rows_leave_out_unstarted(spark):
 def test_answers_are_written_in_request_order(spark, tmp_path):
     answers = lookup_jobs(requests_of(spark, *reversed(LOOKUPS)), jobs(spark), AS_OF)
     write_answers(answers, str(tmp_path / "out"), ["pos"])
-    found = spark.read.json(str(tmp_path / "out" / "jobs"))
+    found = spark.read.json(str(tmp_path / "out" / "list=jobs" / "range=0"))
     assert {"jobID", "jobStatus", "started", "updated", "name", "pos"} == set(found.columns)
     assert found.count() == 6
-    lines = [json.loads(line) for part in sorted((tmp_path / "out" / "failedJobs").glob("part-*"))
-             for line in part.read_text().splitlines()]
-    assert [line["pos"] for line in lines] == [2, 3, 7, 8]
+    assert [line["pos"] for line in written(tmp_path / "out" / "list=failedJobs" / "range=0")] == [2, 3, 7, 8]
+
+
+def written(folder):
+    return [json.loads(line) for part in sorted(folder.glob("part-*")) for line in part.read_text().splitlines()]
+
+
+def test_answers_are_dealt_in_ranges_in_one_pass(spark, tmp_path):
+    out = tmp_path / "out"
+    answers = lookup_jobs(requests_of(spark, *reversed(LOOKUPS)), jobs(spark), AS_OF)
+    write_answers(answers, str(out), ["pos"], per_range=3)
+    folders = sorted((out / "list=failedJobs").glob("range=*"))
+    assert [f.name for f in folders] == ["range=0", "range=1", "range=2"]
+    assert [[line["pos"] for line in written(f)] for f in folders] == [[2], [3], [7, 8]]
+    assert all(set(line) == {"pos", "jobID", "jobStatus"} for f in folders for line in written(f))
+    rows = read_answers(spark, str(out))
+    assert rows_of(rows.where("list = 'failedJobs'"), "range", "line_no", "pos", "jobStatus") == [
+        (0, 0, 2, "NOT_FOUND"), (1, 0, 3, "UNAUTHORIZED"), (2, 0, 7, "UNAUTHORIZED"), (2, 1, 8, "UNAUTHORIZED")]
+    assert rows.where("list = 'jobs'").count() == 6
+    with pytest.raises(AnalysisException):
+        write_answers(answers, str(out), ["pos"])
+
+
+def test_answers_of_many_bodies_and_none(spark, tmp_path):
+    answers = lookup_jobs(requests_of(spark, *LOOKUPS), jobs(spark), AS_OF).withColumn(
+        "request_id", F.concat(F.lit("file:/a b="), F.col("pos") % 2))
+    write_answers(answers, str(tmp_path / "out"), ["request_id", "pos"], per_range=1)
+    found = spark.read.json(str(tmp_path / "out"))
+    assert rows_of(found.where("list = 'failedJobs'"), "request_id", "range", "pos") == [
+        ("file:/a b=0", 2, 2), ("file:/a b=0", 8, 8), ("file:/a b=1", 3, 3), ("file:/a b=1", 7, 7)]
+    write_answers(answers.where("false"), str(tmp_path / "none"), ["pos"])
+    assert not list((tmp_path / "none").glob("list=*"))
 
 
 # Deletes

@@ -33,13 +33,13 @@ def write_snapshot(folder, name, when, *items):
     os.utime(path, (when, when))
 
 
-def flat_stream(spark, folder, on_error="quarantine"):
-    items = stream_snapshots(spark, str(folder), files_per_trigger=1)
+def flat_stream(spark, folder, on_error="quarantine", archive=None):
+    items = stream_snapshots(spark, str(folder), files_per_trigger=1, archive=archive and str(archive))
     return flatten_snapshots(items, F.col("snapshot_ts"), on_error)[0]
 
 
-def drain(spark, folder, out, on_error="quarantine", **more):
-    rows = flat_stream(spark, folder, on_error)
+def drain(spark, folder, out, on_error="quarantine", archive=None, **more):
+    rows = flat_stream(spark, folder, on_error, archive)
     query = start_state_stream(rows, f"{out}/changes", f"{out}/checkpoint", drain=True, **more)
     query.awaitTermination()
     return read_stream_state(spark, f"{out}/changes", stored_schema(rows))
@@ -234,3 +234,20 @@ def test_the_sink_reads_no_file_and_joins_nothing(spark, tmp_path):
     plan = query._jsq.explainInternal(False)
     assert "TransformWithState" in plan or "transformWithState" in plan
     assert "Join" not in plan and "Coalesce" not in plan and plan.count("FileScan") <= 1
+
+
+def test_read_snapshots_are_archived(spark, tmp_path):
+    folder, out, archive = tmp_path / "in", tmp_path / "out", tmp_path / "read"
+    folder.mkdir()
+    left, polls = [], 12
+    for n in range(polls):
+        write_snapshot(folder, f"{n:03}.json", 1_000 + n, item(n % 4, "Running", n))
+        if n % 4 == 3:
+            state = drain(spark, folder, out, archive=archive)
+            left.append(len(list(folder.glob("*.json"))))
+    # the files of the last batch, and of one being moved, may be there still
+    assert max(left) <= 2
+    assert rows_of(state, "job_id", "status", "resource_version") == [
+        (job(k), "Running", str(8 + k)) for k in range(4)]
+    assert len(list(folder.glob("*.json"))) + len(list(archive.rglob("*.json"))) == polls
+    assert list((out / "checkpoint" / "state").rglob("*.changelog"))
