@@ -25,16 +25,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     has as many bytes as its lines plus one each (a byte order mark, three bytes long, is
     not part of the first line). The size of a packed file does not say; there it is null.
     """
-    def scan() -> DataFrame:
-        return spark.read.option("lineSep", "\n").text(path).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_modification_time").alias("file_time"),
-            F.col("_metadata.file_size").alias("file_size"),
-            F.col("_metadata.file_block_start").alias("part"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col("value").alias("line"))
+    # one listing for both scans: a file that comes later must not shift the rows of one of them
+    listed = spark.read.option("lineSep", "\n").text(path)
+    lines = listed.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").alias("line"))
 
-    parts = scan().groupBy("file", "file_size", "part").agg(
+    parts = lines.groupBy("file", "file_size", "part").agg(
         F.min("row").alias("first"), F.count(F.lit(1)).alias("lines"),
         F.sum(F.octet_length("line") + 1).alias("bytes"))
     in_file = Window.partitionBy("file")
@@ -47,7 +48,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.when(~F.col("file").rlike(PACKED), extra.isin(1, -2)).alias("open"))
     number = F.col("row") - F.col("first") + F.col("before")
     last = number == F.col("total") - 1
-    return scan().join(placed, ["file", "part"]).select(
+    return lines.join(placed, ["file", "part"]).select(
         "file", "file_time", number.alias("line_no"), "line",
         F.when(last, F.col("open")).otherwise(F.lit(False)).alias("open_ended"))
 

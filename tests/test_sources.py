@@ -5,10 +5,12 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from helpers import END, job, rows_of
 from jobtide.operators.state import flatten_snapshots, latest_state
+from jobtide.session import clear_scratch, fresh_path
 from jobtide.sources.configs import parse_starts, read_starts
 from jobtide.sources.inits import parse_inits, read_inits
 from jobtide.sources.logs import read_archived_logs, read_log_lines
@@ -325,3 +327,24 @@ def test_inits_and_answers_from_files(spark, tmp_path):
         json.dumps({"job_id": job(1), "body": json.dumps(body)}) + "\n" + json.dumps({"job_id": job(2), "body": "{}"}))
     answers = read_submit_results(spark, str(tmp_path / "answers"))
     assert rows_of(answers, "pos.line_no", "job_id", "name") == [(0, job(1), "w")]
+
+
+def test_a_file_that_comes_later_shifts_no_line(spark, tmp_path):
+    for name in ("b.txt", "d.txt"):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(50)))
+    lines = read_lines(spark, str(tmp_path))
+    (tmp_path / "a.txt").write_text("x" * 100_000 + "\n")  # the largest file is planned first
+    assert sorted((r.line, r.line_no) for r in lines.collect()) == sorted(
+        (f"{name}{i}", i) for name in ("b.txt", "d.txt") for i in range(50))
+
+
+def test_scratch_is_removed_by_a_call(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("jobtide.session.shared_dir", lambda _: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    path = fresh_path(spark, "made")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark)
+    clear_scratch(spark)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert (tmp_path / "other").exists()
