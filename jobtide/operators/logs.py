@@ -104,14 +104,13 @@ def log_chunks(pieces: DataFrame, chunk_lines: int = CHUNK_LINES,
     before = F.sum(F.coalesce(F.octet_length("piece"), F.lit(0))).over(
         inside.rowsBetween(Window.unboundedPreceding, -1))
     section = F.floor(F.coalesce(before, F.lit(0)) / chunk_bytes)
-    lines = F.array_sort("lines")
-    whole = F.array_join(F.transform(lines, lambda x: x["piece"]), "")
     return (
         pieces.withColumn("chunk", chunk).withColumn("section", section)
         .groupBy("job_id", "part", "chunk", "section")
-        .agg(F.collect_list(F.struct("line_no", "piece")).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("line_no", "piece"))).alias("lines"),
+             F.bool_or(F.col("piece").isNull()).alias("broken"))
         .select("job_id", "part", "chunk", "section",
-                F.when(~F.exists("lines", lambda x: x["piece"].isNull()), whole).alias("text"))
+                F.when(~F.col("broken"), F.array_join("lines.piece", "")).alias("text"))
     )
 
 
