@@ -336,6 +336,7 @@ ORACLES = {
     select 1 from dead d where d.job_id = s.job_id and d.secret = s.secret
       and d.deleted_at >= s.arrived)""",
     "flatten_state": f"with {ITEMS} select * from flat",
+    "flatten_landed": f"with {ITEMS} select * from flat",
     "state_rejects": f"""with {ITEMS} select snapshot, pos, reason, unreadable
   from flagged where reason is not null""",
     "prefix_policy": f"""with {PREFIX_CHECKED} select snapshot, pos,

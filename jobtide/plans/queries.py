@@ -19,6 +19,7 @@ from jobtide.session import configure, fresh_path
 from jobtide.sources import job_parts
 from jobtide.sources.configs import parse_starts
 from jobtide.sources.inits import parse_inits
+from jobtide.sources.landed import land_snapshots, read_landed_items
 from jobtide.sources.requests import parse_requests, read_requests
 from jobtide.sources.snapshots import parse_snapshots, read_snapshots, stream_snapshots
 from jobtide.sources.submit_results import parse_submit_results
@@ -130,6 +131,17 @@ def flatten_state(spark, sf_dir):
     return _flat(spark, sf_dir)[0]
 
 
+@_query
+def flatten_landed(spark, sf_dir):
+    """Items landed as variants, in two batches, and read back by their fields."""
+    path = fresh_path(spark, "landed")
+    bodies = tables.snapshot_bodies(spark, sf_dir)
+    first = F.pmod(F.xxhash64("snapshot"), F.lit(2)) == 0
+    land_snapshots(bodies.where(first), path, "1")
+    land_snapshots(bodies.where(~first), path, "2")
+    return state.flatten_snapshots(read_landed_items(spark, path), _as_of())[0]
+
+
 @_query
 def state_rejects(spark, sf_dir):
     return _flat(spark, sf_dir)[1].select("snapshot", "pos", "reason", "unreadable")

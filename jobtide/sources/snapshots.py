@@ -27,7 +27,7 @@ def _not_text(value: Column) -> Column:
     return value.isNotNull() & ~kind(value).isin("STRING", "VOID")
 
 
-def _item(item: Column) -> Column:
+def item_of(item: Column) -> Column:
     """``struct<metadata, status, type_fault>`` of a variant; numbers are not taken for text."""
     labels = F.try_variant_get(item, "$.metadata.labels", "map<string, variant>")
     raw_labels = _part(item, "$.metadata.labels")
@@ -50,19 +50,28 @@ def _item(item: Column) -> Column:
         F.coalesce(*faults).alias("type_fault"))
 
 
-def parse_snapshots(bodies: DataFrame) -> DataFrame:
-    """Documents ``(snapshot, snapshot_ts, items)`` of texts ``(snapshot, snapshot_ts, body)``.
+def snapshot_variants(bodies: DataFrame) -> DataFrame:
+    """``(snapshot, snapshot_ts, variants)``: the listed items of each text as they are written.
 
-    A text that is not exactly one document with a list of items has one null item, so that
-    it can be rejected; an empty list has none.
+    Null for a text that is not exactly one document with a list of items.
     """
     kept = ["snapshot", "snapshot_ts"]
     parsed = compute_once(bodies.select(*kept, "body"), kept, parse_document(F.col("body")).alias("document"))
     document = F.col("document")
     listed = F.try_variant_get(document, "$[0].items", "array<variant>")
-    items = F.transform(F.when(is_whole(document), listed), _item)
+    return parsed.select(*kept, F.when(is_whole(document), listed).alias("variants"))
+
+
+def parse_snapshots(bodies: DataFrame) -> DataFrame:
+    """Documents ``(snapshot, snapshot_ts, items)`` of texts ``(snapshot, snapshot_ts, body)``.
+
+    A text that is not exactly one document with a list of items has one null item, so that
+    it can be rejected; an empty list has none.
+    """
+    items = F.transform("variants", item_of)
     none = F.array(F.lit(None).cast(ITEM_TYPE))
-    return parsed.select(*kept, F.coalesce(items, none).alias("items"))
+    return snapshot_variants(bodies).select(
+        "snapshot", "snapshot_ts", F.coalesce(items, none).alias("items"))
 
 
 def explode_items(documents: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
     parsed = compute_once(lines, place, parse_document(F.col("line")).alias("document"))
     whole = F.when(is_whole(F.col("document")), field(F.col("document"), ""))
     decoded = compute_once(parsed, place, whole.alias("variant"))
-    return compute_once(decoded, place, _item(F.col("variant")).alias("item")).select(*place, "item.*")
+    return compute_once(decoded, place, item_of(F.col("variant")).alias("item")).select(*place, "item.*")
 
 
 def stream_snapshots(spark: SparkSession, path: str,
