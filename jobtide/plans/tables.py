@@ -265,10 +265,14 @@ def archived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_snapshots(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """``ITEM_TEXTS`` as snapshot files of 600 items, one document per file."""
+    """``ITEM_TEXTS`` as snapshot files of 600 items, one document per file.
+
+    Tasks put their many files in place themselves, as the driver would move them one by one.
+    """
     documents = view(spark, sf_dir, ITEM_TEXTS).groupBy(F.floor(F.col("event_id") / 600).alias("poll")).agg(
         F.expr("""concat('{"items":[', listagg(item, ',') within group (order by event_id), ']}')""").alias("body"))
-    documents.select("body").write.option("maxRecordsPerFile", 1).text(path)
+    (documents.select("body").write.option("maxRecordsPerFile", 1)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
 
 
 def write_requests(spark: SparkSession, sf_dir: str, path: str) -> None:

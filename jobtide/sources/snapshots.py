@@ -18,36 +18,79 @@ ITEM_TYPE = ("struct<metadata: struct<name: string, uid: string, resourceVersion
              "finishedAt: string>, type_fault: string>")
 
 
+# What is taken from an item, as it is written; null where there is no object.
+_WRITTEN_META = "struct<" + ", ".join(f"{n}: variant" for n in [*_META, "labels"]) + ">"
+_WRITTEN_STATUS = "struct<" + ", ".join(f"{n}: variant" for n in _STATUS) + ">"
+
+
 def _part(item: Column, path: str) -> Column:
     return F.try_variant_get(item, path, "variant")
 
 
-def _not_text(value: Column) -> Column:
-    """True for a value that is neither text nor null nor missing."""
-    return value.isNotNull() & ~kind(value).isin("STRING", "VOID")
+def _judged_item(meta: dict[str, Column], status: dict[str, Column], kinds: dict[str, Column], labels: Column,
+                 has_meta: Column, has_status: Column) -> Column:
+    """An item of its written fields, their kinds and the texts of its labels by key."""
+    def fault(name, why):
+        return F.when(~kinds[name].isin("STRING", "VOID"), why)
 
+    def text(name, value):
+        return F.when(kinds[name] == "STRING", F.try_variant_get(value, "$", "string")).alias(name)
 
-def item_of(item: Column) -> Column:
-    """``struct<metadata, status, type_fault>`` of a variant; numbers are not taken for text."""
-    labels = F.try_variant_get(item, "$.metadata.labels", "map<string, variant>")
-    raw_labels = _part(item, "$.metadata.labels")
-    bad_label = F.exists(F.map_values(labels), lambda v: kind(v) != "STRING") | (
+    raw_labels = meta["labels"]
+    # A label that is no text has null for its text.
+    bad_label = F.exists(F.map_values(labels), lambda v: v.isNull()) | (
         labels.isNull() & raw_labels.isNotNull() & (kind(raw_labels) != "VOID"))
-    faults = [F.when(_not_text(_part(item, f"$.metadata.{n}")), why) for n, why in _META.items()]
+    faults = [fault(n, why) for n, why in _META.items()]
     faults += [F.when(bad_label, "bad_label")]
-    faults += [F.when(_not_text(_part(item, f"$.status.{n}")), why) for n, why in _STATUS.items()]
+    faults += [fault(n, why) for n, why in _STATUS.items()]
+    texts = F.struct(*[text(n, meta[n]) for n in _META], labels.alias("labels"))
+    return F.struct(
+        F.when(has_meta, texts).alias("metadata"),
+        F.when(has_status, F.struct(*[text(n, status[n]) for n in _STATUS])).alias("status"),
+        F.coalesce(*faults).alias("type_fault"))
+
+
+def _label_texts(labels: Column) -> Column:
+    return F.transform_values(labels, lambda _, v: text_of(v))
 
+
+def item_of(item: Column) -> Column:
+    """``struct<metadata, status, type_fault>`` of a variant; numbers are not taken for text."""
     def is_object(path):
         return F.startswith(kind(_part(item, path)), F.lit("OBJECT"))
 
-    meta = F.struct(
-        *[text_of(_part(item, f"$.metadata.{n}")).alias(n) for n in _META],
-        F.transform_values(labels, lambda _, v: text_of(v)).alias("labels"))
-    status = F.struct(*[text_of(_part(item, f"$.status.{n}")).alias(n) for n in _STATUS])
-    return F.struct(
-        F.when(is_object("$.metadata"), meta).alias("metadata"),
-        F.when(is_object("$.status"), status).alias("status"),
-        F.coalesce(*faults).alias("type_fault"))
+    meta = {n: _part(item, f"$.metadata.{n}") for n in [*_META, "labels"]}
+    status = {n: _part(item, f"$.status.{n}") for n in _STATUS}
+    kinds = {n: kind((meta | status)[n]) for n in [*_META, *_STATUS]}
+    labels = _label_texts(F.try_variant_get(item, "$.metadata.labels", "map<string, variant>"))
+    return _judged_item(meta, status, kinds, labels, is_object("$.metadata"), is_object("$.status"))
+
+
+def _items_of(variants: Column) -> Column:
+    """:func:`item_of` of each in an array.
+
+    A lambda works out again whatever it names twice, so its steps are arrays of their own and
+    each object is gone through once.
+    """
+    def parts(item):
+        return F.struct(F.try_variant_get(item, "$.metadata", _WRITTEN_META).alias("meta"),
+                        F.try_variant_get(item, "$.status", _WRITTEN_STATUS).alias("status"))
+
+    def known(x):
+        meta, status = x["meta"], x["status"]
+        labels = _label_texts(F.try_variant_get(meta["labels"], "$", "map<string, variant>"))
+        return F.struct(
+            meta.alias("meta"), status.alias("status"), labels.alias("labels"),
+            *[kind(meta[n]).alias(f"kind_{n}") for n in _META],
+            *[kind(status[n]).alias(f"kind_{n}") for n in _STATUS])
+
+    def judged(x):
+        meta, status = x["meta"], x["status"]
+        return _judged_item(
+            {n: meta[n] for n in [*_META, "labels"]}, {n: status[n] for n in _STATUS},
+            {n: x[f"kind_{n}"] for n in [*_META, *_STATUS]}, x["labels"], meta.isNotNull(), status.isNotNull())
+
+    return F.transform(F.transform(F.transform(variants, parts), known), judged)
 
 
 def snapshot_variants(bodies: DataFrame) -> DataFrame:
@@ -68,10 +111,9 @@ def parse_snapshots(bodies: DataFrame) -> DataFrame:
     A text that is not exactly one document with a list of items has one null item, so that
     it can be rejected; an empty list has none.
     """
-    items = F.transform("variants", item_of)
     none = F.array(F.lit(None).cast(ITEM_TYPE))
     return snapshot_variants(bodies).select(
-        "snapshot", "snapshot_ts", F.coalesce(items, none).alias("items"))
+        "snapshot", "snapshot_ts", F.coalesce(_items_of(F.col("variants")), none).alias("items"))
 
 
 def explode_items(documents: DataFrame) -> DataFrame:

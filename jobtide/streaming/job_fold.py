@@ -23,6 +23,10 @@ FULL = ("INIT", "SNAPSHOT")
 STARTED = [c for c in STATE_VALUES if c in ("workflow_name", "started", "updated")]
 # Secrets of a job held in memory before they go to the state store.
 _HELD_SECRETS = 10_000
+# Rows, and bytes of them, that a task holds to compare them with later ones, and rows it sends at once.
+_HELD_ROWS = 100_000
+_HELD_BYTES = 64 << 20
+_SENT_ROWS = 10_000
 
 
 def _plain(field: T.StructField) -> T.StructField:
@@ -185,19 +189,38 @@ def _in_micros(rows: DataFrame, order: list[str], *kept: str) -> DataFrame:
                        *[plain(c, "order_" + c) for c in order])
 
 
+def _last_ones(table: pa.Table) -> pa.Table:
+    """Of these rows the ones a fold can need: per job the last full row, and per secret the
+    last START and DELETE."""
+    places = [n for n in table.column_names if n.startswith("order_")]
+    keys = table.select(["job_id", "kind", "secret", *places]).to_pandas()
+    full = keys["kind"].isin(FULL)
+    keys["kind"] = keys["kind"].where(~full, "FULL")
+    keys["secret"] = keys["secret"].where(~full, None)
+    ordered = keys.sort_values(places, na_position="first", kind="stable")
+    last = ordered[~ordered.duplicated(["job_id", "kind", "secret"], keep="last")]
+    return table.take(pa.array(np.sort(last.index.to_numpy())))
+
+
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of rows the ones a fold can need: per job the last full row, and per secret
-    the last START and DELETE. A job with very many events sends few to its task."""
+    """The rows of a task without those that others of them make void.
+
+    Rows left over are held and met by later ones, until they are too many to hold: then they
+    go on as they are.
+    """
+    held, rows, size = [], 0, 0
     for batch in batches:
-        names = batch.schema.names
-        places = [n for n in names if n.startswith("order_")]
-        keys = pa.Table.from_batches([batch]).select(["job_id", "kind", "secret", *places]).to_pandas()
-        full = keys["kind"].isin(FULL)
-        keys["kind"] = keys["kind"].where(~full, "FULL")
-        keys["secret"] = keys["secret"].where(~full, None)
-        ordered = keys.sort_values(places, na_position="first", kind="stable")
-        last = ordered[~ordered.duplicated(["job_id", "kind", "secret"], keep="last")]
-        yield batch.take(pa.array(np.sort(last.index.to_numpy())))
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= _HELD_ROWS or size >= _HELD_BYTES:
+            few = _last_ones(pa.Table.from_batches(held))
+            if 2 * few.num_rows >= _HELD_ROWS or 2 * few.nbytes >= _HELD_BYTES:
+                yield from few.to_batches(max_chunksize=_SENT_ROWS)
+                held, rows, size = [], 0, 0
+            else:
+                held, rows, size = few.to_batches(), few.num_rows, few.nbytes
+    if held:
+        yield from _last_ones(pa.Table.from_batches(held)).to_batches(max_chunksize=_SENT_ROWS)
 
 
 def fold_stream(events: DataFrame, order: list[str], initial: DataFrame | None = None) -> DataFrame:
@@ -209,7 +232,10 @@ def fold_stream(events: DataFrame, order: list[str], initial: DataFrame | None =
     """
     fields = [events.schema[c] for c in order]
     plain = _in_micros(events, order, "kind")
-    few = plain.mapInArrow(_combined, plain.schema)
+    # A task has few rows of each job before they are brought together, and the processor takes
+    # each row by itself: so it gets what is left when all rows of a job have met.
+    met = plain.mapInArrow(_combined, plain.schema).repartition("job_id")
+    few = met.mapInArrow(_combined, plain.schema)
     output = T.StructType([
         *[_plain(f) for f in STATE_SCHEMA], *_renamed([_plain(f) for f in fields], "order_"),
         T.StructField("deleted", T.BooleanType())])

@@ -3,12 +3,14 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helpers import job, rows_of
 from jobtide.operators.state import change_feed, flatten_snapshots, fold_changes, latest_state
 from jobtide.schemas import STATE_COLUMNS, STATE_SCHEMA
 from jobtide.sources.snapshots import read_snapshots, stream_snapshots
+from jobtide.streaming import job_fold
 from jobtide.streaming.state_stream import (
     read_stream_state,
     roll_up,
@@ -251,3 +253,38 @@ def test_read_snapshots_are_archived(spark, tmp_path):
         (job(k), "Running", str(8 + k)) for k in range(4)]
     assert len(list(folder.glob("*.json"))) + len(list(archive.rglob("*.json"))) == polls
     assert list((out / "checkpoint" / "state").rglob("*.changelog"))
+
+
+def fold_rows(*rows):
+    names = ["job_id", "kind", "secret", "order_seq", "name"]
+    return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+
+
+def test_rows_made_void_by_later_batches_are_dropped(monkeypatch):
+    batches = [fold_rows(*[(f"j{j}", "SNAPSHOT", "s", 10 * b + j % 3, f"{b}") for j in range(20)]) for b in range(9)]
+    batches += [fold_rows(("j0", "START", "s", 99, "t"), ("j0", "START", "t", 98, "t")),
+                fold_rows(("j0", "START", "s", 97, "u"), ("j0", "DELETE", "s", 96, "u"))]
+    kept = pa.Table.from_batches(job_fold._combined(iter(batches))).to_pylist()
+    last = sorted((r["job_id"], r["kind"], r["secret"], r["name"]) for r in kept)
+    assert last == sorted([(f"j{j}", "SNAPSHOT", "s", "8") for j in range(20)] + [
+        ("j0", "START", "s", "t"), ("j0", "START", "t", "t"), ("j0", "DELETE", "s", "u")])
+    # what cannot be held goes on, and nothing is lost by that
+    monkeypatch.setattr(job_fold, "_HELD_ROWS", 30)
+    more = [r for b in job_fold._combined(iter(batches)) for r in b.to_pylist()]
+    assert len(kept) < len(more) and all(r in more for r in kept)
+
+
+def test_the_processor_gets_one_row_of_a_job(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    events = [(n, "SNAPSHOT", job(n % 5), "uid", None, "a", "Running", datetime(2024, 4, 1), None, None, "s", False)
+              for n in range(200)]
+    spark.createDataFrame(events, EVENT).repartition(8).write.parquet(str(folder))
+    rows = spark.readStream.schema(EVENT).parquet(str(folder))
+    query = start_fold_stream(rows, f"{out}/changes", f"{out}/checkpoint", drain=True)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    below = plan[plan.index("ransformWithState"):]
+    # rows of a job meet, are combined, and only then go to the state
+    assert below.count("MapInArrow") >= 2 and below.count("Exchange hashpartitioning") >= 2
+    state = read_stream_state(spark, f"{out}/changes", stored_schema(rows, ["seq"]), ["seq"])
+    assert rows_of(state, "job_id", "seq") == [(job(n), 195 + n) for n in range(5)]
