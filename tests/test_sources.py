@@ -348,3 +348,23 @@ def test_scratch_is_removed_by_a_call(spark, tmp_path, monkeypatch):
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)
     assert (tmp_path / "other").exists()
+
+
+def test_odd_items_are_read_alike_from_documents_and_lines(spark, tmp_path):
+    meta, status = {"name": "w", "uid": "u", "labels": {"a": "x"}}, {"phase": "Running", "startedAt": "t"}
+    odd = [5, "x", None, True, [], {}, {"a": 1}, {"a": None, "b": "y"}]
+    items = [{}, {"metadata": meta, "status": status}, {"metadata": meta}, {"status": status}, *odd]
+    items += [{"metadata": v, "status": status} for v in odd] + [{"metadata": meta, "status": v} for v in odd]
+    items += [{"metadata": {**meta, n: v}, "status": status} for n in ("name", "uid", "resourceVersion", "labels") for v in odd]
+    items += [{"metadata": meta, "status": {**status, n: v}} for n in ("phase", "startedAt", "finishedAt") for v in odd]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "whole" / "a.json").write_text(json.dumps({"items": items}))
+    (tmp_path / "lines" / "a.json").write_text("\n".join(map(json.dumps, items)))
+    columns = ["pos", "to_json(metadata) m", "to_json(status) s", "type_fault"]
+    whole = explode_items(read_snapshots(spark, str(tmp_path / "whole"))).selectExpr(*columns)
+    lines = read_snapshot_lines(spark, str(tmp_path / "lines")).selectExpr(*columns)
+    seen = rows_of(whole)
+    assert seen == rows_of(lines) and len(seen) == len(items)
+    assert {r[3] for r in seen} == {None, "bad_name", "bad_uid", "bad_resource_version", "bad_label", "bad_phase",
+                                    "bad_started_at", "bad_finished_at"}
